@@ -24,11 +24,11 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No source gives more than this many times its words.
 PASSES = 2
-BLOCK = 64
+BLOCK = 32
 #: Slots of an output shard.
 SHARD_SLOTS = 256
-#: Shards of the first wave: this many of every 16; of the next: the same share of the rest; the last takes what remains.
-WAVE = 15
+#: Each wave takes two thirds of the shards that are left; the last takes them all.
+WAVES = 4
 #: Cells of the table that maps random numbers to sources.
 CELLS = 1024
 
@@ -82,8 +82,8 @@ def draw(spark_range: DataFrame, targets: DataFrame, n_slots: int, seed: int) ->
     begin, remaining = 0, -(-n_slots // SHARD_SLOTS)
     slots = spark_range.select((F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), F.pmod("id", F.lit(SHARD_SLOTS)).alias("slot"), _unit(F.lit(seed), F.lit("source"), "id").alias("u"))
     want = F.col("target") / BLOCK
-    for wave in range(3):
-        end = begin + (remaining if wave == 2 else -(-remaining * WAVE // 16))
+    for wave in range(WAVES):
+        end = begin + (remaining if wave == WAVES - 1 else -(-remaining * 2 // 3))
         if drawn is None:
             need = targets.select("_source", want.alias("need"))
         else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, packing, pages, rules, sharding
+from . import licenses, media, mixing, neardup, packing, pages, quality, rules, sharding
 from .common import read
 
 
@@ -31,6 +31,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary)
 
@@ -43,5 +47,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_media_columns, op4_quality_rules, op6_packing, op7_sharding, op8_mixing)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_media_columns, op4_quality_rules, op5_quality_classifier, op6_packing, op7_sharding, op8_mixing, op10_minhash_near_dedup)}
 ORACLES = {"op4_quality_rules": rules.JUDGE_SQL}
