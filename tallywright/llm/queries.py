@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, neardup, packing, pages, quality, rules, sharding
+from . import licenses, media, mixing, neardup, packing, pages, pii, quality, rules, sharding
 from .common import read
 
 
@@ -47,9 +47,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_media_columns, op4_quality_rules, op5_quality_classifier, op6_packing, op7_sharding, op8_mixing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_media_columns, op4_quality_rules, op5_quality_classifier, op6_packing, op7_sharding, op8_mixing, op9_pii, op10_minhash_near_dedup)}
 ORACLES = {"op4_quality_rules": rules.JUDGE_SQL}
