@@ -23,7 +23,7 @@ def _text(c: Column | str) -> Column:
 def json_safe(struct: Column) -> Column:
     """JSON of a struct with <, >, & and the two line separators escaped, and control characters in lower-case hex."""
     out = F.to_json(struct)
-    for plain, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for plain, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
     for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
         # only where an even number of backslashes stands before: else it is text that looks like an escape
