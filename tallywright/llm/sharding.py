@@ -1,9 +1,9 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Documents of equal text are linked, as stars: a group is split into parts of at most a quarter of a shard, and
-each part's members are linked with its hub. Linked documents start dealt out evenly. In each round every document
-names its neighbours' shard; what one shard may send another is bounded by swaps and by free room, and whole parts
-move before halves do. The quotas are worked out from counts by pair of shards, a number fixed by the shards.
+Documents of equal text are linked, as stars: a group larger than a shard is split into parts of a shard's size,
+and each part's members are linked with its hub. Linked documents start in even runs, group after group, so that a
+group lies in neighbouring shards. In each round every document names its part's most common shard; what one shard
+may send another is bounded by swaps and by free room. The quotas are worked out from counts by pair of shards, a number fixed by the shards.
 Documents without links have no edge to cut: they fill each shard up to its quota, so sizes are even at the end.
 
 The law is ``rows``: every shard has the same number of documents, or one more. Null texts count as empty (size 16).
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, saved
+from .common import numbered, saved, small_join
 
 SHARDS = 40
 ROUNDS = 8
@@ -36,11 +36,9 @@ def quotas(wanted: np.ndarray, room: np.ndarray) -> np.ndarray:
     return allowed
 
 
-def propagate(linked: DataFrame, n_linked: int, caps: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """linked: _uid, _part, _hub (boolean). Returns it with ``shard``; no shard gets more than its cap."""
+def propagate(state: DataFrame, n_linked: int, caps: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
+    """state: _uid, _part, shard. Returns _uid and the shard after the moves; no shard gets more than its cap."""
     k = len(caps)
-    state = numbered(linked, [], F.xxhash64("_part"), ["_part", "_uid"], n_linked, "_at")
-    state = saved(state.withColumn("shard", F.pmod("_at", F.lit(k)).cast("int")).drop("_at"))
     for _ in range(rounds):
         # A leaf's neighbour is its hub; a hub's neighbours are its leaves, of which the most common shard counts.
         counts = state.groupBy("_part", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -58,7 +56,7 @@ def propagate(linked: DataFrame, n_linked: int, caps: np.ndarray, rounds: int =
         if not allowed.any():
             break
         quota = F.element_at(F.array(*[F.lit(int(x)) for x in allowed.ravel()]), (F.col("shard") * k + F.col("_to") + 1).cast("int"))
-        movers = numbered(moves.filter("shard <> _to"), ["shard", "_to"], F.xxhash64("_part"), ["_part", "_uid"], n_linked, "_turn")
+        movers = numbered(moves.filter("shard <> _to"), ["shard", "_to"], F.xxhash64("_part", F.pmod("_uid", F.lit(16))), ["_part", "_uid"], n_linked, "_turn")
         moved = movers.withColumn("shard", F.when(F.col("_turn") < quota, F.col("_to")).otherwise(F.col("shard"))).drop("_turn")
         state = saved(moved.unionByName(moves.filter("shard = _to")).select("_uid", "_part", "shard"))
     return state.select("_uid", "shard")
@@ -74,21 +72,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     rows = saved(numbered(base, [], F.xxhash64("doc_id", "_group"), ["doc_id", "_group"], n, "_uid"))
     caps = np.full(shards, n // shards, dtype=np.int64)
     caps[: n % shards] += 1
-    part_rows = max(2, n // shards // 4)
+    part_rows = max(2, n // shards)
 
-    groups = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_of")).filter("_of > 1")
-    members = saved(rows.select("_uid", "_group").join(groups, "_group").select("_uid", "_group", "_of"))
-    n_linked = members.count()
+    groups = saved(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_of")).filter("_of > 1"))
+    n_groups, n_linked = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_of"), F.lit(0))).first()
     if n_linked:
+        begins = numbered(groups, [], F.xxhash64("_group"), ["_group"], n_groups, "_begin", weight="_of").select("_group", "_begin")
+        members = saved(small_join(rows.select("_uid", "_group"), begins, ["_group"], rows=n_groups))
         placed = numbered(members, ["_group"], F.xxhash64("_uid"), ["_uid"], n_linked, "_k")
-        linked = placed.select("_uid", F.concat_ws("-", "_group", F.floor(F.col("_k") / part_rows)).alias("_part"))
-        homes = saved(propagate(linked, n_linked, caps, rounds))
+        part = F.concat_ws("-", "_group", F.floor(F.col("_k") / part_rows))
+        # Even runs: the first shards take one more, as their caps do.
+        least, more = divmod(n_linked, shards)
+        at, wide = F.col("_begin") + F.col("_k"), more * (least + 1)
+        start = F.when(at < wide, F.floor(at / (least + 1))).otherwise(more + F.floor((at - wide) / max(least, 1))).cast("int")
+        homes = saved(propagate(saved(placed.select("_uid", part.alias("_part"), start.alias("shard"))), n_linked, caps, rounds))
     else:
         homes = rows.select("_uid", F.lit(0).alias("shard")).limit(0)
     used = dict(homes.groupBy("shard").count().collect())  # at most SHARDS rows
 
     # The rest fills the shards in turn up to their caps.
-    single = rows.join(groups, "_group", "left_anti").select("_uid")
+    single = small_join(rows, groups.select("_group"), ["_group"], "left_anti", rows=n_groups).select("_uid")
     ends = np.cumsum([int(caps[s]) - used.get(s, 0) for s in range(shards)])
     filled = numbered(single, [], F.xxhash64("_uid"), ["_uid"], n, "_k")
     ends_array = F.array(*[F.lit(int(e)) for e in ends])
