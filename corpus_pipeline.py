@@ -16,6 +16,8 @@ from tallywright.llm import mixing, neardup, packing, pii, quality
 from tallywright.llm.common import read, small_join
 from tallywright.llm.queries import vocabulary
 
+#: Documents this similar (percent of their five-word shingles in common) are copies of each other.
+SIMILAR = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -27,7 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    gone = neardup.near_duplicates(docs).filter("doc_id IS NOT NULL AND NOT kept").select("doc_id")
+    gone = neardup.near_duplicates(docs, SIMILAR).filter("doc_id IS NOT NULL AND NOT kept").select("doc_id")
     return small_join(docs, neardup.saved(gone), ["doc_id"], "left_anti").select(*COLUMNS)
 
 

@@ -14,7 +14,8 @@
 6.  Components take their smallest id.
 
 With 44 bands of 7 bins a pair at the threshold of 0.85 is missed by all buckets with a chance of 4 in 10**8, a
-more similar one with less. Linked are pairs with 100 * intersection >= 85 * union.
+more similar one with less; at 0.8 the chance is 3 in 10**5. Linked are pairs with 100 * intersection >= percent *
+union, 85 unless another number is given.
 
 Null texts and texts without words have no shingles, are linked with nothing and stand for themselves. Rows with a
 null id are kept out of the linking: component_id is null and ``kept`` false. Rows with the same id and set are one
@@ -38,12 +39,17 @@ PERCENT = 85
 ROWS = 7
 BANDS = 44
 BINS = ROWS * BANDS
-#: Below this many shingles only equal sets reach the threshold: n / (n + 1) is under it.
-LEAST = PERCENT // (100 - PERCENT) + 1
 #: Documents of a block in step 5.
 BLOCK = 512
 
 _SEARCH = 4096
+
+
+def least_size(percent: int) -> int:
+    """Below this many shingles only equal sets reach the threshold: n / (n + 1) is under it."""
+    return -(-percent // (100 - percent))
+
+
 _steps = np.arange(_SEARCH, dtype=np.uint64)[:, None]
 _ORDER = (mix(mix(np.arange(BINS, dtype=np.uint64)[None, :] + np.uint64(1)) + _steps * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int32)
 
@@ -89,13 +95,13 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_key (names the set of shingles), bands (null where only equal sets can be linked)."""
 
     def work(part: pa.Table) -> dict[str, list]:
         sets = list(shingle_sets(_encoded(part["text"].to_pylist())))
         keys = [f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(mix(s).sum(dtype=np.uint64)):x}" for s in sets]
-        large = [i for i, s in enumerate(sets) if len(s) >= LEAST]
+        large = [i for i, s in enumerate(sets) if len(s) >= least_size(percent)]
         found: list = [None] * len(sets)
         for a in range(0, len(large), 512):
             own = large[a : a + 512]
@@ -141,16 +147,16 @@ def _buckets(members: DataFrame) -> DataFrame:
     return keyed.join(stars, "key").filter("id > a").select("a", F.col("id").alias("b")).distinct()
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose full sets reach the threshold."""
     left = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     full = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    bound = F.least(F.size("x"), F.size("y")) * 100 >= PERCENT * F.greatest(F.size("x"), F.size("y"))
+    bound = F.least(F.size("x"), F.size("y")) * 100 >= percent * F.greatest(F.size("x"), F.size("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return full.filter(bound).filter(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return full.filter(bound).filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _links(ids: np.ndarray, roots: np.ndarray, lone: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def _links(ids: np.ndarray, roots: np.ndarray, lone: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between different components among the documents of a pair of blocks, no more than join them up.
 
     ``lone`` counts a document's shingles that no other candidate has: they bound what a pair can share.
@@ -168,20 +174,20 @@ def _links(ids: np.ndarray, roots: np.ndarray, lone: np.ndarray, sets: list[np.n
     found = []
     for i in range(n):
         possible = (label != label[i]) & ((side != side[i]) | (side[i] == 0) & (side == 0) & (np.unique(side).size == 1))
-        possible &= 100 * np.minimum(common, common[i]) >= PERCENT * np.maximum(sizes + lone[i], sizes[i] + lone)
+        possible &= 100 * np.minimum(common, common[i]) >= percent * np.maximum(sizes + lone[i], sizes[i] + lone)
         possible[: i + 1] = False
         if not possible.any():
             continue
         own = spans[i]
         counts = np.bincount(np.concatenate([posting[begin[v] : begin[v + 1]] for v in own]), minlength=n)
-        for j in np.flatnonzero(possible & (100 * counts >= PERCENT * (sizes + sizes[i] - counts))):
+        for j in np.flatnonzero(possible & (100 * counts >= percent * (sizes + sizes[i] - counts))):
             if label[j] != label[i]:
                 found.append((int(ids[i]), int(ids[j])))
                 label[label == label[j]] = label[i]
     return found
 
 
-def _within_groups(state: DataFrame, sets: DataFrame) -> DataFrame:
+def _within_groups(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) inside the groups (id, grp, root) that hold several components.
 
     Blocks of a group are parts by hash; a pair of blocks is one task's group, of about 2 * BLOCK documents.
@@ -195,15 +201,15 @@ def _within_groups(state: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
-        rows = _links(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["lone"].to_numpy(), [np.asarray(s, dtype=np.int64) for s in pdf["shingles"]], pdf["side"].to_numpy())
+        rows = _links(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["lone"].to_numpy(), [np.asarray(s, dtype=np.int64) for s in pdf["shingles"]], pdf["side"].to_numpy(), percent)
         return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
     return loaded.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
-    every = saved(sketched(docs))
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document, linked from ``percent`` of similarity on."""
+    every = saved(sketched(docs, percent))
     sketches = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = sketches.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # A class's smallest id carries its bands on.
@@ -219,16 +225,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     single = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     bounded = sets.select("id", F.size("shingles").alias("n")).join(single, "id", "left").select("id", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
-    able = saved(bounded.filter(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n")).select("id", "lone"))
+    able = saved(bounded.filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")).select("id", "lone"))
     members = saved(heads.join(able, "id").select("id", "bands", "lone"))
     own_sets = saved(sets.join(able.select("id"), "id", "left_semi"))
 
     edges = saved(_buckets(members))
-    links = saved(_confirmed(edges, own_sets))
+    links = saved(_confirmed(edges, own_sets, percent))
     groups = components(edges).select("id", F.col("root").alias("grp"))
     roots = components(links)
     state = groups.join(able, "id").join(roots, "id", "left").select("id", "grp", "lone", F.coalesce("root", "id").alias("root"))
-    more = saved(_within_groups(saved(state), own_sets))
+    more = saved(_within_groups(saved(state), own_sets, percent))
     final = roots if more.isEmpty() else components(links.unionByName(more))
 
     # Classes whose representatives are linked share a component; its id is the smallest representative.
