@@ -33,4 +33,4 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, duck, name):
-    assert rows(ALL[name](spark, SF).toArrow()) == rows(duck.execute(SQL[name]).to_arrow_table())
+    assert rows(ALL[name](spark, SF).toArrow()) == rows(duck.sql(SQL[name]).to_arrow_table())
