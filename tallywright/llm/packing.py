@@ -12,11 +12,12 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Callable
 from functools import cache
 from itertools import combinations_with_replacement
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,17 @@ END_ID = 1
 CLASSES = 128
 #: Rests in one combination at most; the greedy rest may take more.
 DEPTH = 3
-#: Distinct space-led words whose ids a worker remembers.
-MEMORY = 600_000
+#: Distinct space-led words of a generation; a worker remembers the ids of two (about 200 bytes a word).
+MEMORY = 300_000
 
 # White space at which the tokenizer's own splitting is not a plain "new piece before a lone blank".
-_ODD = re.compile("  |[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|\\n | \\n|^ | \\Z")
+_ODD = ("  ", "\n ", " \n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_ODD_WIDE = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def _odd(text: str) -> bool:
+    return text[0] == " " or text[-1] == " " or any(x in text for x in _ODD) or not text.isascii() and any(x in text for x in _ODD_WIDE)
+
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -49,11 +56,13 @@ class Tokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor share its cores already
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         n = self.library.get_vocab_size()
         self.leads = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
 
@@ -61,33 +70,44 @@ class Tokenizer:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encodes many blank-led words in one text; each word's ids begin where a token begins with the blank."""
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        """Encodes many blank-led words in a few texts; each word's ids begin where a token begins with the blank."""
+        parts = [words[k : k + 2000] for k in range(0, len(words), 2000)]
+        for some, coded in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype="<u4")
             cuts = np.append(np.flatnonzero(self.leads[ids]), len(ids)) * 4
             if len(cuts) != len(some) + 1 or cuts[0]:  # a word that does not split so: one by one
                 self.known.update((w, self.whole(" " + w)) for w in some)
                 continue
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            raw, ends = ids.tobytes(), cuts.tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:])), strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
-        parts = [None if not t or _ODD.search(t) else t.split(" ") for t in texts]
-        new = set()
+        parts = [None if not t or _odd(t) else t.split(" ") for t in texts]
+        firsts = [p[0] for p in parts if p]
+        begins = iter(self.library.encode_batch_fast(firsts, add_special_tokens=False)) if firsts else iter(())
+        new: set[str] = set()
         for p in parts:
             if p:
-                new.update(p[1:])
-        missing = [w for w in new if w not in self.known]
+                del p[0]
+                new.update(p)
+        if len(self.known) > MEMORY:  # words that come again are carried over from the generation before
+            self.known, self.before = {}, self.known
+        missing = new - self.known.keys()
+        again = missing & self.before.keys()
+        if again:
+            self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+            missing -= again
         if missing:
-            held = self.known
-            self.learn(missing)
-            if self.known is held and any(w not in held for w in new):  # the memory was emptied meanwhile
-                self.learn([w for w in new if w not in held])
-        return [b"" if not t else self.whole(t) if p is None else self.whole(p[0]) + b"".join(map(self.known.__getitem__, p[1:])) for t, p in zip(texts, parts, strict=True)]
+            self.learn(list(missing))
+        out = []
+        for t, p in zip(texts, parts, strict=True):
+            if p is None:
+                out.append(self.whole(t) if t else b"")
+                continue
+            begin = np.array(next(begins).ids, dtype="<u4").tobytes()
+            out.append(begin + b"".join(itemgetter(*p)(self.known)) if len(p) > 1 else begin + (self.known[p[0]] if p else b""))
+        return out
 
 
 @cache
@@ -116,18 +136,20 @@ def cut(docs: DataFrame, path: Callable[[], str]) -> DataFrame:
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
     """The x >= 0 with least |a x - b|, by active sets: columns enter by gradient, and leave when a step would make them negative."""
     n = a.shape[1]
+    gram, wanted = a.T @ a, a.T @ b
     x, active = np.zeros(n), np.zeros(n, dtype=bool)
-    small = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    small = 1e-9 * max(1.0, float(np.abs(wanted).max(initial=0)))
     for _ in range(rounds):
-        gradient = a.T @ (b - a @ x)
+        gradient = wanted - gram @ x
         gradient[active] = -np.inf
         j = int(gradient.argmax())
         if gradient[j] <= small:
             break
         active[j] = True
         while True:
+            own = np.flatnonzero(active)
             trial = np.zeros(n)
-            trial[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            trial[own] = np.linalg.solve(gram[np.ix_(own, own)] + 1e-10 * np.eye(len(own)), wanted[own])
             bad = active & (trial <= 0)
             if not bad.any():
                 x = trial
