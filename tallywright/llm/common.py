@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,7 +17,9 @@ SPACES = " \t\n\x0b\f\r"
 #: A side of a join is broadcast only after a count showed at most this many narrow rows (about 32 MB at most).
 BROADCAST_ROWS = 1_000_000
 #: Rows per group of texts that a Python task holds at once end at this many characters.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +70,22 @@ def numbered(df: DataFrame, groups: Sequence[str], spread: Column, order: Sequen
     return placed.join(bases, match).withColumn(name, (F.col("_place") + F.col("_base")).cast("long")).select(*df.columns, name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS: documents are long, and a task holds a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives what a task has freed back to the machine: Python workers live on and are shared by all stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.Table]:
     """Arrow batches cut so that each part has about CHUNK_CHARS bytes of text; a longer text is alone."""
     for batch in batches:
@@ -82,6 +102,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 def map_texts(df: DataFrame, schema: str, work: Callable[[pa.Table], dict[str, list]], text: str = "text") -> DataFrame:
     """``work`` turns a part of the rows into columns of ``schema``; it runs where the rows are, without a shuffle."""
+    small_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -91,5 +112,6 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[pa.Table], dict[str, l
         for part in chunks(batches, text):
             columns = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)

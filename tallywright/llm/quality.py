@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .shingles import _CODES, _PLACES, groups, mix, word_hashes
 
 BITS = 18
@@ -198,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column of scores; the model (2**BITS weights, whatever the input's size) is broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))
 
     @F.pandas_udf("double")

@@ -14,7 +14,7 @@ import numpy as np
 
 WIDTH = 5
 #: Texts are hashed in groups of about this many bytes, so memory stays flat however many there are.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
