@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 MAX_TOKENS = 6
@@ -247,10 +247,15 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Weights:
     """Weights from at most ``sample`` documents that have a token of interest."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.col("text").rlike(r"[0-9]@|@[A-Za-z]|\+[0-9]|password|token|secret|[0-9]{4}|[0-9]\.[0-9]") & (F.length("text") < 20_000))
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # a bounded sample, for training alone
-    return train([r["text"] for r in rows])
+    chosen = [r["doc_id"] for r in found.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    if not chosen:
+        return train([])
+    # Ids first, then the texts of these alone: what comes to the driver is bounded by the sample.
+    rows = found.filter(F.col("doc_id").isin(chosen)).limit(sample).collect()
+    return train(sorted(r["text"] for r in rows))
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
