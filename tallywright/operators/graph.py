@@ -25,7 +25,10 @@ def child_counts(df: DataFrame) -> DataFrame:
     return df.filter(F.col("parent_id").isNotNull()).groupBy("tenant_id", F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
 
 
-def direct_impact(df: DataFrame, ids: list) -> DataFrame:
+def direct_impact(df: DataFrame, ids: list | DataFrame) -> DataFrame:
+    """The same for the asked ids: a short list, or a table with id."""
+    if isinstance(ids, DataFrame):
+        return child_counts(df.join(ids.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi"))
     return child_counts(df.filter(F.col("parent_id").isin(ids)))
 
 

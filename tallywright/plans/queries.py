@@ -608,6 +608,57 @@ def g13_validate(spark, d):
     return graph.validate(spark.sql(_SQUARES.format("{", "}"), part=table(spark, d, "part")))
 
 
+# The same operators asked about every 49th id (a step that meets all edge types), and the cycle check over all parts: the work grows with the tables.
+
+_MANY = "(SELECT event_id FROM events WHERE event_id % 49 = 0)"
+_ALL_SQUARES = "SELECT p_partkey AS from_id, (p_partkey * p_partkey + 1) % (SELECT greatest(count(*) - 1, 1) FROM {0}part{1}) + 1 AS to_id FROM {0}part{1}"
+
+
+def _every_49th(rows: DataFrame, column: str = "id") -> DataFrame:
+    return rows.filter(f"{column} % 49 = 0").select(F.col(column).alias("id"))
+
+
+@query(ORACLES["a12_direct_impact"].replace("(1, 2, 40)", _MANY))
+def a12_direct_impact_many(spark, d):
+    rows = adapted(spark, d, "nodes")
+    return graph.direct_impact(rows, _every_49th(rows)).select("id", "n_children")
+
+
+@query(ORACLES["g04_children"].replace(_SEEDS, _MANY))
+def g04_children_many(spark, d):
+    edges = adapted(spark, d, "edges")
+    return graph.children(edges, _every_49th(edges, "from_id"))
+
+
+@query(ORACLES["g05_parents"].replace(_SEEDS, _MANY))
+def g05_parents_many(spark, d):
+    edges = adapted(spark, d, "edges")
+    return graph.parents(edges, _every_49th(edges, "from_id"))
+
+
+@query(ORACLES["g08_impact_edges"].replace(_SEEDS, _MANY))
+def g08_impact_edges_many(spark, d):
+    edges = adapted(spark, d, "edges")
+    return graph.impact_edges(edges.filter("from_id <> to_id"), _every_49th(edges, "from_id"))
+
+
+@query(ORACLES["g09_impact_set"].replace(_SEEDS, _MANY))
+def g09_impact_set_many(spark, d):
+    rows = adapted(spark, d, "nodes")
+    return graph.impact_set(rows, _every_49th(rows))
+
+
+@query(ORACLES["g10_g11_lineage"].replace(_SEEDS, _MANY))
+def g10_g11_lineage_many(spark, d):
+    rows = adapted(spark, d, "nodes")
+    return graph.lineage(rows, adapted(spark, d, "edges"), rows.filter("id % 49 = 0")).drop("tenant_id")
+
+
+@query(ORACLES["g13_validate"].replace(_SQUARES.format("", ""), _ALL_SQUARES.format("", "")).replace("200", "1000"))
+def g13_validate_all(spark, d):
+    return graph.validate(spark.sql(_ALL_SQUARES.format("{", "}"), part=table(spark, d, "part")))
+
+
 # --- Harvest, evidence, checkpoints --------------------------------------------------------------------------------
 
 

@@ -232,3 +232,27 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "tenant_id string, id long, ts long, leaf_hash string, tokens_used long, executions_used long")
     assert chain.chain(none, ["ts"]).count() == 0 and budget.meter(none, ["ts"]).count() == 0
     assert quality.check_unique(none, ["id"]).count() == 0 and filters.tenants(none).count() == 0
+
+
+# --- lineage over whole tables
+
+
+def test_cycle_check_sees_every_part(spark, tmp_path):
+    from tallywright.plans.queries import QUERIES
+
+    n = 3000
+    spark.range(n).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    step = {k: (k * k + 1) % (n - 1) + 1 for k in range(n)}
+    on_cycles = set(range(n))
+    for _ in range(n):
+        on_cycles = {step[k] for k in on_cycles}
+    want = {k for k in on_cycles if step[k] != k}
+    assert max(want) >= 2000
+    assert {r["id"] for r in QUERIES["g13_validate_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_set_queries_ask_more_of_larger_tables(spark):
+    from tallywright.plans.queries import QUERIES
+
+    for name in ("a12_direct_impact", "g04_children", "g05_parents"):
+        assert QUERIES[f"{name}_many"](spark, "/root/testdata/sf0.01").count() > 5 * QUERIES[f"{name}_many"](spark, "/root/testdata/sf0.001").count() > 0
