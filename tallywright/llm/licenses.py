@@ -54,12 +54,12 @@ def label_of(licence: str) -> str:
     return next((label for start, label in IDS if name.startswith(start)), name.rstrip("+"))
 
 
-def postfix(expression: str) -> list[str]:
-    """Shunting yard: the expression in reverse Polish order. Stops at the first token that cannot continue it, as a tag's line goes on with other text."""
+def postfix(expression: str, at: int = 0, end: int | None = None) -> list[str]:
+    """Shunting yard: the expression between two places in reverse Polish order. Stops at the first token that cannot continue it, as a tag's line goes on with other text."""
     out: list[str] = []
     stack: list[str] = []
-    want_operand, at = True, 0
-    while m := _TOKEN.match(expression, at):
+    want_operand, end = True, len(expression) if end is None else end
+    while m := _TOKEN.match(expression, at, end):
         token, low = m[1], m[1].lower()
         if want_operand and token == "(":
             stack.append(token)
@@ -82,16 +82,17 @@ def postfix(expression: str) -> list[str]:
     return out + [x for x in reversed(stack) if x != "("]
 
 
-def evaluate(expression: str) -> tuple[set[str], bool] | None:
+def evaluate(expression: str, at: int = 0, end: int | None = None) -> tuple[set[str], bool] | None:
     """Labels of a licence expression and whether its terms can be met by permissive licences alone; None without a licence."""
     values: list[tuple[set[str], bool]] = []
-    for token in postfix(expression):
+    for token in postfix(expression, at, end):
         if token in _RANK and len(values) >= 2:
             right, left = values.pop(), values.pop()
             if token == "with":
                 values.append(left)
             else:
-                values.append((left[0] | right[0], (left[1] or right[1]) if token == "or" else (left[1] and right[1])))
+                left[0].update(right[0])
+                values.append((left[0], (left[1] or right[1]) if token == "or" else (left[1] and right[1])))
         elif token not in _RANK:
             values.append(({label_of(token)}, label_of(token) in PERMISSIVE))
     return values[-1] if values else None
@@ -127,10 +128,12 @@ def scan(text: str | None) -> tuple:
             n_base += 1
             places.add(before)
             base.add(label)
-    n_tags, verdicts = 0, []
+    n_tags, verdicts, line_end = 0, [], -1
     for end, _ in tags.iter(lowered):
-        line = lowered[end + 1 : end + 301].split("\n", 1)[0]
-        if value := evaluate(line):
+        if line_end <= end:
+            line_end = lowered.find("\n", end + 1)
+            line_end = len(lowered) if line_end < 0 else line_end
+        if value := evaluate(lowered, end + 1, line_end):
             n_tags += 1
             labels |= value[0]
             verdicts.append(value[1])

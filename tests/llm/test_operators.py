@@ -89,6 +89,13 @@ def test_license_tags():
     assert licenses.scan("SPDX-License-Identifier:")[7] == 0
 
 
+def test_license_tags_reach_to_the_end_of_their_line():
+    row = licenses.scan("SPDX-License-Identifier: " + "(MIT OR Apache-2.0) AND " * 40 + "GPL-2.0-only\nAND MPL-2.0")
+    assert row[5] == "apache,gpl,mit" and row[8] is False
+    row = licenses.scan(f"SPDX-License-Identifier:{' ' * 270} MIT OR BSD-3-Clause OR Apache-2.0 SPDX-License-Identifier: ISC")
+    assert row[5] == "apache,bsd,isc,mit" and row[7] == 2 and row[8] is True
+
+
 # --- 2 pages
 
 
