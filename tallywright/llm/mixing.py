@@ -1,10 +1,12 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
-The words of a source's documents stand in one stream (in an order by hash of the document id), cut into blocks
-of a fixed length. Output shards draw the sources of their slots at random, the counts of a shard being
-multinomial; the shards come in waves, and each wave draws in proportion to what the sources still lack of their
-targets. A source's slots are numbered, and a pseudorandom permutation of its blocks, one for each pass over
-them, tells which block a slot holds; slots and blocks are joined by that index.
+The words of a source's documents stand in one stream (in an order by hash of the document id), cut into as few
+blocks of at most BLOCK words as it takes, their lengths equal but for one word, so that slots times a source's mean
+block are its words to within one word a slot. Output shards draw the sources of their slots at random, the counts of
+a shard being multinomial; the shards come in waves, and each wave draws in proportion to what the sources still lack
+of their targets. Slots of a source that has all it wants are drawn again, in shards of their own. A source's slots
+are numbered, and a pseudorandom permutation of its blocks, one for each pass over them, tells which block a slot
+holds; slots and blocks are joined by that index.
 
 No block is drawn more than twice, so no document exceeds twice its size. Every random number is a hash of a
 place and the seed: reruns agree. Null texts and texts without words have size 0, and nothing is taken of them.
@@ -14,7 +16,7 @@ empty results. One row per source is handled as a table that may be counted, nev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, saved, small_join
@@ -24,11 +26,14 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No source gives more than this many times its words.
 PASSES = 2
+#: Words of a block at most.
 BLOCK = 32
 #: Slots of an output shard.
 SHARD_SLOTS = 256
 #: Each wave takes two thirds of the shards that are left; the last takes them all.
 WAVES = 4
+#: So often at most what was drawn in vain is drawn again; it ends earlier with a thousandth or less left.
+REDRAWS = 10
 #: Cells of the table that maps random numbers to sources.
 CELLS = 1024
 
@@ -76,27 +81,33 @@ def _cells(need: DataFrame) -> DataFrame:
     return spans.select("*", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
 
 
-def draw(spark_range: DataFrame, targets: DataFrame, n_slots: int, seed: int) -> DataFrame:
-    """shard, slot, _source for all slots. ``spark_range`` has the ids 0 to n_slots - 1."""
+def wanted(targets: DataFrame) -> DataFrame:
+    """targets with n_blocks, want (slots that give the target at the source's mean words a block) and room (the most slots it may have)."""
+    n_blocks = F.ceil(F.col("source_size") / BLOCK)
+    want = F.when(F.col("source_size") > 0, F.col("target") * n_blocks / F.col("source_size")).otherwise(0.0)
+    out = targets.withColumn("n_blocks", n_blocks).withColumn("want", want)
+    return out.withColumn("room", F.least(F.ceil("want"), PASSES * F.col("n_blocks")))
+
+
+def draw(spark: SparkSession, targets: DataFrame, n_slots: int, seed: int) -> DataFrame:
+    """shard, slot, _source of all slots; a source may have more than its room, and as many others are there in addition. ``targets`` has want and room."""
     drawn: DataFrame | None = None
-    begin, remaining = 0, -(-n_slots // SHARD_SLOTS)
-    slots = spark_range.select((F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), F.pmod("id", F.lit(SHARD_SLOTS)).alias("slot"), _unit(F.lit(seed), F.lit("source"), "id").alias("u"))
-    want = F.col("target") / BLOCK
-    for wave in range(WAVES):
-        end = begin + (remaining if wave == WAVES - 1 else -(-remaining * 2 // 3))
-        if drawn is None:
-            need = targets.select("_source", want.alias("need"))
-        else:
-            had = drawn.groupBy("_source").agg(F.count(F.lit(1)).alias("had"))
-            need = targets.join(had, "_source", "left").select("_source", F.greatest(F.lit(0.0), want - F.coalesce("had", F.lit(0))).alias("need"))
-        cells = _cells(need)
-        own = slots.filter((F.col("shard") >= begin) & (F.col("shard") < end)).withColumn("cell", F.floor(F.col("u") * CELLS))
-        hit = small_join(own, cells, ["cell"]).filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("shard", "slot", "_source")
-        hit = saved(hit)
+    begin, left, need = 0, n_slots, targets.select("_source", F.col("want").alias("need"))
+    for wave in range(WAVES + REDRAWS):
+        shards = -(-left // SHARD_SLOTS)
+        n = left if wave >= WAVES - 1 else min(left, -(-shards * 2 // 3) * SHARD_SLOTS)
+        ids = spark.range(begin, begin + n)
+        slots = ids.select((F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), F.pmod("id", F.lit(SHARD_SLOTS)).alias("slot"), _unit(F.lit(seed), F.lit("source"), "id").alias("u"))
+        own = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
+        hit = saved(small_join(own, _cells(need), ["cell"]).filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("shard", "slot", "_source"))
         drawn = hit if drawn is None else drawn.unionByName(hit)
-        remaining -= end - begin
-        begin = end
-        if not remaining:
+        begin += -(-n // SHARD_SLOTS) * SHARD_SLOTS
+        had = drawn.groupBy("_source").agg(F.count(F.lit(1)).alias("had"))
+        state = saved(targets.join(had, "_source", "left").select("_source", "want", F.least("room", F.coalesce("had", F.lit(0))).alias("had")))
+        need = state.select("_source", F.greatest(F.lit(0.0), F.col("want") - F.col("had")).alias("need"))
+        row = state.agg(F.sum("had"), F.sum(F.greatest(F.lit(0.0), F.col("want") - F.col("had")))).first()
+        left = n_slots - row[0]
+        if left <= 0 or not row[1] or wave >= WAVES - 1 and 1000 * left <= n_slots:
             break
     return drawn
 
@@ -105,10 +116,11 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     sizes = saved(sized(docs))
     spark = docs.sparkSession
-    targets = saved(source_targets(sizes))
+    targets = saved(wanted(source_targets(sizes)))
     n_docs, n_sources = sizes.count(), targets.count()
-    known = small_join(sizes, targets.select("_source", "source_size", "target"), ["_source"], rows=n_sources)
-    n_slots = int((targets.agg(F.sum("target")).first()[0] or 0.0) / BLOCK + 0.5)
+    known = small_join(sizes, targets.select("_source", "source_size", "target", "n_blocks"), ["_source"], rows=n_sources)
+    slots_wanted = targets.agg(F.sum("want")).first()[0] or 0.0
+    n_slots = max(1, int(slots_wanted + 0.5)) if slots_wanted else 0
     full = known.filter("size > 0")
     none = known.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     if not n_slots:
@@ -116,21 +128,31 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     # Streams: where each document starts among its source's words, and which blocks it touches.
     at = saved(numbered(full, ["_source"], F.xxhash64("doc_id", F.lit(seed)), ["doc_id", "size"], n_docs, "start", weight="size"))
-    first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    pieces = at.select("_source", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
-    pieces = pieces.select("_source", "start", "block", words.alias("words"))
+    # The first blocks of a source have one word more: ``long`` blocks of ``least`` + 1 words, then blocks of ``least``.
+    least = F.floor(F.col("source_size") / F.col("n_blocks"))
+    spans = at.withColumn("least", least).withColumn("long", F.col("source_size") - F.col("n_blocks") * F.col("least"))
+
+    def block_of(word: Column) -> Column:
+        edge = F.col("long") * (F.col("least") + 1)
+        return F.when(word < edge, F.floor(word / (F.col("least") + 1))).otherwise(F.col("long") + F.floor((word - edge) / F.col("least")))
+
+    def begin_of(block: Column) -> Column:
+        return block * F.col("least") + F.least(block, F.col("long"))
+
+    first, last = block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1)
+    pieces = spans.select("_source", "start", "size", "least", "long", F.explode(F.sequence(first, last)).alias("block"))
+    words = F.least(F.col("start") + F.col("size"), begin_of(F.col("block") + 1)) - F.greatest(F.col("start"), begin_of(F.col("block")))
+    pieces = pieces.select("_source", "start", "block", words.alias("words"), (F.col("start") <= begin_of(F.col("block"))).alias("heads"))
 
     # Slots of a source, numbered; passes over its blocks have permutations of their own.
-    slots = draw(spark.range(n_slots), targets, n_slots, seed)
+    slots = draw(spark, targets, n_slots, seed)
     slots = numbered(slots, ["_source"], F.xxhash64("shard", "slot"), ["shard", "slot"], n_slots, "place")
-    n_blocks = F.ceil(F.col("source_size") / BLOCK)
-    counts = targets.select("_source", n_blocks.alias("n_blocks"))
-    slots = small_join(slots, counts, ["_source"], rows=n_sources).filter(F.col("place") < PASSES * F.col("n_blocks"))
+    counts = targets.select("_source", "n_blocks", "room")
+    slots = small_join(slots, counts, ["_source"], rows=n_sources).filter(F.col("place") < F.col("room"))
     slots = slots.select("_source", F.floor(F.col("place") / F.col("n_blocks")).alias("turn"), F.pmod("place", F.col("n_blocks")).alias("index"))
 
     # The permutation of a pass: a block's rank among its source's blocks by hash.
-    blocks = pieces.filter(F.col("start") <= F.col("block") * BLOCK).select("_source", "block")  # a block's first word is in one document
+    blocks = pieces.filter("heads").select("_source", "block")  # a block's first word is in one document
     turns = blocks.select("_source", "block", F.explode(F.array(*[F.lit(t).cast("long") for t in range(PASSES)])).alias("turn"))
     by_hash = F.xxhash64("_source", "block", "turn", F.lit(seed))
     indexed = numbered(turns, ["_source", "turn"], by_hash, [by_hash, "block"], n_slots * PASSES, "index")
