@@ -38,10 +38,10 @@ REDRAWS = 10
 CELLS = 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, _source (struct, so that nulls join), size. White space is ASCII's."""
+def sized(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, _row, _source (struct, so that nulls join), size. White space is ASCII's."""
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.col("source").cast("string").alias("s")).alias("_source"), words.cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.cast("long").alias("_row"), F.struct(F.col("source").cast("string").alias("s")).alias("_source"), words.cast("long").alias("size"))
 
 
 def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -112,22 +112,23 @@ def draw(spark: SparkSession, targets: DataFrame, n_slots: int, seed: int) -> Da
     return drawn
 
 
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
-    sizes = saved(sized(docs))
+def mix(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every document, and the column ``row`` if one is named that tells rows apart."""
+    sizes = saved(sized(docs, F.col(row) if row else F.lit(None)))
     spark = docs.sparkSession
     targets = saved(wanted(source_targets(sizes)))
     n_docs, n_sources = sizes.count(), targets.count()
     known = small_join(sizes, targets.select("_source", "source_size", "target", "n_blocks"), ["_source"], rows=n_sources)
     slots_wanted = targets.agg(F.sum("want")).first()[0] or 0.0
     n_slots = max(1, int(slots_wanted + 0.5)) if slots_wanted else 0
+    columns = ["doc_id", "size", "source_size", "target", *([F.col("_row").alias(row)] if row else [])]
     full = known.filter("size > 0")
-    none = known.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    none = known.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
     if not n_slots:
-        return none.unionByName(full.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+        return none.unionByName(full.select(*columns, F.lit(0).cast("long").alias("taken")))
 
     # Streams: where each document starts among its source's words, and which blocks it touches.
-    at = saved(numbered(full, ["_source"], F.xxhash64("doc_id", F.lit(seed)), ["doc_id", "size"], n_docs, "start", weight="size"))
+    at = saved(numbered(full, ["_source"], F.xxhash64(F.coalesce("doc_id", "_row"), F.lit(seed)), ["doc_id", "size", "_row"], n_docs, "start", weight="size"))
     # The first blocks of a source have one word more: ``long`` blocks of ``least`` + 1 words, then blocks of ``least``.
     least = F.floor(F.col("source_size") / F.col("n_blocks"))
     spans = at.withColumn("least", least).withColumn("long", F.col("source_size") - F.col("n_blocks") * F.col("least"))
@@ -159,5 +160,5 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     taken = slots.join(indexed, ["_source", "turn", "index"]).groupBy("_source", "block").agg(F.count(F.lit(1)).alias("times"))
 
     sums = pieces.join(taken, ["_source", "block"]).groupBy("_source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = at.join(sums, ["_source", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = at.join(sums, ["_source", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out.unionByName(none)
