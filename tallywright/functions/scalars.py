@@ -9,11 +9,30 @@ from pyspark.sql import functions as F
 OID_NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
 GENESIS = "20b79ab70d6c1b43eaa927d0f8b1ede13353e43a450ae9ef9376eaba2231e0ab"
 STATUSES = ("draft", "review", "approved", "canonical", "superseded", "archived", "deprecated", "active", "quarantined")
-#: Token estimates that do not look at the payload; those of PREFIXED also count with "mcp_" before the name.
-PREFIXED = {"get_lineage": 30, "detect_contradictions": 50, "get_impact": 30, "checkpoint_save": 50}
-PLAIN = {"checkpoint_restore": 20, "handoff": 40}
-#: Surcharges of the conservative estimate, by the first and last part of a dotted operation name.
-SURCHARGES = {("mcp", "propose_decision"): 500, ("api", "propose_decision"): 500, ("mcp", "query"): 300, ("api", "query"): 300, ("mcp", "detect_contradictions"): 800, ("agent", "checkpoint"): 400}
+# Operation names and their token estimates. "{tool}" stands for the name under which the tool server is registered.
+#: Estimates that do not look at the payload.
+FLAT_ESTIMATES = {
+    "get_lineage": 30,
+    "mcp_get_lineage": 30,
+    "detect_contradictions": 50,
+    "mcp_detect_contradictions": 50,
+    "get_impact": 30,
+    "mcp_get_impact": 30,
+    "checkpoint_save": 50,
+    "mcp_checkpoint_save": 50,
+    "checkpoint_restore": 20,
+    "handoff": 40,
+}
+#: Surcharges of the conservative estimate.
+SURCHARGES = {
+    "mcp.{tool}.propose_decision": 500,
+    "api.propose_decision": 500,
+    "mcp.{tool}.query": 300,
+    "api.query": 300,
+    "mcp.{tool}.detect_contradictions": 800,
+    "agent.checkpoint": 400,
+}
+TOOL = "ledger"
 
 
 def _text(c: Column | str) -> Column:
@@ -81,20 +100,17 @@ def estimate_tokens(operation: Column, payload: Column) -> Column:
     said = F.coalesce(filled("title"), filled("statement"), filled("decision"), F.lit(""))
     asked = F.coalesce(filled("query"), F.lit(""))
     out = F.when(op.isin("propose_decision", "mcp_propose_decision"), 100 + F.floor(F.octet_length(said) / 4)).when(op.isin("query", "mcp_query"), 50 + F.floor(F.octet_length(asked) / 4))
-    for name, n in PREFIXED.items():
-        out = out.when(op.isin(name, "mcp_" + name), F.lit(n))
-    for name, n in PLAIN.items():
+    for name, n in FLAT_ESTIMATES.items():
         out = out.when(op == name, F.lit(n))
     return out.otherwise(F.lit(100)).cast("long")
 
 
-def estimate_tokens_conservative(operation: Column, payload_json: Column) -> Column:
-    """200, a surcharge by operation, and a quarter of the payload's bytes, rounded up; a null payload adds nothing."""
-    parts = F.split(_text(operation), r"\.")
-    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+def estimate_tokens_conservative(operation: Column, payload_json: Column, tool: str = TOOL) -> Column:
+    """200, a surcharge by the whole operation name, and a quarter of the payload's bytes, rounded up; a null payload adds nothing (X09). ``tool`` is the name in the tool server's operations."""
+    op = _text(operation)
     extra = F.lit(0)
-    for (a, b), n in SURCHARGES.items():
-        extra = F.when((first == a) & (last == b), F.lit(n)).otherwise(extra)
+    for name, n in SURCHARGES.items():
+        extra = F.when(op == name.format(tool=tool), F.lit(n)).otherwise(extra)
     return (200 + extra + F.ceil(F.octet_length(_text(payload_json)) / 4)).cast("long")
 
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import running_sum
 from .fold import ordered_fold
 
 
 #: The state of a tenant before its first request.
 FRESH = ("fresh",)
+ADMISSION = "allowed boolean, remaining_tokens long, remaining_executions long, response_status string, table_status string"
 
 
 def _admit(state: tuple[int, int, str], row: tuple) -> tuple[tuple[int, int, str], tuple]:
     tokens, executions, status = state
-    use, runs = int(row[0]), int(row[1])
-    if use < 0 or runs < 0:
+    use, runs = row[0], row[1]
+    if use is None or runs is None or use < 0 or runs < 0:
         return state, (False, tokens, executions, "rejected", status)
     if tokens - use >= 0 and executions - runs >= 0:
         tokens, executions = tokens - use, executions - runs
@@ -26,19 +28,20 @@ def _admit(state: tuple[int, int, str], row: tuple) -> tuple[tuple[int, int, str
 def meter(requests: DataFrame, order: list[str], tokens: int = 1_000_000, executions: int = 10_000) -> DataFrame:
     """Admission in order per tenant (W09): a request runs if tokens and executions both stay at 0 or above; a denied one
     consumes nothing, so a later smaller one may run. The table's status sticks at exhausted; the response's does not.
-    Negative amounts are rejected. Start balances are the defaults, or the columns start_tokens and start_executions
-    (constant within a tenant) where the requests have them.
+    Negative and null amounts are rejected and change nothing. Start balances are the defaults, or the columns start_tokens and start_executions
+    (constant within a tenant, the defaults where null) where the requests have them. Amounts count as whole numbers.
     """
     rows = requests
     for name, value in (("start_tokens", tokens), ("start_executions", executions)):
-        if name not in requests.columns:
-            rows = rows.withColumn(name, F.lit(value).cast("long"))
-    step_inputs = ["tokens_used", "executions_used", "start_tokens", "start_executions"]
+        given = F.col(name).cast("long") if name in requests.columns else F.lit(None).cast("long")
+        rows = rows.withColumn(f"_{name}", F.coalesce(given, F.lit(value).cast("long")))
+    rows = rows.withColumns({"_use": F.col("tokens_used").cast("long"), "_runs": F.col("executions_used").cast("long")})
+    added = ["_use", "_runs", "_start_tokens", "_start_executions"]
 
     def step(state, row):
-        return _admit(state if state != FRESH else (int(row[2]), int(row[3]), "active"), row)
+        return _admit(state if state != FRESH else (row[2], row[3], "active"), row)
 
-    return ordered_fold(rows, ["tenant_id"], order, step_inputs, lambda _: FRESH, step, "allowed boolean, remaining_tokens long, remaining_executions long, response_status string, table_status string").drop(*[c for c in ("start_tokens", "start_executions") if c not in requests.columns])
+    return ordered_fold(rows, ["tenant_id"], order, added, lambda _: FRESH, step, ADMISSION).drop(*added)
 
 
 def final_budgets(metered: DataFrame, order: list[str]) -> DataFrame:
@@ -48,25 +51,26 @@ def final_budgets(metered: DataFrame, order: list[str]) -> DataFrame:
 
 
 def draw_down(requests: DataFrame, budgets: DataFrame, order: list[str]) -> DataFrame:
-    """Tokens alone, with what remains after each request; more than remains, or no budget, is an error row."""
-    known = requests.join(budgets.select("tenant_id", F.col("token_balance").cast("long").alias("_start")), "tenant_id", "left")
+    """Tokens alone, with what remains after each request; more than remains, no amount or no budget is an error row."""
+    known = requests.join(budgets.select("tenant_id", F.col("token_balance").cast("long").alias("_start")), "tenant_id", "left").withColumn("_use", F.col("tokens_used").cast("long"))
 
     def step(state, row):
-        left = state[0] if state else (None if row[1] is None or row[1] != row[1] else int(row[1]))
+        left = state[0] if state else row[1]
         if left is None:
             return (None,), (None, "no budget")
-        use = int(row[0])
-        if use > left:
+        if row[0] is None:
+            return (left,), (left, "no amount")
+        if row[0] > left:
             return (left,), (left, "insufficient budget")
-        return (left - use,), (left - use, None)
+        return (left - row[0],), (left - row[0], None)
 
-    return ordered_fold(known, ["tenant_id"], order, ["tokens_used", "_start"], lambda _: (), step, "remaining_after long, error string").drop("_start")
+    return ordered_fold(known, ["tenant_id"], order, ["_use", "_start"], lambda _: (), step, "remaining_after long, error string").drop("_start", "_use")
 
 
 def running_spend(ledger: DataFrame, order: list[str], limit: int) -> DataFrame:
-    """Tokens spent so far and their share of the limit."""
-    so_far = Window.partitionBy("tenant_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("spent", F.sum("tokens_used").over(so_far)).withColumn("share", F.round(F.col("spent") / F.lit(limit), 6))
+    """Tokens spent so far, null amounts counting as 0, and their share of the limit (W11). No task sees a whole tenant: see :func:`running_sum`."""
+    summed = running_sum(ledger.withColumn("_use", F.coalesce("tokens_used", F.lit(0))), ["tenant_id"], order, "_use", "spent").drop("_use")
+    return summed.withColumn("share", F.round(F.col("spent") / F.lit(limit), 6))
 
 
 def ledger_rollup(ledger: DataFrame, by: list[str]) -> DataFrame:

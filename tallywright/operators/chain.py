@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import small_join
 from ..functions.scalars import GENESIS, chain_hash, snapshot_hash
 from ..sources.tables import insert_ignore
 from .filters import latest_snapshot
@@ -54,14 +55,21 @@ def audit_chain(chained: DataFrame, recomputed_leaf: Column | None = None, leaf:
 def inclusion_proof(chained: DataFrame, ids: list, id_col: str = "id", leaf: str = "leaf_hash") -> DataFrame:
     """For each asked write its parent root and the later leaves, and whether folding them gives the tenant's root.
 
-    Proofs are as long as the rest of the chain by construction; ask for few ids.
+    A proof is the rest of the chain by construction: it is folded in order by :func:`ordered_fold`, one leaf at a
+    time, so no row holds it. Ask for few ids: each asked one reads what its tenant wrote after it.
     """
     asked = chained.filter(F.col(id_col).isin(ids)).select("tenant_id", F.col(id_col).alias("_id"), F.col("parent_root").alias("_parent"), F.col(leaf).alias("_leaf"), F.col("height").alias("_h"))
     later = chained.select("tenant_id", "height", F.col(leaf).alias("_l"), F.col("root_hash").alias("_r"))
-    joined = later.join(F.broadcast(asked), "tenant_id").filter(F.col("height") >= F.col("_h"))
-    grouped = joined.groupBy("tenant_id", "_id").agg(F.first("_parent").alias("parent_root"), F.first("_leaf").alias("leaf_hash"), F.first("_h").alias("height"), F.transform(F.array_sort(F.collect_list(F.struct("height", "_l"))), lambda x: x["_l"]).alias("_all"), F.max_by("_r", "height").alias("root_hash"))
-    folded = F.aggregate("_all", F.col("parent_root"), lambda acc, x: F.sha2(F.concat(acc, x), 256))
-    return grouped.select("tenant_id", F.col("_id").alias(id_col), "leaf_hash", "parent_root", "height", "root_hash", (F.size("_all") - 1).alias("proof_length"), (folded == F.col("root_hash")).alias("included"))
+    joined = small_join(later, asked, ["tenant_id"]).filter(F.col("height") >= F.col("_h"))
+
+    def step(state: tuple, row: tuple) -> tuple:
+        parent, leaf_, root = row
+        now = hashlib.sha256(((state[0] if state else parent or "") + (leaf_ or "")).encode()).hexdigest()
+        return (now,), (now == root,)
+
+    folded = ordered_fold(joined, ["tenant_id", "_id"], ["height"], ["_parent", "_l", "_r"], lambda _: (), step, "_ok boolean")
+    first = folded.groupBy("tenant_id", F.col("_id").alias(id_col)).agg(F.first("_leaf").alias("leaf_hash"), F.first("_parent").alias("parent_root"), F.first("_h").alias("height"), F.max_by("_r", "height").alias("root_hash"), (F.count(F.lit(1)) - 1).alias("proof_length"), F.max_by("_ok", "height").alias("included"))
+    return first.select("tenant_id", id_col, "leaf_hash", "parent_root", "height", "root_hash", "proof_length", "included")
 
 
 def proofs(chained: DataFrame, roots: DataFrame, leaf: str = "leaf_hash") -> DataFrame:

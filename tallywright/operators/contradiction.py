@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from ..common import saved
 from ..functions.scalars import uuid_v5
 from .fold import ordered_fold
 
 SKIPPED = ("quarantined", "superseded")
+#: Fixed value: the sentence that tells people why a row is quarantined.
+REASON = "Proposed decision '%s' contradicts active decision '%s' (ID: %s) in scope %s/%s"
 
 
 @dataclass(frozen=True)
@@ -41,107 +44,191 @@ def title_class(title: Column, rule: Rule = RULES[0]) -> Column:
     return F.when(low.contains(rule.one) & low.contains(rule.other), "AB").when(low.contains(rule.one), "A").when(low.contains(rule.other), "B").otherwise("none")
 
 
+def _lookups(new: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """tenant_id, id and the keys under which a new row looks for others: its scope, where "*" means any, and a term: its title, or a word that a rule opposes to one of its own."""
+    low = F.lower(F.coalesce("title", F.lit("")))
+    system = F.coalesce("scope_system", F.lit(""))
+    terms = [F.concat(F.lit("title "), F.coalesce("title", F.lit("")))]
+    for n, r in enumerate(rules):
+        ruled = system.isin(*r.systems)
+        terms += [F.when(ruled & low.contains(r.one), F.lit(f"word {n} other")), F.when(ruled & low.contains(r.other), F.lit(f"word {n} one"))]
+    return new.select("tenant_id", "id", _scope_key("scope_domain").alias("_d"), _scope_key("scope_system").alias("_s"), F.explode(F.array_compact(F.array(*terms))).alias("_term"))
+
+
+def _scope_key(part: str) -> Column:
+    value = F.coalesce(part, F.lit(""))
+    return F.when(value == "", "*").otherwise(F.concat(F.lit("="), value))
+
+
+def _findable(old: DataFrame, rules: tuple[Rule, ...], patterns: list[tuple[bool, bool]]) -> DataFrame:
+    """tenant_id, conflicting_id, conflicting_at and the keys under which a row is found, for each of the scope patterns (domain given, system given) that lookups have."""
+    low = F.lower(F.coalesce("title", F.lit("")))
+    terms = [F.concat(F.lit("title "), F.coalesce("title", F.lit("")))]
+    for n, r in enumerate(rules):
+        terms += [F.when(low.contains(r.one), F.lit(f"word {n} one")), F.when(low.contains(r.other), F.lit(f"word {n} other"))]
+    domain, system = F.concat(F.lit("="), F.coalesce("scope_domain", F.lit(""))), F.concat(F.lit("="), F.coalesce("scope_system", F.lit("")))
+    scopes = [F.struct((domain if d else F.lit("*")).alias("d"), (system if s else F.lit("*")).alias("s")) for d, s in patterns]
+    rows = old.select("tenant_id", F.col("id").alias("conflicting_id"), F.col("created_at").alias("conflicting_at"), F.array(*scopes).alias("_scopes"), F.explode(F.array_compact(F.array(*terms))).alias("_term"))
+    return rows.select("*", F.explode("_scopes").alias("_at")).select("tenant_id", "conflicting_id", "conflicting_at", F.col("_at.d").alias("_d"), F.col("_at.s").alias("_s"), "_term")
+
+
+_KEYS = ["tenant_id", "_d", "_s", "_term"]
+
+
+def _matched(new: DataFrame, existing: DataFrame, rules: tuple[Rule, ...], skipped: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    looks = _lookups(new, rules)
+    patterns = [tuple(r) for r in looks.select(F.col("_d") != "*", F.col("_s") != "*").distinct().collect()]  # four rows at most
+    old = existing.filter(~F.coalesce("status", F.lit("")).isin(*skipped))
+    return looks, _findable(old, rules, patterns or [(True, True)])
+
+
 def conflict_pairs(new: DataFrame, existing: DataFrame, rules: tuple[Rule, ...] = RULES, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """(tenant_id, id, conflicting_id, conflicting_at): each new row with every active row that contradicts it.
+    """(tenant_id, id, conflicting_id, conflicting_at): each new row with every active row that contradicts it.
 
-    Joins are by equality: equal titles on tenant, scope and title; opposing words on tenant, scope and the class
-    that is opposed, so unrelated rows of a busy scope never meet. An empty scope part of the new row means any:
-    such rows join on the other part, or on the tenant alone.
+    One join by equality on tenant, scope and term, so rows of a busy scope meet only where they contradict each
+    other. An empty scope part of the new row means any. As long as the pairs themselves: for the earliest conflict
+    take :func:`earliest_conflicts`. Null titles count as empty.
     """
-    old = existing.filter(~F.coalesce("status", F.lit("")).isin(*skipped)).select("tenant_id", F.col("id").alias("conflicting_id"), F.col("title").alias("_title"), F.col("scope_domain").alias("_domain"), F.col("scope_system").alias("_system"), F.col("created_at").alias("conflicting_at"))
-    fresh = new.select("tenant_id", "id", "title", F.coalesce("scope_domain", F.lit("")).alias("d"), F.coalesce("scope_system", F.lit("")).alias("s"))
-    parts = []
-    for domain, system in ((True, True), (True, False), (False, True), (False, False)):
-        own = fresh.filter((F.col("d") != "") if domain else (F.col("d") == "")).filter((F.col("s") != "") if system else (F.col("s") == ""))
-        scope = [F.col("n.tenant_id") == F.col("o.tenant_id")] + [F.col("n.d") == F.col("o._domain")] * domain + [F.col("n.s") == F.col("o._system")] * system
-        same = own.alias("n").join(old.alias("o"), [*scope, F.col("n.title") == F.col("o._title")])
-        found = [same]
-        for r in rules:
-            if system:  # without a system no rule applies
-                for one, other in ((r.one, r.other), (r.other, r.one)):
-                    left = own.filter(F.col("s").isin(*r.systems) & F.lower("title").contains(one))
-                    right = old.filter(F.lower("_title").contains(other))
-                    found.append(left.alias("n").join(right.alias("o"), scope))
-        parts += [p.filter(F.col("n.id") != F.col("o.conflicting_id")).select("n.tenant_id", "n.id", "o.conflicting_id", "o.conflicting_at") for p in found]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    looks, found = _matched(new, existing, rules, skipped)
+    return looks.join(found, _KEYS).filter(F.col("id") != F.col("conflicting_id")).select("tenant_id", "id", "conflicting_id", "conflicting_at").distinct()
 
 
 def first_conflict(pairs: DataFrame) -> DataFrame:
-    """The earliest conflicting row of each new one."""
+    """The earliest conflicting row of each new one out of given pairs."""
     return pairs.groupBy("tenant_id", "id").agg(F.min(F.struct("conflicting_at", "conflicting_id")).alias("m")).select("tenant_id", "id", F.col("m.conflicting_id").alias("conflicting_id"))
 
 
-def quarantine(new: DataFrame, existing: DataFrame | None = None, rule: Rule = RULES[0]) -> DataFrame:
-    """new with status and conflicting_id as if its rows came one after another by (created_at, id).
+def earliest_conflicts(new: DataFrame, existing: DataFrame, rules: tuple[Rule, ...] = RULES, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """(tenant_id, id, conflicting_id): the earliest active row that contradicts each new one (C04), without the pairs.
+
+    Existing rows come down to the first two of each key before they are joined (the second counts where the first
+    is the new row itself), so the join has one row a key.
+    """
+    looks, found = _matched(new, existing, rules, skipped)
+    place = F.struct("conflicting_at", "conflicting_id")
+    one = saved(found.groupBy(*_KEYS).agg(F.min(place).alias("_one")))
+    two = found.join(one, _KEYS).filter(F.col("conflicting_id") != F.col("_one.conflicting_id")).groupBy(*_KEYS).agg(F.min(place).alias("_two"))
+    firsts = one.join(two, _KEYS, "left")
+    hit = F.when(F.col("_one.conflicting_id") != F.col("id"), F.col("_one")).otherwise(F.col("_two"))
+    return first_conflict(looks.join(firsts, _KEYS).select("tenant_id", "id", hit.alias("_hit")).filter("_hit IS NOT NULL").select("tenant_id", "id", "_hit.*"))
+
+
+def _worded(title: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a title has a word of any rule."""
+    low, out = F.lower(F.coalesce(title, F.lit(""))), F.lit(False)
+    for r in rules:
+        out = out | low.contains(r.one) | low.contains(r.other)
+    return out
+
+
+def _without_existing(new: DataFrame, existing: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """new with ``_hit``, the earliest active existing row in conflict with it."""
+    if existing is None:
+        return new.withColumn("_hit", F.lit(None).cast(new.schema["id"].dataType))
+    hits = earliest_conflicts(new, existing, rules).withColumnRenamed("conflicting_id", "_hit")
+    return new.join(hits, ["tenant_id", "id"], "left")
+
 
-    Rows in conflict with an active existing row are quarantined. Among the rest the sequential rule has a closed
-    form per tenant and scope: a row falls if its title was there before, or if the first row with a word of the
-    rule has the opposing one. Two windows, no loop. For rows whose scope parts are all set; others, and several
-    rules at once, take :func:`quarantine_fold`.
+def quarantine(new: DataFrame, existing: DataFrame | None = None, rules: Rule | tuple[Rule, ...] = RULES) -> DataFrame:
+    """new with status, conflicting_id and conflict_kind as if its rows came one after another by (created_at, id).
+
+    Rows in conflict with an active existing row are quarantined. Rows of one tenant can then only meet where they
+    have the same title, or where both have words of rules; these are the groups of :func:`quarantine_fold`. Groups
+    in which every row has both scope parts, under one rule, have a closed form per tenant and scope: a row falls
+    if its title was there before, or if the first row with a word of the rule has the opposing one: two
+    aggregates and two joins, no window and no loop. The others (empty scope parts, several rules) are folded. Ids
+    are taken to be unique in a tenant; null titles and scopes count as empty.
     """
-    if existing is not None:
-        hits = first_conflict(conflict_pairs(new, existing, (rule,))).withColumnRenamed("conflicting_id", "_hit")
-        rows = new.join(hits, ["tenant_id", "id"], "left")
+    rules = (rules,) if isinstance(rules, Rule) else tuple(rules)
+    rows = _without_existing(new, existing, rules)
+    empty = (F.coalesce("scope_domain", F.lit("")) == "") | (F.coalesce("scope_system", F.lit("")) == "")
+    rows = saved(rows.withColumns({"_wild": empty, "_group": group_of(rules)}))
+    hit = rows.filter("_hit IS NOT NULL").withColumns({"conflicting_id": F.col("_hit"), "conflict_kind": F.lit("existing")})
+    free = rows.filter("_hit IS NULL")
+    if len(rules) == 1:
+        wild = free.filter("_wild").select("tenant_id", "_group").distinct().withColumn("_folded", F.lit(True))
+        free = free.alias("r").join(wild.alias("w"), F.col("r.tenant_id").eqNullSafe(F.col("w.tenant_id")) & (F.col("r._group") == F.col("w._group")), "left").select("r.*", "_folded")
+        settled = [hit, _closed_form(free.filter("_folded IS NULL").drop("_folded"), rules[0])]
+        rest = free.filter("_folded").drop("_folded")
     else:
-        rows = new.withColumn("_hit", F.lit(None).cast(new.schema["id"].dataType))
-    rows = rows.withColumn("_open", F.col("_hit").isNull())
-    scope = ["tenant_id", "scope_domain", "scope_system", "_open"]
-    order = [F.col("created_at"), F.col("id")]
-    by_title = Window.partitionBy(*scope, "title").orderBy(*order)
-    by_scope = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cls = F.when(F.col("scope_system").isin(*rule.systems), title_class(F.col("title"), rule)).otherwise("none")
-    rows = rows.withColumn("_class", cls).withColumn("_t", F.row_number().over(by_title)).withColumn("_first_title", F.first("id").over(by_title))
-    lead = F.first(F.when(F.col("_class") != "none", F.struct("_class", "id")), ignorenulls=True).over(by_scope)
-    rows = rows.withColumn("_lead", lead)
-    word = (F.col("_class") != "none") & (F.col("id") != F.col("_lead.id")) & ~((F.col("_class") == F.col("_lead._class")) & (F.col("_class") != "AB"))
-    word = F.coalesce(word, F.lit(False))
-    conflicting = F.when(~F.col("_open"), F.col("_hit")).when(word, F.col("_lead.id")).when(F.col("_t") > 1, F.col("_first_title"))
-    kind = F.when(~F.col("_open"), "existing").when(word, "keyword").when(F.col("_t") > 1, "title")
-    out = rows.withColumn("conflicting_id", conflicting).withColumn("conflict_kind", kind)
+        settled, rest = [hit], free
+    out = settled[0]
+    for part in [*settled[1:], _folded(rest, rules)]:
+        out = out.unionByName(part)
     return out.withColumn("status", F.when(F.col("conflicting_id").isNotNull(), "quarantined").otherwise(F.col("status"))).select(*new.columns, "conflicting_id", "conflict_kind")
 
 
-def quarantine_fold(new: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The sequential rule itself per tenant: empty scope parts as wildcards and several rules (exact path of C05).
+def group_of(rules: tuple[Rule, ...]) -> Column:
+    """Rows of a tenant that can meet share this: all rows with words of rules, else the rows of a title."""
+    return F.when(_worded(F.col("title"), rules), "words").otherwise(F.concat(F.lit("title "), F.coalesce("title", F.lit(""))))
 
-    The state of a tenant holds, for each scope pattern, the first surviving row of each title and of each word.
+
+def _closed_form(rows: DataFrame, rule: Rule) -> DataFrame:
+    """conflicting_id and conflict_kind of rows whose scope parts are all set."""
+    cls = F.when(F.col("scope_system").isin(*rule.systems), title_class(F.coalesce("title", F.lit("")), rule)).otherwise("none")
+    rows = rows.withColumns({"_class": cls, "_place": F.struct("created_at", "id"), "_title": F.coalesce("title", F.lit(""))})
+    scope = ["tenant_id", "scope_domain", "scope_system"]
+    leads = rows.filter("_class <> 'none'").groupBy(*scope).agg(F.min(F.struct("_place", "_class")).alias("_lead"))
+    titles = rows.groupBy(*scope, "_title").agg(F.min("_place").alias("_first"))
+
+    def on(left: str, right: str, keys: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+    joined = rows.alias("r").join(leads.alias("l"), on("r", "l", scope), "left").join(titles.alias("t"), on("r", "t", [*scope, "_title"]), "left").select("r.*", "_lead", "_first")
+    word = (F.col("_class") != "none") & (F.col("_place") != F.col("_lead._place")) & ~((F.col("_class") == F.col("_lead._class")) & (F.col("_class") != "AB"))
+    word = F.coalesce(word, F.lit(False))
+    again = F.col("_place") != F.col("_first")
+    found = F.when(word, F.col("_lead._place.id")).when(again, F.col("_first.id"))
+    return joined.withColumns({"conflicting_id": found, "conflict_kind": F.when(word, "keyword").when(again, "title")}).drop("_class", "_place", "_title", "_lead", "_first")
+
+
+def quarantine_fold(new: DataFrame, rules: tuple[Rule, ...] = RULES, existing: DataFrame | None = None) -> DataFrame:
+    """The sequential rule itself: existing rows first, empty scope parts as wildcards, several rules (exact path of C05).
+
+    Rows are folded by tenant and group of rows that can meet. The state of a title's group is one id for each scope
+    that has it; that of a tenant's rows with rule words also has their surviving titles.
     """
+    rows = _without_existing(new, existing, rules).withColumn("_group", group_of(rules))
+    hit = rows.filter("_hit IS NOT NULL").withColumn("conflicting_id", F.col("_hit"))
+    out = hit.unionByName(_folded(rows.filter("_hit IS NULL"), rules).drop("conflict_kind"))
+    return out.withColumn("status", F.when(F.col("conflicting_id").isNotNull(), "quarantined").otherwise(F.col("status"))).select(*new.columns, "conflicting_id")
+
 
-    def scopes(d: str, s: str, looking: bool) -> list[tuple[str | None, str | None]]:
-        if looking:
-            return [(d or None, s or None)]
-        return [(d, s), (d, None), (None, s), (None, None)]
+class Survivors:
+    """The surviving rows of a group of rows that can meet: for each scope pattern and term the first one's place and id."""
 
-    def step(state, row):
-        id_, title, d, s = row[0], row[1] or "", row[2] or "", row[3] or ""
-        titles, words = state
+    def __init__(self, rules: tuple[Rule, ...], first: dict | None = None):
+        self.rules, self.first = rules, first if first is not None else {}
+
+    def take(self, id_, title: str | None, domain: str | None, system: str | None) -> tuple:
+        """(id of the earliest survivor in conflict, kind); a row without one survives: (None, None)."""
+        title, domain, system = title or "", domain or "", system or ""
         low = title.lower()
+        has = [(r.one in low, r.other in low) for r in self.rules]
+        scope = (domain or None, system or None)
         found = []
-        for key in scopes(d, s, True):
-            if (key, title) in titles:
-                found.append(titles[key, title])
-            for r in rules:
-                if s in r.systems:
-                    for one, other in ((r.one, r.other), (r.other, r.one)):
-                        if one in low and (key, other) in words:
-                            found.append(words[key, other])
+        for n, (r, (one, other)) in enumerate(zip(self.rules, has, strict=True)):
+            if system in r.systems:
+                found += [(*self.first[k], "keyword") for k in [(*scope, f"word {n} other")] if one and k in self.first]
+                found += [(*self.first[k], "keyword") for k in [(*scope, f"word {n} one")] if other and k in self.first]
+        found += [(*self.first[k], "title") for k in [(*scope, "title " + title)] if k in self.first]
         if found:
-            return state, (min(found)[1], "quarantined")
-        place = len(titles) + len(words)
-        for key in scopes(d, s, False):
-            titles.setdefault((key, title), (place, id_))
-            for r in rules:
-                for w in (r.one, r.other):
-                    if w in low:
-                        words.setdefault((key, w), (place, id_))
-        return (titles, words), (None, None)
+            return min(found, key=lambda f: f[0])[1:]
+        place = len(self.first)
+        terms = ["title " + title, *[f"word {n} {w}" for n, pair in enumerate(has) for w, there in zip(("one", "other"), pair, strict=True) if there]]
+        for term in terms:
+            for d in {domain, None}:
+                for s in {system, None}:
+                    self.first.setdefault((d, s, term), (place, id_))
+        return None, None
+
+
+def _folded(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    def step(state: Survivors, row: tuple) -> tuple[Survivors, tuple]:
+        return state, state.take(*row)
 
-    kind = new.schema["id"].dataType.simpleString()
-    out = ordered_fold(new, ["tenant_id"], ["created_at", "id"], ["id", "title", "scope_domain", "scope_system"], lambda _: ({}, {}), step, f"conflicting_id {kind}, _status string")
-    return out.withColumn("status", F.coalesce("_status", "status")).drop("_status")
+    kind = rows.schema["id"].dataType.simpleString()
+    return ordered_fold(rows, ["tenant_id", "_group"], ["created_at", "id"], ["id", "title", "scope_domain", "scope_system"], lambda _: Survivors(rules), step, f"conflicting_id {kind}, conflict_kind string")
 
 
 def contradiction_records(quarantined: DataFrame, now: Column) -> DataFrame:
@@ -153,7 +240,7 @@ def contradiction_records(quarantined: DataFrame, now: Column) -> DataFrame:
 
 def reason(quarantined: DataFrame, existing_titles: DataFrame) -> DataFrame:
     """A sentence for people (C07). ``existing_titles`` has tenant_id, conflicting_id and conflicting_title."""
-    text = F.format_string("Proposed decision '%s' contradicts active decision '%s' (ID: %s) in scope %s/%s", F.col("title"), F.col("conflicting_title"), F.col("conflicting_id").cast("string"), F.col("scope_domain"), F.col("scope_system"))
+    text = F.format_string(REASON, F.col("title"), F.col("conflicting_title"), F.col("conflicting_id").cast("string"), F.col("scope_domain"), F.col("scope_system"))
     return quarantined.filter(F.col("conflicting_id").isNotNull()).join(existing_titles, ["tenant_id", "conflicting_id"]).withColumn("reason", text)
 
 

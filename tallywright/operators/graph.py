@@ -46,76 +46,82 @@ def register(ids: DataFrame, df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def children(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, dependent): who depends on the ids."""
+    by = _tenant_of(edges)
     own = edges.filter(F.col("edge_type") == DEPENDS)
-    return own.join(ids.select(F.col("id").alias("to_id")).distinct(), "to_id").select(F.col("to_id").alias("id"), F.col("from_id").alias("dependent"))
+    return own.join(ids.select(*by, F.col("id").alias("to_id")).distinct(), [*by, "to_id"]).select(*by, F.col("to_id").alias("id"), F.col("from_id").alias("dependent"))
 
 
 def parents(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, dependency): what the ids depend on."""
+    by = _tenant_of(edges)
     own = edges.filter(F.col("edge_type") == DEPENDS)
-    return own.join(ids.select(F.col("id").alias("from_id")).distinct(), "from_id").select(F.col("from_id").alias("id"), F.col("to_id").alias("dependency"))
+    return own.join(ids.select(*by, F.col("id").alias("from_id")).distinct(), [*by, "from_id"]).select(*by, F.col("from_id").alias("id"), F.col("to_id").alias("dependency"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, id, depth): all that is reached from each seed along edges (src, dst), at its least depth; the seed itself only by a cycle, with depth of that cycle."""
-    step = saved(edges.select("src", "dst").distinct())
-    front = saved(small_join(step, seeds.select(F.col("seed").alias("src"), "seed").distinct(), ["src"]).select("seed", F.col("dst").alias("id"), F.lit(1).alias("depth")).distinct())
+def reach(edges: DataFrame, seeds: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, seed, id, depth): all that is reached from each seed along edges (by, src, dst), at its least depth; the seed itself only by a cycle, with depth of that cycle.
+
+    Edges join only seeds with the same ``by`` columns (the tenant, where ids are a tenant's own).
+    """
+    step = saved(edges.select(*by, "src", "dst").distinct())
+    front = saved(small_join(step, seeds.select(*by, F.col("seed").alias("src"), "seed").distinct(), [*by, "src"]).select(*by, "seed", F.col("dst").alias("id"), F.lit(1).alias("depth")).distinct())
     found = front
     while not front.isEmpty():
-        near = step.join(front.select("seed", F.col("id").alias("src"), "depth"), "src").select("seed", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = saved(near.join(found.select("seed", "id"), ["seed", "id"], "left_anti"))
+        near = step.join(front.select(*by, "seed", F.col("id").alias("src"), "depth"), [*by, "src"]).select(*by, "seed", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = saved(near.join(found.select(*by, "seed", "id"), [*by, "seed", "id"], "left_anti"))
         found = saved(found.unionByName(front))
     return found
 
 
 def impact_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, id, depth) of transitive dependents over depends_on edges (G08). ``seeds`` has id."""
-    own = edges.filter(F.col("edge_type") == DEPENDS).select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-    return reach(own, seeds.select(F.col("id").alias("seed"))).filter("id <> seed")
+    """(seed, id, depth) of transitive dependents over depends_on edges (G08). ``seeds`` has id. Edges with a tenant_id stay within it, and so do seeds, which then have one too."""
+    by = _tenant_of(edges)
+    own = edges.filter(F.col("edge_type") == DEPENDS).select(*by, F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
+    return reach(own, seeds.select(*by, F.col("id").alias("seed")), by).filter("id <> seed")
+
+
+def _tenant_of(df: DataFrame) -> list[str]:
+    return ["tenant_id"] if "tenant_id" in df.columns else []
 
 
 def impact_set(df: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The same by parent_id, without the seed."""
-    own = df.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
-    return reach(own, seeds.select(F.col("id").alias("seed"))).filter("id <> seed")
+    """(tenant_id, seed, id, depth) by parent_id, without the seed (G09). ``seeds`` has tenant_id and id: an id is a tenant's own."""
+    own = df.filter(F.col("parent_id").isNotNull()).select("tenant_id", F.col("parent_id").alias("src"), F.col("id").alias("dst"))
+    return reach(own, seeds.select("tenant_id", F.col("id").alias("seed")), ["tenant_id"]).filter("id <> seed")
 
 
-def _walk(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id, pos, member): the path from each start along the function id -> next, the start at 0; stops before an id that it had.
+def _walk(links: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, id, pos, member): the path from each start along the function id -> next, the start at 0; stops before an id that it had.
 
-    Pointer doubling: known paths are continued by known paths, so rounds grow with the logarithm of the length.
+    First each id's successor 1, 2, 4, ... steps on, one table each, of one row an id at most. Then, from the largest
+    step down, each known place of a start's path gets the place that step further: so only the asked paths are
+    built, and rounds grow with the logarithm of the length. A place is kept once a path, its first, so cycles end.
     """
-    jump = saved(links.select("id", F.col("next").alias("member"), F.lit(1).alias("pos")))
-    path = jump
-    span = 1
-    while True:
-        ends = path.filter(F.col("pos") == span).select("id", F.col("member").alias("_mid"))
-        tails = path.select(F.col("id").alias("_mid"), "member", (F.col("pos") + span).alias("pos"))
-        more = saved(ends.join(tails, "_mid").select("id", "member", "pos"))
-        if more.isEmpty():
-            break
-        grown = path.unionByName(more)
-        # Ids whose path met itself stop growing: only the first place of a member counts.
-        first = grown.groupBy("id", "member").agg(F.min("pos").alias("pos")).filter("member <> id")
-        path = saved(first)
-        span *= 2
-    own = starts.select("id").distinct()
-    zero = own.select("id", F.lit(0).alias("pos"), F.col("id").alias("member"))
-    return zero.unionByName(path.filter("member <> id").join(own, "id", "left_semi").select("id", "pos", "member"))
+    jump = saved(links.select(*by, F.col("id").alias("member"), F.col("next").alias("to")))
+    n, jumps = jump.count(), []
+    while not jump.isEmpty() and 1 << len(jumps) <= n:
+        jumps.append(jump)
+        jump = saved(jump.join(jump.select(*by, F.col("member").alias("to"), F.col("to").alias("_then")), [*by, "to"]).select(*by, "member", F.col("_then").alias("to")))
+    path = starts.select(*by, "id", F.lit(0).cast("long").alias("pos"), F.col("id").alias("member")).distinct()
+    for k in range(len(jumps) - 1, -1, -1):
+        more = path.join(jumps[k], [*by, "member"]).select(*by, "id", (F.col("pos") + (1 << k)).alias("pos"), F.col("to").alias("member"))
+        path = saved(path.unionByName(more).groupBy(*by, "id", "member").agg(F.min("pos").alias("pos")).select(*by, "id", "pos", "member"))
+    return path.withColumn("pos", F.col("pos").cast("int"))
 
 
 def superseding_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """From each start along its first incoming supersedes edge (by created_at, from_id) and on."""
+    by = _tenant_of(edges)
     own = edges.filter(F.col("edge_type") == SUPERSEDES)
-    links = own.groupBy(F.col("to_id").alias("id")).agg(F.min(F.struct("created_at", "from_id")).alias("m")).select("id", F.col("m.from_id").alias("next"))
-    return _walk(links, starts)
+    links = own.groupBy(*by, F.col("to_id").alias("id")).agg(F.min(F.struct("created_at", "from_id")).alias("m")).select(*by, "id", F.col("m.from_id").alias("next"))
+    return _walk(links, starts, by)
 
 
 def ancestor_chain(df: DataFrame, starts: DataFrame) -> DataFrame:
-    """[self, parent, grandparent ...] as (id, pos, member); ends at a parent that is not there."""
-    ids = df.select(F.col("id").alias("parent_id")).distinct()
-    links = df.filter(F.col("parent_id").isNotNull()).join(ids, "parent_id", "left_semi").select("id", F.col("parent_id").alias("next"))
-    return _walk(links, starts)
+    """[self, parent, grandparent ...] as (tenant_id, id, pos, member); ends at a parent that its tenant does not have (G07). ``starts`` has tenant_id and id."""
+    ids = df.select("tenant_id", F.col("id").alias("parent_id")).distinct()
+    links = df.filter(F.col("parent_id").isNotNull()).join(ids, ["tenant_id", "parent_id"], "left_semi").select("tenant_id", "id", F.col("parent_id").alias("next"))
+    return _walk(links, starts, ["tenant_id"])
 
 
 def lineage_view(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -129,21 +135,21 @@ def lineage_view(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def lineage(df: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """The full record of each asked id: view, dependencies, dependents, ancestors and the size of its impact."""
+    """The full record of each asked (tenant_id, id): view, dependencies, dependents, ancestors and the size of its impact (G10). Edges without a tenant_id count for every tenant."""
     view = lineage_view(df, ids)
 
     def listed(rows: DataFrame, value: str, name: str, order: str | None = None) -> DataFrame:
         items = F.sort_array(F.collect_list(F.struct(*dict.fromkeys((order or value, value)))))
-        return rows.groupBy("id").agg(F.array_join(F.transform(items, lambda x: x[value].cast("string")), ",").alias(name))
+        return rows.groupBy(*_tenant_of(rows), "id").agg(F.array_join(F.transform(items, lambda x: x[value].cast("string")), ",").alias(name))
 
     parts = [
         listed(parents(edges, ids).distinct(), "dependency", "dependencies"),
         listed(children(edges, ids).distinct(), "dependent", "dependents"),
         listed(ancestor_chain(df, ids), "member", "ancestors", "pos"),
-        impact_set(df, ids).groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("impact")),
+        impact_set(df, ids).groupBy("tenant_id", F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("impact")),
     ]
     for p in parts:
-        view = view.join(p, "id", "left")
+        view = view.join(p, [*_tenant_of(p), "id"], "left")
     return view.withColumns({c: F.coalesce(c, F.lit("")) for c in ("dependencies", "dependents", "ancestors")} | {"impact": F.coalesce("impact", F.lit(0))})
 
 
@@ -185,13 +191,37 @@ def validate(edges: DataFrame) -> DataFrame:
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
-    """Edges (from_id, to_id) that lie on a cycle: of the core, those whose end reaches their start."""
-    rest = core(edges)
-    if rest.isEmpty():
-        return rest
-    paths = reach(rest.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), rest.select(F.col("to_id").alias("seed")))
-    back = paths.select(F.col("seed").alias("to_id"), F.col("id").alias("from_id"))
-    return rest.join(back, ["from_id", "to_id"], "left_semi")
+    """Edges (from_id, to_id) that lie on a cycle: those whose ends are in one strongly connected component.
+
+    Each round colours every node of what is left with the smallest node that reaches it, and takes as components the
+    nodes of a colour that reach the node it is named after. Edges between colours are on no cycle and go. Tables
+    have a row a node or an edge, never one a pair of nodes.
+    """
+    left, found = core(edges), None
+    while not left.isEmpty():
+        ends = left.select(F.col("from_id").alias("id")).unionByName(left.select(F.col("to_id").alias("id"))).distinct()
+        colours = _spread(left.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), saved(ends.withColumn("label", F.col("id"))))
+        from_, to = (colours.select(F.col("id").alias(f"{e}_id"), F.col("label").alias(f"_{e}")) for e in ("from", "to"))
+        within = saved(left.join(from_, "from_id").join(to, "to_id").filter("_from = _to").select("from_id", "to_id", F.col("_from").alias("colour")))
+        # Backwards inside each colour: 0 marks what reaches the node that gives the colour its name.
+        start = colours.join(within.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct(), "id", "left_semi")
+        marks = _spread(within.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")), saved(start.select("id", F.when(F.col("id") == F.col("label"), 0).otherwise(1).alias("label"))))
+        inside = saved(marks.filter("label = 0").select("id"))
+        hit = within.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id")
+        found = hit if found is None else saved(found.unionByName(hit))
+        rest = within.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        left = core(rest)
+    return left.select("from_id", "to_id") if found is None else found
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) after labels have gone along edges (src, dst) until each node has the smallest that reaches it. Only nodes whose label fell send it on."""
+    changed = labels
+    while not changed.isEmpty():
+        sent = edges.join(changed.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_new"))
+        step = saved(labels.join(sent, "id", "left").withColumn("_fell", F.coalesce(F.col("_new") < F.col("label"), F.lit(False))).select("id", F.when(F.col("_fell"), F.col("_new")).otherwise(F.col("label")).alias("label"), "_fell"))
+        labels, changed = step.drop("_fell"), step.filter("_fell").drop("_fell")
+    return labels
 
 
 def node_count(edges: DataFrame) -> DataFrame:

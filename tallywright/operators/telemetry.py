@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import running_sum
 from ..functions.scalars import anonymize
 from .filters import latest_snapshot
 from .temporal import active_at
 
-#: Cost per token; the counted kinds.
+#: Cost per token; payloads of an upload; the counted kinds.
 TOKEN_COST = 0.000002
 DECISION_KINDS = ("proposed", "reused", "rejected", "stale")
+UPLOAD_ROWS = 100
 CONTRADICTION_KINDS = ("detected", "resolved", "false_positive")
 QUANTILES = (("p50", 0.50), ("p95", 0.95), ("p99", 0.99))
 
@@ -44,13 +46,15 @@ def error_entries(events: DataFrame, by: list[str], error: str = "name") -> Data
 
 
 def latency_percentiles(events: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p50, p95, p99 as the value at place int(n * p), the last at most, from 0 (A05). Exact.
+    """p50, p95, p99 as the value at place int(n * p), the last at most, from 0 (A05). Exact; nulls do not count.
 
-    Distinct values are counted first, so a group's sort is over its distinct values.
+    Distinct values are counted first; places are running sums over ranges of them, so no task sees a whole group.
     """
     counted = events.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_end", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    placed = running_sum(counted, by, ["_v"], "_c", "_end")
+    totals = placed.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(F.sum("_c").alias("_n"))
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by])
+    ranked = placed.join(totals, match)
 
     def at(p: float) -> Column:
         place = F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
@@ -87,6 +91,11 @@ def telemetry_payload(events: DataFrame, every: str, salt: str = "") -> DataFram
     return out.withColumns(zero).withColumn("tenant_hash", anonymize(F.col("tenant_id"), salt)).drop("tenant_id")
 
 
+def uploads(payloads: DataFrame, size: int = UPLOAD_ROWS) -> DataFrame:
+    """payloads with ``upload``: which batch of at most ``size`` rows each belongs to, in the order of windows and tenants."""
+    return running_sum(payloads.withColumn("_one", F.lit(1)), [], ["window_start", "tenant_hash"], "_one", "_n").withColumn("upload", F.floor((F.col("_n") - 1) / size)).drop("_one", "_n")
+
+
 def kpis(decisions: DataFrame, snapshots: DataFrame, at: Column) -> DataFrame:
     """Per tenant: active decisions, quarantined among them, and the latest snapshot."""
     counts = active_at(decisions, at).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("active"), F.count_if(F.col("status") == "quarantined").alias("quarantined"))
@@ -94,6 +103,8 @@ def kpis(decisions: DataFrame, snapshots: DataFrame, at: Column) -> DataFrame:
     return counts.join(last, "tenant_id", "left")
 
 
+#: Fixed value: the format of a numbered policy line.
+POLICY_LINE = "%d. [%s/%s] %s (ID: %s)\n"
 HEADER = "--- ACTIVE POLICIES ---\nThese decisions are in force:\n\n"
 FOOTER = "\nPlans and code must agree with them.\n-----------------------\n"
 
@@ -102,7 +113,7 @@ def policy_digest(decisions: DataFrame, at: Column) -> DataFrame:
     """Per tenant the numbered lines of its active canonical and approved decisions (A10). A tenant's text holds all its policies."""
     active = active_at(decisions, at, statuses=["canonical", "approved"])
     place = F.row_number().over(Window.partitionBy("tenant_id").orderBy("valid_from", "id"))
-    line = F.format_string("%d. [%s/%s] %s (ID: %s)\n", F.col("_n"), F.coalesce("scope_domain", F.lit("")), F.coalesce("scope_system", F.lit("")), F.coalesce("title", F.lit("")), F.col("id").cast("string"))
+    line = F.format_string(POLICY_LINE, F.col("_n"), F.coalesce("scope_domain", F.lit("")), F.coalesce("scope_system", F.lit("")), F.coalesce("title", F.lit("")), F.col("id").cast("string"))
     lines = active.withColumn("_n", place).withColumn("_line", line)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]), "")
     return lines.groupBy("tenant_id").agg(F.concat(F.lit(HEADER), text, F.lit(FOOTER)).alias("digest"), F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import BROADCAST_ROWS, present
+from ..common import present
 from .filters import by_scope
 
 DEFAULT_STATUSES = ["canonical", "approved", "draft"]
@@ -21,21 +21,25 @@ def active_at(df: DataFrame, at: Column, domain: str = "", system: str = "", sta
     return out.filter(F.col("status").isin(statuses)) if present(statuses) else out
 
 
+#: Instants up to this many are tested against each row; a few comparisons a row are cheaper than listing its days.
+FEW_INSTANTS = 64
+
+
 def active_at_each(instants: DataFrame, df: DataFrame, instant: str = "at", tenant: bool = False, long_days: int = 366) -> DataFrame:
-    """Pairs of instants and the rows valid then.
+    """Pairs of instants and the rows valid then.
 
-    Few instants are broadcast and tested against each row. Otherwise intervals up to ``long_days`` are listed by
-    day and joined on it, so the join is by equality; longer and open ones are listed by year from their first to
-    the last year that an instant has.
+    Intervals up to ``long_days`` are listed by day and joined on it, so the join is by equality; longer and open
+    ones are listed by year from their first to the last year that an instant has. A handful of instants is
+    broadcast and tested against each row. All ways give the same pairs. Null instants match nothing.
     """
     on_tenant = ["tenant_id"] if tenant else []
     match = _holds(F.col(instant))
-    if instants.count() <= min(BROADCAST_ROWS, 10_000):
+    if instants.limit(FEW_INSTANTS + 1).count() <= FEW_INSTANTS:
         right = F.broadcast(instants.withColumnRenamed("tenant_id", "_t") if tenant else instants)
         return df.join(right, match & (F.col("tenant_id") == F.col("_t")) if tenant else match).drop("_t")
     last = instants.agg(F.max(instant)).first()[0]
     end = F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last))
-    rows = df.filter(F.col("valid_from") <= F.lit(last))
+    rows = df.filter((F.col("valid_from") <= F.lit(last)) & (F.col("valid_from") <= end))
     short = F.datediff(end, "valid_from") <= long_days
     day = rows.filter(short).withColumn("_k", F.explode(F.sequence(F.to_date("valid_from"), F.to_date(end))))
     year = rows.filter(~short).withColumn("_k", F.explode(F.sequence(F.year("valid_from"), F.year(end))))

@@ -146,7 +146,8 @@ def c03_conflict_pairs(spark, d):
 
 @query(_SPLIT_SQL + " SELECT tenant_id, id, min(conflicting_id) AS conflicting_id FROM pairs GROUP BY ALL")
 def c04_first_conflict(spark, d):
-    return contradiction.first_conflict(_pairs(spark, d))
+    rows = adapted(spark, d, "proposals")
+    return contradiction.earliest_conflicts(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), (RULE,))
 
 
 @query(f"""{cte('proposals')}, p AS (SELECT a.id AS id, b.id AS next_id, a.title AS ta, b.title AS tb, b.scope_system AS s FROM proposals a JOIN proposals b ON b.id = a.id + 1)
@@ -566,7 +567,7 @@ def g06_superseding_chain(spark, d):
 @query(f"{cte('nodes')} SELECT * FROM (WITH RECURSIVE w AS (SELECT id, 0 AS pos, id AS member FROM nodes UNION ALL SELECT w.id, w.pos + 1, n.parent_id FROM w JOIN nodes n ON n.id = w.member WHERE n.parent_id IS NOT NULL) SELECT id, pos, member FROM w)")
 def g07_ancestor_chain(spark, d):
     rows = adapted(spark, d, "nodes")
-    return graph.ancestor_chain(rows, rows)
+    return graph.ancestor_chain(rows, rows).select("id", "pos", "member")
 
 
 @query(f"""{cte('edges')} SELECT * FROM (WITH RECURSIVE r AS (SELECT to_id AS seed, from_id AS id, 1 AS depth FROM edges WHERE edge_type = 'depends_on' AND to_id IN {_SEEDS} AND from_id <> to_id UNION ALL SELECT r.seed, e.from_id, r.depth + 1 FROM r JOIN edges e ON e.to_id = r.id AND e.edge_type = 'depends_on' AND e.from_id <> e.to_id) SELECT seed, id, depth FROM r)""")
@@ -578,7 +579,7 @@ def g08_impact_edges(spark, d):
 @query(f"{cte('nodes')} SELECT * FROM (WITH RECURSIVE r AS (SELECT parent_id AS seed, id, 1 AS depth FROM nodes WHERE parent_id IN {_SEEDS} UNION ALL SELECT r.seed, n.id, r.depth + 1 FROM r JOIN nodes n ON n.parent_id = r.id) SELECT seed, id, depth FROM r)")
 def g09_impact_set(spark, d):
     rows = adapted(spark, d, "nodes")
-    return graph.impact_set(rows, rows.filter(f"id IN {_SEEDS}"))
+    return graph.impact_set(rows, rows.filter(f"id IN {_SEEDS}")).select("seed", "id", "depth")
 
 
 @query(f"""{cte('nodes', 'edges')}, v AS (SELECT n.id, n.title, n.parent_id, p.title AS parent_title FROM nodes n LEFT JOIN nodes p ON p.id = n.parent_id WHERE n.id IN {_SEEDS}),
@@ -645,7 +646,7 @@ def g08_impact_edges_many(spark, d):
 @query(ORACLES["g09_impact_set"].replace(_SEEDS, _MANY))
 def g09_impact_set_many(spark, d):
     rows = adapted(spark, d, "nodes")
-    return graph.impact_set(rows, _every_49th(rows))
+    return graph.impact_set(rows, rows.filter("id % 49 = 0")).select("seed", "id", "depth")
 
 
 @query(ORACLES["g10_g11_lineage"].replace(_SEEDS, _MANY))
@@ -868,12 +869,12 @@ def x04_x05_x06_x07_hashes(spark, d):
 
 
 _OPS = ["propose_decision", "mcp_propose_decision", "query", "get_lineage", "mcp_checkpoint_save", "checkpoint_restore", "handoff", "other"]
-_DOTTED = ["mcp.x.propose_decision", "api.query", "mcp.x.detect_contradictions", "agent.checkpoint", "other"]
+_DOTTED = ["mcp.x.propose_decision", "api.query", "mcp.x.detect_contradictions", "agent.checkpoint", "other", "mcp.other.query", "agent.x.checkpoint", "api.x.propose_decision", "mcp.x.query"]
 
 
 @query(f"""{cte('decisions')}, o AS (SELECT *, {_OPS}[CAST(id % {len(_OPS)} + 1 AS INTEGER)] AS op, {_DOTTED}[CAST(id % {len(_DOTTED)} + 1 AS INTEGER)] AS dotted, concat('{{"title":"', title, '","query":"', scope_domain, '"}}') AS payload FROM decisions)
 SELECT id, CAST(CASE WHEN op LIKE '%propose_decision' THEN 100 + strlen(title) // 4 WHEN op = 'query' THEN 50 + strlen(scope_domain) // 4 WHEN op = 'get_lineage' THEN 30 WHEN op = 'mcp_checkpoint_save' THEN 50 WHEN op = 'checkpoint_restore' THEN 20 WHEN op = 'handoff' THEN 40 ELSE 100 END AS BIGINT) AS estimate,
-       CAST(200 + CASE dotted WHEN 'mcp.x.propose_decision' THEN 500 WHEN 'api.query' THEN 300 WHEN 'mcp.x.detect_contradictions' THEN 800 WHEN 'agent.checkpoint' THEN 400 ELSE 0 END + ceil(strlen(payload) / 4.0) AS BIGINT) AS conservative FROM o""")
+       CAST(200 + CASE dotted WHEN 'mcp.x.propose_decision' THEN 500 WHEN 'api.query' THEN 300 WHEN 'mcp.x.query' THEN 300 WHEN 'mcp.x.detect_contradictions' THEN 800 WHEN 'agent.checkpoint' THEN 400 ELSE 0 END + ceil(strlen(payload) / 4.0) AS BIGINT) AS conservative FROM o""")
 def x08_x09_x10_estimates(spark, d):
     rows = adapted(spark, d, "decisions")
     payload = F.to_json(F.struct("title", F.col("scope_domain").alias("query")))
@@ -881,7 +882,7 @@ def x08_x09_x10_estimates(spark, d):
     def pick(values: list[str]) -> F.Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(values) + 1).cast("int"))
 
-    return rows.select("id", X.estimate_tokens(pick(_OPS), payload).alias("estimate"), X.estimate_tokens_conservative(pick(_DOTTED), payload).alias("conservative"))
+    return rows.select("id", X.estimate_tokens(pick(_OPS), payload).alias("estimate"), X.estimate_tokens_conservative(pick(_DOTTED), payload, "x").alias("conservative"))
 
 
 @query(f"""{cte('writes')} SELECT id, json_extract_string(props, '$.k') AS k, CAST(floor(epoch(ts)) AS BIGINT) AS unix, CAST(id AS DOUBLE) / CAST(1000 AS DOUBLE) AS ms, CASE WHEN id % 2 = 0 THEN 'canonical' ELSE 'draft' END AS status, contains(lower(event_type), 'click') AS is_click, trim(concat(' ', event_type, ' ')) AS kind FROM writes""")

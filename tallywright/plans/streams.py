@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..common import fresh_path
 from ..streaming import jobs
 from . import queries as batch
-from .adapters import LEAFED, cte, sql_text
+from .adapters import LEAFED, SELECTS, cte, sql_text, text_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def _adapted_stream(spark: SparkSession, d: str, name: str, base: str) -> DataFrame:
+    """An adapter of one table over that table as a stream."""
+    return spark.sql(SELECTS[name], **{base: _source(spark, d, base)})
+
+
 def _places(spark: SparkSession, name: str) -> tuple[str, str]:
     return fresh_path(spark, f"{name}-out"), fresh_path(spark, f"{name}-log")
 
@@ -96,15 +101,23 @@ def r06_stream_meter(spark, d):
     return done.select("request_id", "allowed", "remaining_tokens", "table_status")
 
 
-@_register(f"{cte('writes')}, {LEAFED}, n AS (SELECT tenant_id, count(*) AS block_height FROM leafed GROUP BY tenant_id) SELECT tenant_id, block_height FROM n")
+@_register(batch._CHAIN_SQL + ", r AS (SELECT tenant_id, arg_max(root_hash, height) AS root_hash, max(height) AS block_height FROM chain GROUP BY tenant_id) SELECT tenant_id, block_height, '' AS parent_snapshot_hash, sha256(concat(tenant_id, '|', root_hash, '|', CAST(block_height AS VARCHAR), '||1735689600')) AS snapshot_hash FROM r")
 def r07_stream_snapshots(spark, d):
-    """The chain's stream output, read as a stream by the snapshot job."""
+    """All tenants of the chain's stream output at one tick of the snapshot job."""
     out, log = _places(spark, "chained")
-    chained = jobs.finished(jobs.stream_chain(_writes(spark, d), out, log, ["ts", "id"]), spark, out)
-    source = spark.readStream.schema(chained.schema).parquet(out)
+    jobs.finished(jobs.stream_chain(_writes(spark, d), out, log, ["ts", "id"]), spark, out)
     snaps, log2 = _places(spark, "snaps")
-    rows = jobs.finished(jobs.stream_snapshots(source, snaps, log2), spark, snaps)
-    return rows.groupBy("tenant_id").agg(F.max("block_height").alias("block_height"))
+    ticks = _source(spark, d, "region")
+    rows = jobs.finished(jobs.stream_snapshots(ticks, out, snaps, log2, "timestamp_seconds(1735689600)"), spark, snaps)
+    return rows.select("tenant_id", "block_height", "parent_snapshot_hash", "snapshot_hash")
+
+
+@_register(batch.ORACLES["a13_telemetry_payload"].replace("SELECT strftime(w", "SELECT CAST(floor((row_number() OVER (ORDER BY w, base64(from_hex(substr(sha256(concat(tenant_id, 'pepper')), 1, 16)))) - 1) / 100) AS BIGINT) AS upload, strftime(w", 1))
+def r03_stream_payloads(spark, d):
+    """One flush over what is there, in uploads of 100 payloads."""
+    out, log = _places(spark, "payloads")
+    rows = jobs.finished(jobs.stream_payloads(_adapted_stream(spark, d, "usage", "events"), out, log, "1 day", "pepper"), spark, out)
+    return text_of(rows.drop("batch"), "window_start")
 
 
 @_register(f"SELECT o_orderkey AS id, CASE WHEN o_orderdate < TIMESTAMP '{batch.AT}' THEN 'stale' ELSE o_orderstatus END AS status FROM orders")

@@ -7,19 +7,20 @@ its place of arrival. Every job takes a checkpoint location and writes Parquet;
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalars import GENESIS
-from ..operators import evidence, harvest, telemetry
-from ..operators.budget import _admit
+from ..operators import chain, evidence, harvest, telemetry
+from ..operators.budget import ADMISSION, _admit
 from ..operators.chain import _extend
-from ..operators.contradiction import RULES, Rule
+from ..operators.contradiction import RULES, Rule, Survivors, group_of
 
 
 def _run(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", once: bool = True, every: str = "30 seconds") -> StreamingQuery:
@@ -59,31 +60,51 @@ def stream_percentiles(events: DataFrame, out: str, checkpoint: str, by: list[st
     return each_batch(events, lambda b: telemetry.latency_percentiles(b, by, value), out, checkpoint, **how)
 
 
-def _stateful(stream: DataFrame, keys: list[str], order: list[str], outputs: str, state_schema: str, fresh: tuple, step: Callable) -> DataFrame:
-    """Rows with ``outputs`` from a sequential rule per key whose state outlives the micro-batch."""
-    schema = StructType(stream.schema.fields + StructType.fromDDL(outputs).fields)
+def stream_payloads(events: DataFrame, out: str, checkpoint: str, window: str = "30 seconds", salt: str = "", size: int = telemetry.UPLOAD_ROWS, **how) -> StreamingQuery:
+    """The payloads of each flush (one row per window and tenant), numbered in uploads of ``size`` rows.
+
+    A flush is a micro-batch: one every 30 seconds while the stream runs, and a last one over what is there when it
+    is stopped by running it once more (``once``), so nothing waits for a watermark.
+    """
+    return each_batch(events, lambda b: telemetry.uploads(telemetry.telemetry_payload(b, window, salt), size), out, checkpoint, **how)
+
+
+def _stateful(stream: DataFrame, keys: list[str | Column], order: list[str], outputs: str, state_schema: str, load: Callable[[tuple | None], Any], dump: Callable[[Any], tuple], step: Callable[[Any, dict], tuple[Any, tuple]]) -> DataFrame:
+    """Rows with ``outputs`` from a sequential rule per key whose state outlives the micro-batch.
+
+    A row passes through as one struct, so pandas never sees its columns on their own and nulls leave integers
+    whole. ``load`` and ``dump`` turn the stored state into what ``step`` works on, once a micro-batch.
+    """
     names = [f.name for f in StructType.fromDDL(outputs)]
+    own = [f for f in stream.schema if f.name not in names]
+    schema = StructType([StructField("_row", StructType(own)), *StructType.fromDDL(outputs).fields])
+    packed = stream.select(F.struct(*[F.col(f.name) for f in own]).alias("_row"), *[(F.col(k) if isinstance(k, str) else k).alias(f"_key{n}") for n, k in enumerate(keys)])
+
+    def place(row: dict) -> tuple:
+        return tuple((row[c] is not None, row[c]) if row[c] is not None else (False,) for c in order)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
-        now = state.get if state.exists else fresh
+        rows = sorted((r.asDict() if isinstance(r, Row) else r for pdf in batches for r in pdf["_row"]), key=place)
+        now = load(state.get if state.exists else None)
         made = []
-        for row in pdf.to_dict("records"):
+        for row in rows:
             now, result = step(now, row)
             made.append(result)
-        state.update(now)
-        yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(made, columns=names, dtype=object)], axis=1)
+        state.update(dump(now))
+        columns = {n: pd.Series([m[i] for m in made], dtype=object) for i, n in enumerate(names)}
+        yield pd.DataFrame({"_row": pd.Series(rows, dtype=object), **columns})
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, StructType.fromDDL(state_schema), "append", GroupStateTimeout.NoTimeout)
+    done = packed.groupBy(*[f"_key{n}" for n in range(len(keys))]).applyInPandasWithState(run, schema, StructType.fromDDL(state_schema), "append", GroupStateTimeout.NoTimeout)
+    return done.select("_row.*", *names)
 
 
 def stream_chain(writes: DataFrame, out: str, checkpoint: str, order: list[str], leaf: str = "leaf_hash", **how) -> StreamingQuery:
     """Chains that grow as writes arrive (R05). State: root and height of a tenant."""
 
     def step(state: tuple, row: dict) -> tuple:
-        return _extend(tuple(state), (row[leaf],))
+        return _extend(state, (row[leaf],))
 
-    rows = _stateful(writes, ["tenant_id"], order, "parent_root string, root_hash string, height long", "root string, height long", (GENESIS, 0), step)
+    rows = _stateful(writes, ["tenant_id"], order, "parent_root string, root_hash string, height long", "root string, height long", lambda s: tuple(s) if s else (GENESIS, 0), lambda s: s, step)
     return _run(rows, out, checkpoint, **how)
 
 
@@ -91,41 +112,65 @@ def stream_meter(requests: DataFrame, out: str, checkpoint: str, order: list[str
     """Budget admission as requests arrive (R06). State: balance, executions and the sticky status."""
 
     def step(state: tuple, row: dict) -> tuple:
-        return _admit(tuple(state), (row["tokens_used"], row["executions_used"]))
+        return _admit(state, (row["tokens_used"], row["executions_used"]))
 
-    rows = _stateful(requests, ["tenant_id"], order, "allowed boolean, remaining_tokens long, remaining_executions long, response_status string, table_status string", "tokens long, executions long, status string", (tokens, executions, "active"), step)
+    rows = _stateful(requests, ["tenant_id"], order, ADMISSION, "tokens long, executions long, status string", lambda s: tuple(s) if s else (tokens, executions, "active"), lambda s: s, step)
     return _run(rows, out, checkpoint, **how)
 
 
-def stream_quarantine(proposals: DataFrame, out: str, checkpoint: str, order: list[str], rule: Rule = RULES[0], **how) -> StreamingQuery:
-    """Quarantine as proposals arrive, per tenant and scope (R04). State: the first id of each title, and of the first word of the rule."""
-
-    def step(state: tuple, row: dict) -> tuple:
-        titles, ids, lead_class, lead_id = list(state[0]), list(state[1]), state[2], state[3]
-        title, low = row["title"] or "", (row["title"] or "").lower()
-        a, b = rule.one in low, rule.other in low
-        cls = "none" if row["scope_system"] not in rule.systems or not (a or b) else "AB" if a and b else "A" if a else "B"
-        word = cls != "none" and lead_class is not None and not (cls == lead_class and cls != "AB")
-        if word:
-            return (titles, ids, lead_class, lead_id), ("quarantined", lead_id)
-        if title in titles:
-            return (titles, ids, lead_class, lead_id), ("quarantined", ids[titles.index(title)])
-        if cls != "none" and lead_class is None:
-            lead_class, lead_id = cls, row["id"]
-        return ([*titles, title], [*ids, row["id"]], lead_class, lead_id), (row["status"], None)
+def stream_quarantine(proposals: DataFrame, out: str, checkpoint: str, order: list[str], rules: Rule | tuple[Rule, ...] = RULES, **how) -> StreamingQuery:
+    """Quarantine as proposals arrive, with wildcard scopes and any number of rules.
 
+    State is kept by tenant and group of rows that can meet, as in the batch's fold: for a title one id a scope; for
+    a tenant's rows with rule words also their surviving titles.
+    """
+    chosen = (rules,) if isinstance(rules, Rule) else tuple(rules)
     kind = proposals.schema["id"].dataType.simpleString()
-    rows = _stateful(proposals, ["tenant_id", "scope_domain", "scope_system"], order, f"new_status string, conflicting_id {kind}", f"titles array<string>, ids array<{kind}>, lead_class string, lead_id {kind}", ([], [], None, None), step)
+
+    def load(state: tuple | None) -> Survivors:
+        held = [] if state is None else zip(*state, strict=True)
+        return Survivors(chosen, {(d, s, term): (place, id_) for d, s, term, place, id_ in held})
+
+    def dump(now: Survivors) -> tuple:
+        rows = [(*k, *v) for k, v in now.first.items()]
+        return tuple([r[i] for r in rows] for i in range(5))
+
+    def step(now: Survivors, row: dict) -> tuple:
+        id_, why = now.take(row["id"], row["title"], row["scope_domain"], row["scope_system"])
+        return now, (row["status"] if why is None else "quarantined", id_)
+
+    state_schema = f"domains array<string>, systems array<string>, terms array<string>, places array<long>, ids array<{kind}>"
+    rows = _stateful(proposals, ["tenant_id", group_of(chosen)], order, f"new_status string, conflicting_id {kind}", state_schema, load, dump, step)
     return _run(rows, out, checkpoint, **how)
 
 
-def stream_snapshots(chained: DataFrame, out: str, checkpoint: str, epoch: str = "current_timestamp()", **how) -> StreamingQuery:
-    """The last root of every tenant seen in a micro-batch (R07); :func:`chain.snapshot_chain` links them."""
+def stream_snapshots(ticks: DataFrame, chain_path: str, out: str, checkpoint: str, epoch: str = "current_timestamp()", **how) -> StreamingQuery:
+    """A snapshot of every tenant that has a chain at each tick, whether it wrote since the last one or not.
+
+    ``ticks`` is any stream: its micro-batches are the timer (:func:`clock` gives one). The chain is read as it is
+    at ``chain_path``; each snapshot is over the hash of the tenant's last one in ``out``. A batch that comes again
+    is made again from the snapshots before it.
+    """
+    spark = ticks.sparkSession
+
+    def work(batch_id: int) -> DataFrame:
+        roots = chain.chain_roots(spark.read.parquet(chain_path))
+        before = [f"{out}/batch={k}" for k in range(batch_id)]
+        schema = "tenant_id string, root_hash string, block_height long, parent_snapshot_hash string, snapshot_hash string, epoch_unix long"
+        past = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
+        return chain.snapshot_step(roots, past.withColumn("epoch_timestamp", F.col("epoch_unix")), F.expr(epoch))
+
+    def sink(_: DataFrame, batch_id: int) -> None:
+        work(batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = ticks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    once, every = how.get("once", True), how.get("every", "30 seconds")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
-    def last(batch: DataFrame) -> DataFrame:
-        return batch.groupBy("tenant_id").agg(F.max_by("root_hash", "height").alias("root_hash"), F.max("height").alias("block_height")).withColumn("epoch_timestamp", F.expr(epoch))
 
-    return each_batch(chained, last, out, checkpoint, **how)
+def clock(spark: SparkSession) -> DataFrame:
+    """A stream that has something new at every trigger: the timer of periodic jobs that watch a table rather than a stream."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
 
 def stream_expire(decisions: DataFrame, out: str, checkpoint: str, now: str, expiry: str = "valid_to", **how) -> StreamingQuery:

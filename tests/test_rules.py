@@ -175,7 +175,7 @@ def test_range_join_by_days_equals_the_plain_one(spark, monkeypatch):
     rows = spark.sql("SELECT id, DATE '2020-01-01' + CAST(id * 13 % 700 AS INT) AS f, CAST(id * 37 % 900 AS INT) AS n FROM range(200)").selectExpr("id", "CAST(f AS TIMESTAMP) AS valid_from", "CASE WHEN id % 5 > 0 THEN CAST(f + n AS TIMESTAMP) END AS valid_to")
     instants = spark.sql("SELECT id AS k, CAST(DATE '2020-03-01' + CAST(id * 31 AS INT) AS TIMESTAMP) AS at FROM range(30)")
     plain = sorted(map(tuple, temporal.active_at_each(instants, rows).select("id", "k").collect()))
-    monkeypatch.setattr(temporal, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(temporal, "FEW_INSTANTS", 0)
     assert sorted(map(tuple, temporal.active_at_each(instants, rows).select("id", "k").collect())) == plain
 
 
