@@ -36,6 +36,16 @@ SELECTS = {
     "nodes": """
         SELECT 'all' AS tenant_id, event_id AS id, concat(event_type, ' ', CAST(event_id AS STRING)) AS title, CASE WHEN event_id = 0 THEN NULL ELSE CAST(floor(event_id / 3) AS BIGINT) END AS parent_id, ts AS created_at, 'draft' AS status
         FROM {events}""",
+    # Two tenants with the same ids: one's nodes hang below n / 3, the other's below n / 2.
+    "forest": """
+        SELECT 'a' AS tenant_id, event_id AS id, concat(event_type, ' ', CAST(event_id AS STRING)) AS title, CASE WHEN event_id = 0 THEN NULL ELSE CAST(floor(event_id / 3) AS BIGINT) END AS parent_id, ts AS created_at, 'draft' AS status
+        FROM {events}
+        UNION ALL
+        SELECT 'b', event_id, concat('other ', CAST(event_id AS STRING)), CASE WHEN event_id = 0 THEN NULL ELSE CAST(floor(event_id / 2) AS BIGINT) END, ts, 'draft' FROM {events}""",
+    # The proposals, a fifth of them without a domain and a seventh without a system: empty scope parts mean any.
+    "wild": """
+        SELECT CAST(p_size % 3 AS STRING) AS tenant_id, p_partkey AS id, p_name AS title, 'draft' AS status, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS scope_domain, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END AS scope_system, p_partkey AS created_at
+        FROM {part}""",
     "edges": """
         SELECT event_id AS from_id, CAST(floor(event_id / 3) AS BIGINT) AS to_id, CASE event_id % 5 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'related_to' ELSE 'depends_on' END AS edge_type, ts AS created_at
         FROM {events}""",

@@ -150,6 +150,14 @@ def c04_first_conflict(spark, d):
     return contradiction.earliest_conflicts(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), (RULE,))
 
 
+@query(f"""{cte('wild')} SELECT n.tenant_id, n.id, arg_min(o.id, struct_pack(a := o.created_at, b := o.id)) AS conflicting_id FROM wild n JOIN wild o ON n.tenant_id = o.tenant_id AND (n.scope_domain = '' OR n.scope_domain = o.scope_domain) AND (n.scope_system = '' OR n.scope_system = o.scope_system) AND n.id <> o.id
+    WHERE n.title = o.title OR (n.scope_system IN ('ECONOMY', 'PROMO') AND ((contains(lower(n.title), 'red') AND contains(lower(o.title), 'blue')) OR (contains(lower(n.title), 'blue') AND contains(lower(o.title), 'red')))) GROUP BY ALL""")
+def c04_first_conflict_wildcards(spark, d):
+    """Each proposal's earliest conflict among all of them, itself left out; empty scope parts mean any."""
+    rows = adapted(spark, d, "wild")
+    return contradiction.earliest_conflicts(rows, rows, (RULE,))
+
+
 @query(f"""{cte('proposals')}, p AS (SELECT a.id AS id, b.id AS next_id, a.title AS ta, b.title AS tb, b.scope_system AS s FROM proposals a JOIN proposals b ON b.id = a.id + 1)
 SELECT id, next_id, ta = tb OR (s IN ('ECONOMY', 'PROMO') AND ((contains(lower(tb), 'red') AND contains(lower(ta), 'blue')) OR (contains(lower(tb), 'blue') AND contains(lower(ta), 'red')))) AS contradictory,
        CASE WHEN contains(lower(ta), 'red') AND contains(lower(ta), 'blue') THEN 'AB' WHEN contains(lower(ta), 'red') THEN 'A' WHEN contains(lower(ta), 'blue') THEN 'B' ELSE 'none' END AS cls FROM p""")
@@ -660,18 +668,49 @@ def g13_validate_all(spark, d):
     return graph.validate(spark.sql(_ALL_SQUARES.format("{", "}"), part=table(spark, d, "part")))
 
 
+# Two tenants that have the same ids: no path, impact or record of one has a row of the other.
+
+
+@query(f"{cte('forest')} SELECT * FROM (WITH RECURSIVE w AS (SELECT tenant_id, id, 0 AS pos, id AS member FROM forest WHERE id % 7 = 0 UNION ALL SELECT w.tenant_id, w.id, w.pos + 1, n.parent_id FROM w JOIN forest n ON n.tenant_id = w.tenant_id AND n.id = w.member WHERE n.parent_id IS NOT NULL) SELECT * FROM w)")
+def g07_ancestor_chain_tenants(spark, d):
+    rows = adapted(spark, d, "forest")
+    return graph.ancestor_chain(rows, rows.filter("id % 7 = 0"))
+
+
+@query(f"{cte('forest')} SELECT * FROM (WITH RECURSIVE r AS (SELECT tenant_id, parent_id AS seed, id, 1 AS depth FROM forest WHERE parent_id % 49 = 0 AND parent_id > 0 UNION ALL SELECT r.tenant_id, r.seed, n.id, r.depth + 1 FROM r JOIN forest n ON n.tenant_id = r.tenant_id AND n.parent_id = r.id) SELECT * FROM r)")
+def g09_impact_set_tenants(spark, d):
+    rows = adapted(spark, d, "forest").filter("id > 0")
+    return graph.impact_set(rows, rows.filter("id % 49 = 0"))
+
+
+@query(f"""{cte('forest', 'edges')}, v AS (SELECT n.tenant_id, n.id, n.title, n.parent_id, p.title AS parent_title FROM forest n LEFT JOIN forest p ON p.tenant_id = n.tenant_id AND p.id = n.parent_id WHERE n.id % 49 = 0 AND n.id > 0),
+k AS (SELECT tenant_id, parent_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS children FROM forest GROUP BY ALL),
+dy AS (SELECT from_id AS id, string_agg(CAST(to_id AS VARCHAR), ',' ORDER BY to_id) AS s FROM edges WHERE edge_type = 'depends_on' GROUP BY 1),
+dt AS (SELECT to_id AS id, string_agg(CAST(from_id AS VARCHAR), ',' ORDER BY from_id) AS s FROM edges WHERE edge_type = 'depends_on' GROUP BY 1),
+an AS (SELECT tenant_id, id, string_agg(CAST(member AS VARCHAR), ',' ORDER BY pos) AS s FROM (WITH RECURSIVE w AS (SELECT tenant_id, id, 0 AS pos, id AS member FROM v UNION ALL SELECT w.tenant_id, w.id, w.pos + 1, n.parent_id FROM w JOIN forest n ON n.tenant_id = w.tenant_id AND n.id = w.member WHERE n.parent_id IS NOT NULL) SELECT * FROM w) GROUP BY ALL),
+im AS (SELECT tenant_id, seed AS id, count(*) AS n FROM (WITH RECURSIVE r AS (SELECT n.tenant_id, n.parent_id AS seed, n.id FROM forest n JOIN v ON v.tenant_id = n.tenant_id AND v.id = n.parent_id UNION ALL SELECT r.tenant_id, r.seed, n.id FROM r JOIN forest n ON n.tenant_id = r.tenant_id AND n.parent_id = r.id) SELECT * FROM r) GROUP BY ALL)
+SELECT v.*, coalesce(k.children, '') AS children, coalesce(dy.s, '') AS dependencies, coalesce(dt.s, '') AS dependents, coalesce(an.s, '') AS ancestors, coalesce(im.n, 0) AS impact FROM v LEFT JOIN k USING (tenant_id, id) LEFT JOIN dy USING (id) LEFT JOIN dt USING (id) LEFT JOIN an USING (tenant_id, id) LEFT JOIN im USING (tenant_id, id)""")
+def g10_g11_lineage_tenants(spark, d):
+    rows = adapted(spark, d, "forest")
+    return graph.lineage(rows, adapted(spark, d, "edges"), rows.filter("id % 49 = 0 AND id > 0"))
+
+
 # --- Harvest, evidence, checkpoints --------------------------------------------------------------------------------
 
 
-@query(_HARVEST_SQL + "SELECT channel_id, ts, CAST(n_matches AS INTEGER) AS n_matches, extracted_decision, CAST(round(confidence, 6) AS DOUBLE) AS confidence FROM h")
+#: As above with messages without a text, which have no match.
+_EXTRACT_SQL = _HARVEST_SQL.replace("regexp_extract_all(text,", "regexp_extract_all(coalesce(text, ''),").replace(" WHERE coalesce(text, '') <> ''", "")
+
+
+@query(_EXTRACT_SQL + "SELECT channel_id, ts, CAST(n_matches AS INTEGER) AS n_matches, extracted_decision, CAST(round(confidence, 6) AS DOUBLE) AS confidence FROM h")
 def h01_extract(spark, d):
-    rows = adapted(spark, d, "messages").filter("coalesce(text, '') <> ''")
+    rows = adapted(spark, d, "messages")
     return harvest.extract(rows, "text", KEYWORDS).select("channel_id", "ts", "n_matches", "extracted_decision", F.round("confidence", 6).alias("confidence"))
 
 
-@query(_HARVEST_SQL + "SELECT channel_id, ts, CASE WHEN ts < '2' THEN 'kept' ELSE extracted_decision END AS extracted_decision, CAST(CASE WHEN ts < '2' THEN 0.85 ELSE round(confidence, 6) END AS DOUBLE) AS confidence FROM h")
+@query(_EXTRACT_SQL + "SELECT channel_id, ts, CASE WHEN ts < '2' THEN 'kept' ELSE extracted_decision END AS extracted_decision, CAST(CASE WHEN ts < '2' THEN 0.85 ELSE round(confidence, 6) END AS DOUBLE) AS confidence FROM h")
 def h02_extract_with_context(spark, d):
-    rows = adapted(spark, d, "messages").filter("coalesce(text, '') <> ''").withColumn("prior", F.when(F.col("ts") < "2", "kept").otherwise(""))
+    rows = adapted(spark, d, "messages").withColumn("prior", F.when(F.col("ts") < "2", "kept").otherwise(""))
     return harvest.extract_with_context(rows, "text", "prior", KEYWORDS).select("channel_id", "ts", "extracted_decision", F.round("confidence", 6).alias("confidence"))
 
 
@@ -697,6 +736,14 @@ def u01_u04_ingest_evidence(spark, d):
     return evidence.ingest_evidence(nothing, docs).select("tenant_id", "block_hash", "created_at", "ref_count")
 
 
+@query(_EVIDENCE_SQL + ", old AS (SELECT tenant_id, block_hash, max(created_at) AS created_at, 7 AS ref_count FROM e WHERE created_at % 2 = 1 GROUP BY ALL) SELECT * FROM old UNION ALL SELECT tenant_id, block_hash, min(created_at), 1 FROM e WHERE (tenant_id, block_hash) NOT IN (SELECT (tenant_id, block_hash) FROM old) GROUP BY ALL")
+def u01_ingest_over_existing(spark, d):
+    """What is there stays as it is, although the incoming rows have earlier ones with its hash."""
+    docs = adapted(spark, d, "evidence")
+    old = evidence.hashed(docs.filter("created_at % 2 = 1")).groupBy("tenant_id", "block_hash").agg(F.max_by("content", "created_at").alias("content"), F.max("created_at").alias("created_at")).withColumn("ref_count", F.lit(7))
+    return evidence.ingest_evidence(old, docs).select("tenant_id", "block_hash", "created_at", "ref_count")
+
+
 @query(_EVIDENCE_SQL + " SELECT block_hash, count(*) AS ref_count, min(created_at) AS created_at FROM e GROUP BY block_hash")
 def a07_upsert_blocks(spark, d):
     rows = evidence.hashed(adapted(spark, d, "evidence")).select("block_hash", "content", F.lit(1).alias("ref_count"), "created_at")

@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, FractionalType, IntegralType, MapType, StringType, StructField, StructType, TimestampType
 
 from ..functions.scalars import GENESIS
 from ..operators import chain, evidence, harvest, telemetry
@@ -69,33 +69,49 @@ def stream_payloads(events: DataFrame, out: str, checkpoint: str, window: str =
     return each_batch(events, lambda b: telemetry.uploads(telemetry.telemetry_payload(b, window, salt), size), out, checkpoint, **how)
 
 
-def _stateful(stream: DataFrame, keys: list[str | Column], order: list[str], outputs: str, state_schema: str, load: Callable[[tuple | None], Any], dump: Callable[[Any], tuple], step: Callable[[Any, dict], tuple[Any, tuple]]) -> DataFrame:
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _as_text(name: str, kind: DataType) -> tuple[Column, Column, Callable[[str], Any]]:
+    """A column as text, the column back from that text, and how Python reads the text. Exact both ways."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(c).cast("string"), F.timestamp_micros(c.cast("long")), int
+    if isinstance(kind, BinaryType):
+        return F.base64(c), F.unbase64(c), str
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.to_json(c, _JSON), F.from_json(c, kind.json(), _JSON), str
+    return c.cast("string"), c.cast(kind), int if isinstance(kind, IntegralType) else float if isinstance(kind, FractionalType) else str
+
+
+def _stateful(stream: DataFrame, keys: dict[str, Column], order: list[str], reads: list[str], outputs: str, state_schema: str, load: Callable[[tuple | None], Any], dump: Callable[[Any], tuple], step: Callable[[Any, dict], tuple[Any, tuple]]) -> DataFrame:
     """Rows with ``outputs`` from a sequential rule per key whose state outlives the micro-batch.
 
-    A row passes through as one struct, so pandas never sees its columns on their own and nulls leave integers
-    whole. ``load`` and ``dump`` turn the stored state into what ``step`` works on, once a micro-batch.
+    Columns pass through as text, so pandas makes no numbers of them and nulls leave integers whole; the columns of
+    ``order`` and ``reads`` are read for ``step``. ``load`` and ``dump`` turn the stored state into what ``step``
+    works on, once a micro-batch.
     """
     names = [f.name for f in StructType.fromDDL(outputs)]
     own = [f for f in stream.schema if f.name not in names]
-    schema = StructType([StructField("_row", StructType(own)), *StructType.fromDDL(outputs).fields])
-    packed = stream.select(F.struct(*[F.col(f.name) for f in own]).alias("_row"), *[(F.col(k) if isinstance(k, str) else k).alias(f"_key{n}") for n, k in enumerate(keys)])
-
-    def place(row: dict) -> tuple:
-        return tuple((row[c] is not None, row[c]) if row[c] is not None else (False,) for c in order)
+    codec = {f.name: _as_text(f.name, f.dataType) for f in own}
+    texts = stream.select(*[codec[f.name][0].alias(f.name) for f in own], *[c.alias(k) for k, c in keys.items()])
+    schema = StructType([*[StructField(f.name, StringType()) for f in own], *StructType.fromDDL(outputs).fields])
+    readers = {c: codec[c][2] for c in dict.fromkeys([*order, *reads])}
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = sorted((r.asDict() if isinstance(r, Row) else r for pdf in batches for r in pdf["_row"]), key=place)
-        now = load(state.get if state.exists else None)
-        made = []
-        for row in rows:
-            now, result = step(now, row)
+        pdf = pd.concat(list(batches), ignore_index=True)
+        rows = [{c: None if v is None else readers[c](v) for c, v in zip(readers, values, strict=True)} for values in zip(*[pdf[c] for c in readers], strict=True)]
+        places = sorted(range(len(rows)), key=lambda i: [(rows[i][c] is not None, rows[i][c]) if rows[i][c] is not None else (False,) for c in order])
+        now, made = load(state.get if state.exists else None), []
+        for i in places:
+            now, result = step(now, rows[i])
             made.append(result)
         state.update(dump(now))
-        columns = {n: pd.Series([m[i] for m in made], dtype=object) for i, n in enumerate(names)}
-        yield pd.DataFrame({"_row": pd.Series(rows, dtype=object), **columns})
+        out = pdf[[f.name for f in own]].iloc[places].reset_index(drop=True)
+        yield out.assign(**{n: pd.Series([m[i] for m in made], dtype=object) for i, n in enumerate(names)})
 
-    done = packed.groupBy(*[f"_key{n}" for n in range(len(keys))]).applyInPandasWithState(run, schema, StructType.fromDDL(state_schema), "append", GroupStateTimeout.NoTimeout)
-    return done.select("_row.*", *names)
+    done = texts.groupBy(*keys).applyInPandasWithState(run, schema, StructType.fromDDL(state_schema), "append", GroupStateTimeout.NoTimeout)
+    return done.select(*[codec[f.name][1].alias(f.name) for f in own], *names)
 
 
 def stream_chain(writes: DataFrame, out: str, checkpoint: str, order: list[str], leaf: str = "leaf_hash", **how) -> StreamingQuery:
@@ -104,7 +120,7 @@ def stream_chain(writes: DataFrame, out: str, checkpoint: str, order: list[str],
     def step(state: tuple, row: dict) -> tuple:
         return _extend(state, (row[leaf],))
 
-    rows = _stateful(writes, ["tenant_id"], order, "parent_root string, root_hash string, height long", "root string, height long", lambda s: tuple(s) if s else (GENESIS, 0), lambda s: s, step)
+    rows = _stateful(writes, {"_tenant": F.col("tenant_id")}, order, [leaf], "parent_root string, root_hash string, height long", "root string, height long", lambda s: tuple(s) if s else (GENESIS, 0), lambda s: s, step)
     return _run(rows, out, checkpoint, **how)
 
 
@@ -114,7 +130,7 @@ def stream_meter(requests: DataFrame, out: str, checkpoint: str, order: list[str
     def step(state: tuple, row: dict) -> tuple:
         return _admit(state, (row["tokens_used"], row["executions_used"]))
 
-    rows = _stateful(requests, ["tenant_id"], order, ADMISSION, "tokens long, executions long, status string", lambda s: tuple(s) if s else (tokens, executions, "active"), lambda s: s, step)
+    rows = _stateful(requests, {"_tenant": F.col("tenant_id")}, order, ["tokens_used", "executions_used"], ADMISSION, "tokens long, executions long, status string", lambda s: tuple(s) if s else (tokens, executions, "active"), lambda s: s, step)
     return _run(rows, out, checkpoint, **how)
 
 
@@ -140,7 +156,7 @@ def stream_quarantine(proposals: DataFrame, out: str, checkpoint: str, order: li
         return now, (row["status"] if why is None else "quarantined", id_)
 
     state_schema = f"domains array<string>, systems array<string>, terms array<string>, places array<long>, ids array<{kind}>"
-    rows = _stateful(proposals, ["tenant_id", group_of(chosen)], order, f"new_status string, conflicting_id {kind}", state_schema, load, dump, step)
+    rows = _stateful(proposals, {"_tenant": F.col("tenant_id"), "_group": group_of(chosen)}, order, ["id", "title", "scope_domain", "scope_system", "status"], f"new_status string, conflicting_id {kind}", state_schema, load, dump, step)
     return _run(rows, out, checkpoint, **how)
 
 
