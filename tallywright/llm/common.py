@@ -11,11 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: The word separators of the corpus operators: ASCII white space only.
 SPACES = " \t\n\x0b\f\r"
-#: A side of a join is broadcast only after a count showed at most this many narrow rows (about 32 MB at most).
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only after its values were measured, or counted at a known width, to be at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 #: Rows per group of texts that a Python task holds at once end at this many characters.
 CHUNK_CHARS = 1_000_000
 #: Rows of an Arrow batch at most.
@@ -26,21 +27,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder: cuts the lineage, survives lost executors.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Where none is set (tests), a temporary one is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where none is set, a temporary folder if the master is local (tests); else an error, as executors would not see it."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the shared checkpoint folder: cuts the lineage, survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _width(c: Column, kind: DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind), F.lit(8))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            return F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(16).cast("long"), lambda acc, x: acc + _width(x, kind.elementType))
+        return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+    return F.lit(8)
+
+
+def byte_size(df: DataFrame) -> int:
+    """Bytes that the rows take, about, measured over all of them."""
+    row = sum((_width(F.col(f.name), f.dataType) for f in df.schema), F.lit(8)).cast("long")
+    return df.select(row.alias("w")).agg(F.sum("w")).first()[0] or 0
+
+
 def small_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join with a table that is usually small: broadcast only if its counted rows allow it, else a plain shuffle join."""
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, list(on), how)
+    """Join with a table that is usually small: broadcast only if its bytes allow it, else a plain shuffle join.
+
+    Bytes are measured, or, where ``rows`` are known, taken at 64 a row: for tables of a few numbers and short keys.
+    """
+    size = byte_size(small) if rows is None else rows * 64
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, list(on), how)
 
 
 def bucket_count(rows: int) -> int:
