@@ -7,7 +7,9 @@ stand 24 to a row; restart markers follow every two rows. A payload longer than
 further JPEG frame, appended to the first.
 
 The reader takes any baseline JPEG (8-bit, Huffman, one interleaved or several single scans, any sampling) and
-decodes the restart intervals of many images side by side in numpy. Other files give nulls and an ``error``.
+decodes the restart intervals of many images side by side in numpy. Dimensions are those of the frame header;
+thumbnails are the blocks' mean grey levels, dequantised. Other files, broken, cut short or null, give nulls and an
+``error``, and spoil none of their neighbours; what is set aside for a file is bounded by its length.
 """
 
 from __future__ import annotations
@@ -143,52 +145,91 @@ def _scan_end(data: bytes, at: int) -> int:
     return len(data)
 
 
+def _need(ok: bool, what: str) -> None:
+    if not ok:
+        raise ValueError(what)
+
+
+def _frame_header(body: bytes) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    _need(len(body) >= 6 and len(body) == 6 + 3 * body[5] and 1 <= body[5] <= 4, "bad frame header")
+    height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+    _need(body[0] == 8 and height > 0 and width > 0, "not an 8-bit frame of known size")
+    components = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+    _need(all(1 <= h <= 4 and 1 <= v <= 4 for _, h, v, _ in components), "bad sampling")
+    _need(len({c[0] for c in components}) == len(components), "a component twice")
+    return height, width, components
+
+
+def _huffman_tables(body: bytes) -> dict[int, tuple]:
+    out, k = {}, 0
+    while k < len(body):
+        lengths = tuple(body[k + 1 : k + 17])
+        symbols = tuple(body[k + 17 : k + 17 + sum(lengths)])
+        _need(len(lengths) == 16 and len(symbols) == sum(lengths), "Huffman table cut short")
+        code = 0
+        for bits, n in enumerate(lengths, 1):
+            code += n
+            _need(code <= 1 << bits, "Huffman table with too many codes")
+            code <<= 1
+        out[body[k]] = (lengths, symbols)
+        k += 17 + sum(lengths)
+    return out
+
+
+def _quantisers(body: bytes) -> dict[int, int]:
+    out, k = {}, 0
+    while k < len(body):
+        wide = body[k] >> 4
+        _need(wide <= 1 and k + 1 + 64 * (1 + wide) <= len(body), "bad quantiser table")
+        out[body[k] & 15] = int.from_bytes(body[k + 1 : k + 2 + wide], "big")
+        k += 1 + 64 * (1 + wide)
+    return out
+
+
 def parse_frames(data: bytes) -> list[Frame]:
+    """The frames of a file; raises ValueError where it is no baseline JPEG, or not whole."""
     frames: list[Frame] = []
     at = 0
     while at < len(data):
-        if data[at : at + 2] != b"\xff\xd8":
-            raise ValueError("no start marker")
+        _need(data[at : at + 2] == b"\xff\xd8", "no start marker")
         at += 2
         frame, tables, interval = Frame(), {}, 0
         while True:
-            while at + 1 < len(data) and data[at + 1] == 0xFF:
+            while at + 1 < len(data) and data[at] == 0xFF and data[at + 1] == 0xFF:
                 at += 1
-            if at + 2 > len(data) or data[at] != 0xFF:
-                raise ValueError("no marker where one is due")
+            _need(at + 2 <= len(data) and data[at] == 0xFF, "no marker where one is due")
             marker = data[at + 1]
             at += 2
             if marker == 0xD9:
                 break
             n = int.from_bytes(data[at : at + 2], "big")
+            _need(n >= 2 and at + n <= len(data), "segment cut short")
             body, at = data[at + 2 : at + n], at + n
             if marker == 0xC0:
-                frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-                frame.components = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
-                if body[0] != 8 or not frame.height or not frame.width:
-                    raise ValueError("not an 8-bit frame of known size")
+                _need(not frame.components, "two frame headers")
+                frame.height, frame.width, frame.components = _frame_header(body)
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("not baseline")
             elif marker == 0xC4:
-                k = 0
-                while k < len(body):
-                    lengths = list(body[k + 1 : k + 17])
-                    tables[body[k]] = (tuple(lengths), tuple(body[k + 17 : k + 17 + sum(lengths)]))
-                    k += 17 + sum(lengths)
+                tables.update(_huffman_tables(body))
             elif marker == 0xDB:
-                k = 0
-                while k < len(body):
-                    wide = body[k] >> 4
-                    frame.quantisers[body[k] & 15] = int.from_bytes(body[k + 1 : k + 2 + wide], "big")
-                    k += 1 + 64 * (1 + wide)
+                frame.quantisers.update(_quantisers(body))
             elif marker == 0xDD:
-                interval = int.from_bytes(body[:2], "big")
+                _need(len(body) == 2, "bad restart interval")
+                interval = int.from_bytes(body, "big")
             elif marker == 0xDA:
+                _need(len(body) >= 1 and len(body) == 4 + 2 * body[0] and body[0] > 0, "bad scan header")
                 used = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+                known = {c[0] for c in frame.components}
+                _need(len({u[0] for u in used}) == len(used) and all(u[0] in known for u in used), "a scan of other components than the frame's")
+                _need(all(t in tables for _, s in used for t in (s >> 4, 0x10 | s & 15)), "a scan without its tables")
                 end = _scan_end(data, at)
-                frame.scans.append((used, dict(tables), interval, at, end))
+                frame.scans.append((used, {t: tables[t] for _, s in used for t in (s >> 4, 0x10 | s & 15)}, interval, at, end))
                 at = end
+        _need(bool(frame.components) and bool(frame.scans), "no frame or scan")
+        _need(frame.components[0][3] in frame.quantisers, "no quantiser")
         frames.append(frame)
+    _need(bool(frames), "empty")
     return frames
 
 
@@ -229,13 +270,16 @@ def decode_dc(jobs: list[tuple[bytes, Frame, tuple]]) -> list[dict[int, np.ndarr
             units = -(-(-(-frame.width * ch // mh)) // 8) * -(-(-(-frame.height * cv // mv)) // 8)
         else:
             units = -(-frame.width // (8 * h)) * -(-frame.height // (8 * v))
-        raw = np.frombuffer(data, dtype=np.uint8, count=scan[4] - scan[3], offset=scan[3])
+        raw = np.frombuffer(data, dtype=np.uint8, count=scan[4] - scan[3], offset=scan[3]) if scan[4] > scan[3] else np.empty(0, np.uint8)
         ff = np.flatnonzero(raw[:-1] == 255) if len(raw) else np.empty(0, np.int64)
         after = raw[ff + 1]
         gone = np.concatenate([ff[after == 0] + 1, ff[after != 0], ff[after != 0] + 1])
         restarts = np.sort(ff[after != 0])
         keep = np.ones(len(raw), dtype=bool)
-        keep[gone] = False
+        keep[gone[gone < len(raw)]] = False
+        # A block takes two bits at least: a file too short for its declared size is refused before anything is set aside for it.
+        if units * len(pattern) > 4 * len(raw):
+            raise ValueError("scan data end too early")
         starts = np.concatenate([[0], restarts - np.searchsorted(np.sort(gone), restarts)])
         datas.append(raw[keep])
         sizes = [min(interval, units - i) for i in range(0, units, interval)] if interval else [units]
@@ -244,7 +288,8 @@ def decode_dc(jobs: list[tuple[bytes, Frame, tuple]]) -> list[dict[int, np.ndarr
         lanes.append(starts + total)
         counts.append(sizes)
         total += len(datas[-1])
-    stream = np.concatenate([*datas, np.full(16, 255, np.uint8)]).astype(np.uint32)
+    # Behind the data there is room for what a block can read before its end is checked: 64 codes of at most 16 + 15 bits.
+    stream = np.concatenate([*datas, np.full(512, 255, np.uint8)]).astype(np.uint32)
     window = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]
     position = np.concatenate(lanes).astype(np.int64) * 8
     left = np.concatenate([np.array(s) for s in counts]) * len(pattern)
@@ -256,7 +301,7 @@ def decode_dc(jobs: list[tuple[bytes, Frame, tuple]]) -> list[dict[int, np.ndarr
     done = np.zeros(len(left), dtype=np.int64)
     predicted = {c: np.zeros(len(left), dtype=np.int32) for c in ids}
     live = np.arange(len(left))
-    limit = total * 8
+    ends = np.append(position[1:], total * 8)  # a lane ends where the next begins
 
     def symbols(look: np.ndarray, of: np.ndarray) -> np.ndarray:
         p = position[of]
@@ -290,7 +335,7 @@ def decode_dc(jobs: list[tuple[bytes, Frame, tuple]]) -> list[dict[int, np.ndarr
             k = np.where(symbol == 0, 64, k + (symbol >> 4) + 1)
             more = k < 64
             of, k = of[more], k[more]
-        if position[live].max() > limit + 128:
+        if (position[live] > ends[live]).any():
             raise ValueError("scan data end too early")
         block += 1
         live = live[done[live] < left[live]]
@@ -303,47 +348,73 @@ def decode_dc(jobs: list[tuple[bytes, Frame, tuple]]) -> list[dict[int, np.ndarr
     return out
 
 
-def thumbnails(media: list[bytes]) -> list[list[np.ndarray] | str]:
-    """For each file its frames' luminance DC coefficients as a grid of blocks, or what is wrong with it."""
+@dataclass
+class Thumbnail:
+    """A frame's size in pixels, and of each 8x8 block of its luminance the quantised DC term and the mean grey level (0 to 255)."""
+
+    width: int
+    height: int
+    blocks: np.ndarray
+    grey: np.ndarray
+
+
+_BROKEN = (ValueError, IndexError, KeyError, ZeroDivisionError, OverflowError, MemoryError, TypeError)
+
+
+def _layout(frame: Frame) -> tuple[tuple, tuple]:
+    """The scan with the luminance, and what scans must have in common to be decoded side by side."""
+    luminance = frame.components[0][0]
+    scan = next((s for s in frame.scans if luminance in [u[0] for u in s[0]]), None)
+    if scan is None:
+        raise ValueError("no scan of the luminance")
+    return scan, (tuple(scan[0]), tuple(sorted(scan[1].items())), scan[2], tuple(c[:3] for c in frame.components))
+
+
+def _thumbnail(frame: Frame, scan: tuple, blocks: dict[int, np.ndarray]) -> Thumbnail:
+    luminance, h, v, quantiser = frame.components[0]
+    mh, mv = max(c[1] for c in frame.components), max(c[2] for c in frame.components)
+    own, wide, high = blocks[luminance], -(-frame.width * h // mh), -(-frame.height * v // mv)
+    if len(scan[0]) == 1:
+        grid = own.reshape(-1, -(-wide // 8))
+    else:
+        across = -(-frame.width // (8 * mh))
+        grid = own.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
+    grid = grid[: -(-high // 8), : -(-wide // 8)]  # blocks that only fill up the last unit are none of the picture
+    return Thumbnail(frame.width, frame.height, grid, np.clip(grid * frame.quantisers[quantiser] / 8 + 128, 0, 255))
+
+
+def thumbnails(media: list[bytes]) -> list[list[Thumbnail] | str]:
+    """Each file's frames as thumbnails, or what is wrong with it."""
     out: list = [None] * len(media)
     jobs: dict[tuple, list] = {}
     for i, data in enumerate(media):
         try:
             frames = parse_frames(data)
-            if not frames or any(not f.components or not f.scans for f in frames):
-                raise ValueError("no frame or scan")
             out[i] = [None] * len(frames)
             for k, f in enumerate(frames):
-                luminance = f.components[0][0]
-                scan = next(s for s in f.scans if luminance in [u[0] for u in s[0]])
-                layout = (tuple(scan[0]), tuple(sorted(scan[1].items())), scan[2], tuple(c[:3] for c in f.components))
+                scan, layout = _layout(f)
                 jobs.setdefault(layout, []).append((i, k, f, scan))
-        except (ValueError, IndexError, StopIteration) as e:
+        except _BROKEN as e:
             out[i] = str(e) or "cut short"
     for work in jobs.values():
         try:
             found = decode_dc([(media[i], f, s) for i, _, f, s in work])
-        except (ValueError, IndexError):  # one broken file must not spoil its neighbours
+        except _BROKEN:  # one broken file must not spoil its neighbours
             found = []
             for i, _, f, s in work:
                 try:
                     found += decode_dc([(media[i], f, s)])
-                except (ValueError, IndexError) as e:
+                except _BROKEN as e:
                     found.append(str(e) or "cut short")
         for (i, k, f, scan), blocks in zip(work, found, strict=True):
-            if isinstance(blocks, str) or isinstance(out[i], str):
-                out[i] = blocks if isinstance(blocks, str) else out[i]
+            if isinstance(out[i], str):
                 continue
-            luminance, h, v, _ = f.components[0]
-            mh, mv = max(c[1] for c in f.components), max(c[2] for c in f.components)
-            own = blocks[luminance]
-            if len(scan[0]) == 1:
-                across = -(-(-(-f.width * h // mh)) // 8)
-                grid = own.reshape(-1, across)
-            else:
-                across = -(-f.width // (8 * mh))
-                grid = own.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
-            out[i][k] = grid
+            try:
+                out[i] = blocks if isinstance(blocks, str) else out[i]
+                if not isinstance(blocks, str):
+                    out[i][k] = _thumbnail(f, scan, blocks)
+            except _BROKEN as e:
+                out[i] = str(e) or "cut short"
     return out
 
 
@@ -372,26 +443,27 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Reads stored files back: dimensions, thumbnail hash, and the payload that the DC levels hold.
+    """Reads stored files back: dimensions, thumbnail hash, and the payload that the DC terms hold.
 
-    ``feature`` is "<width>x<height>:<hash of the thumbnail>". A null, broken or foreign file gives nulls and ``error``.
+    ``feature`` is "<width>x<height>:<hash of the thumbnail>", of all frames one below the other if they are equally
+    wide, else of the first. A null, broken or foreign file gives nulls and ``error``.
     """
 
     def work(part: pa.Table) -> dict[str, list]:
         files = [m or b"" for m in part["media"].to_pylist()]
         out: dict[str, list] = {x.split()[0]: [] for x in FEATURES.split(", ")}
-        for i, n, m, grids in zip(part["doc_id"].to_pylist(), part["n_bytes"].to_pylist(), files, thumbnails(files), strict=True):
+        for i, n, m, found in zip(part["doc_id"].to_pylist(), part["n_bytes"].to_pylist(), files, thumbnails(files), strict=True):
             row: dict = {"doc_id": i, "n_bytes": n, "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest()}
-            if isinstance(grids, str):
-                row["error"] = grids
+            if isinstance(found, str):
+                row["error"] = found
             else:
-                payload = b"".join((g + 128).clip(0, 255).astype(np.uint8).tobytes() for g in grids)
-                width, height = grids[0].shape[1] * 8, sum(g.shape[0] for g in grids) * 8
-                same = all(g.shape[1] == grids[0].shape[1] for g in grids)
-                image = np.concatenate(grids) if same else grids[0]
-                row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": f"{width}x{height}:{difference_hash(image)}", "width": width, "height": height, "frames": len(grids)}
+                payload = b"".join((t.blocks + 128).clip(0, 255).astype(np.uint8).tobytes() for t in found)
+                same = all(t.grey.shape[1] == found[0].grey.shape[1] and t.width == found[0].width for t in found)
+                width, height = found[0].width, sum(t.height for t in found) if same else found[0].height
+                image = np.concatenate([t.grey for t in found]) if same else found[0].grey
+                row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": f"{width}x{height}:{difference_hash(image)}", "width": width, "height": height, "frames": len(found)}
             for name, values in out.items():
                 values.append(row.get(name))
         return out
 
-    return map_texts(media.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), "media"), FEATURES, work, text="media")
+    return map_texts(media.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), F.col("media").cast("binary")), FEATURES, work, text="media")

@@ -155,9 +155,10 @@ def test_media_round_trip(docs, hard, none):
 def test_media_of_long_payloads_and_broken_files():
     payload = bytes(range(256)) * 3 * 1024
     made = media.write_jpegs([payload])[0]
-    grids = media.thumbnails([made, b"", b"\xff\xd8\xff", made[:500], made])
-    assert b"".join((g + 128).astype(np.uint8).tobytes() for g in grids[0]) == payload == b"".join((g + 128).astype(np.uint8).tobytes() for g in grids[4])
-    assert all(isinstance(g, str) for g in grids[1:4])
+    found = media.thumbnails([made, b"", b"\xff\xd8\xff", made[:500], made])
+    for k in (0, 4):
+        assert b"".join((t.blocks + 128).astype(np.uint8).tobytes() for t in found[k]) == payload == b"".join(t.grey.astype(np.uint8).tobytes() for t in found[k])
+    assert all(isinstance(g, str) for g in found[1:4])
 
 
 def colour_jpeg(width, height, seed):
@@ -197,8 +198,40 @@ def colour_jpeg(width, height, seed):
 
 def test_foreign_colour_files_decode():
     made = [colour_jpeg(50, 33, s) for s in range(6)]
-    for grids, (_, want) in zip(media.thumbnails([m for m, _ in made]), made, strict=True):
-        assert not isinstance(grids, str) and (grids[0] == want).all()
+    for found, (_, want) in zip(media.thumbnails([m for m, _ in made]), made, strict=True):
+        assert not isinstance(found, str) and (found[0].width, found[0].height) == (50, 33)
+        own = want[:5, :7]  # 33 pixels are 5 blocks, 50 are 7; the rest of the last unit is filling
+        assert (found[0].blocks == own).all() and (found[0].grey == np.clip(own / 8 + 128, 0, 255)).all()
+
+
+def test_quantisers_make_grey_levels():
+    plain = media.write_jpegs([bytes(range(100, 148)) * 4])[0]
+    table = media._segment(0xDB, b"\x00" + b"\x08" * 64)
+    [[one], [two]] = media.thumbnails([plain, plain.replace(table, media._segment(0xDB, b"\x00" + b"\x10" * 64))])
+    assert (one.blocks == two.blocks).all() and (two.grey - 128 == np.clip((one.grey - 128) * 2, -128, 127)).all()
+
+
+def test_broken_files_give_errors_and_spoil_no_neighbours(spark):
+    """Fuzzed files through Spark: each gives a row, nulls with an error or a whole answer, and good ones stay as they are."""
+    good, colour = media.write_jpegs([b"payload " * 96])[0], colour_jpeg(50, 33, 1)[0]
+    rng, bad = random.Random(8), [None, b"", b"\xff", b"\xff\xd8", b"\xff\xd8\xff\xd9", good[:-2], good[:200], good[: good.index(b"\xff\xda") + 4]]
+    bad += [good.replace(b"\xff\xc4", b"\xff\xe4"), colour.replace(b"\x01\x22\x00", b"\x01\x00\x00"), colour.replace(b"\x03\x01\x00\x02", b"\x03\x01\x33\x02"), good.replace(b"\x01\x01\x00\x00\x3f\x00", b"\x01\x07\x00\x00\x3f\x00")]
+    huge = bytearray(good)
+    at = good.index(b"\xff\xc0")
+    huge[at + 5 : at + 9] = b"\xff\xff\xff\xff"  # 65535 x 65535 pixels declared
+    bad.append(bytes(huge))
+    for _ in range(300):
+        file = bytearray(rng.choice([good, colour]))
+        for _ in range(rng.choice([1, 1, 3])):
+            file[rng.randrange(len(file))] = rng.randrange(256)
+        bad.append(bytes(file[: rng.randrange(len(file))] if rng.random() < 0.2 else file))
+    rows = [(i, 768, bytearray(m) if m is not None else None) for i, m in enumerate(bad)] + [(10_000 + i, 768, bytearray(good)) for i in range(20)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r for r in media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == len(rows)
+    assert all((r["error"] is None) == (r["feature"] is not None) == (r["payload_sha256"] is not None) for r in got.values())
+    assert all(got[i]["error"] for i in range(13))
+    assert all(got[10_000 + i]["payload_sha256"] == hashlib.sha256(b"payload " * 96).hexdigest() for i in range(20))
 
 
 # --- 4 rules
