@@ -7,19 +7,24 @@
 3.  Bins are banded. Documents without company in any bucket are done. For the others the shingle counts of the
     candidates give an exact bound: a document whose shingles occur, to less than the threshold's part, in any
     other candidate cannot be linked and goes.
-4.  The rest is linked in stars: each bucket's members with its smallest id. Star edges are confirmed on full sets.
-5.  Stars alone could miss a pair neither of whose ends is a centre. So the candidate groups (connected by
-    buckets) that still hold several components are compared within, block against block of at most BLOCK
-    documents: every pair of different components that could reach the threshold is confirmed on full sets.
-6.  Components take their smallest id.
+4.  The rest is linked in stars: each bucket's members with its smallest node. Star edges are confirmed on full sets.
+5.  Stars alone could miss a pair neither of whose ends is a centre. In each candidate group (connected by buckets)
+    that still holds several components, a few rounds of stars follow round its most common sets, those with the
+    smallest share of shingles that no other candidate has: the base of a family of copies is one.
+6.  Where a group still holds several components, its sets are compared block against block of at most BLOCK sets,
+    blocks of one and the same component left out: every pair of different components that could reach the
+    threshold is confirmed on full sets, so no link is lost to a star's centre.
+7.  Components take the smallest id of their sets' documents.
 
 With 44 bands of 7 bins a pair at the threshold of 0.85 is missed by all buckets with a chance of 4 in 10**8, a
 more similar one with less; at 0.8 the chance is 3 in 10**5. Linked are pairs with 100 * intersection >= percent *
 union, 85 unless another number is given.
 
-Null texts and texts without words have no shingles, are linked with nothing and stand for themselves. Rows with a
-null id are kept out of the linking: component_id is null and ``kept`` false. Rows with the same id and set are one
-document of several rows. Empty tables give empty results.
+Nodes are sets, not ids: rows of one id with different texts are linked each by its own text, and rows with the same
+set are one node, whatever their ids. A node is named by 64 bits of its set; of 10**8 different sets two share a name
+with a chance of 3 in 10**4. Null texts and texts without words have no shingles, are linked with nothing and stand for
+themselves. Rows with a null id are kept out of the linking: component_id is null and ``kept`` false. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -29,18 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved, small_join
+from .common import map_texts, saved, small_join, written
 from .shingles import mix, shingle_sets
 
 PERCENT = 85
 ROWS = 7
 BANDS = 44
 BINS = ROWS * BANDS
-#: Documents of a block in step 5.
+#: Sets of a block in step 6.
 BLOCK = 512
+#: Rounds of stars in step 5.
+HUBS = 3
 
 _SEARCH = 4096
 
@@ -96,29 +103,36 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
 
 
 def sketched(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_key (names the set of shingles), bands (null where only equal sets can be linked)."""
+    """doc_id, n_shingles, set_key (names the set of shingles), node (the same in 64 bits), bands (null where only equal sets can be linked)."""
 
     def work(part: pa.Table) -> dict[str, list]:
         sets = list(shingle_sets(_encoded(part["text"].to_pylist())))
-        keys = [f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(mix(s).sum(dtype=np.uint64)):x}" for s in sets]
+        sums = [(len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))) for s in sets]
         large = [i for i, s in enumerate(sets) if len(s) >= least_size(percent)]
         found: list = [None] * len(sets)
         for a in range(0, len(large), 512):
             own = large[a : a + 512]
             for i, row in zip(own, bands([sets[i] for i in own]), strict=True):
                 found[i] = row
-        return {"doc_id": part["doc_id"].to_pylist(), "n_shingles": [len(s) for s in sets], "set_key": keys, "bands": found}
+        return {"doc_id": part["doc_id"].to_pylist(), "n_shingles": [len(s) for s in sets], "set_key": [f"{n}-{x:x}-{y:x}" for n, x, y in sums], "node": _nodes(sums), "bands": found}
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, n_shingles long, set_key string, bands array<long>", work)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, n_shingles long, set_key string, node long, bands array<long>", work)
+
+
+def _nodes(sums: list[tuple[int, int, int]]) -> np.ndarray:
+    n, x, y = (np.array([s[k] for s in sums], dtype=np.uint64) for k in range(3))
+    return mix(mix(mix(n + np.uint64(0x51)) ^ x) ^ y).astype(np.int64)
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """id, shingles (sorted, distinct) of documents with a text."""
+    """id (the set's node), shingles (sorted, distinct) of documents with a text."""
 
     def work(part: pa.Table) -> dict[str, list]:
-        return {"id": part["doc_id"].to_pylist(), "shingles": [s.astype(np.int64) for s in shingle_sets(_encoded(part["text"].to_pylist()))]}
+        sets = list(shingle_sets(_encoded(part["text"].to_pylist())))
+        ids = _nodes([(len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))) for s in sets])
+        return {"id": ids, "shingles": [s.astype(np.int64) for s in sets]}
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "id long, shingles array<long>", work)
+    return map_texts(docs.select(F.col("text").cast("string")), "id long, shingles array<long>", work)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -127,14 +141,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest root among neighbours and then the root's root, so paths halve. Rounds are cut
     by checkpoints; only a count comes to the driver.
     """
-    both = saved(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct())
+    both = written(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct())
     state = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("root"))
-    state = saved(state)
+    state = written(state)
     while True:
         near = both.join(state.select(F.col("id").alias("to"), F.col("root").alias("r")), "to").groupBy("id").agg(F.min("r").alias("r"))
         better = state.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "r").alias("root"))
         jump = state.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        step = saved(better.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("up", "root")).alias("root")))
+        step = written(better.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("up", "root")).alias("root")))
         if step.filter("root <> was").isEmpty():
             return step.select("id", "root")
         state = step.select("id", "root")
@@ -144,7 +158,7 @@ def _buckets(members: DataFrame) -> DataFrame:
     """Star edges a < b: the members (id, bands) of a bucket with its smallest."""
     keyed = members.select("id", F.explode("bands").alias("key"))
     stars = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
-    return keyed.join(stars, "key").filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    return small_join(keyed, stars, ["key"]).filter("id > a").select("a", F.col("id").alias("b")).distinct()
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,9 +171,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(ids: np.ndarray, roots: np.ndarray, lone: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between different components among the documents of a pair of blocks, no more than join them up.
+    """Links between different components among the sets of a pair of blocks, no more than join them up.
 
-    ``lone`` counts a document's shingles that no other candidate has: they bound what a pair can share.
+    ``side`` tells the blocks apart: with two of them only pairs across count. ``lone`` counts a set's shingles that
+    no other candidate has: they bound what a pair can share.
     """
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
@@ -171,9 +186,12 @@ def _links(ids: np.ndarray, roots: np.ndarray, lone: np.ndarray, sets: list[np.n
     spans = np.split(inverse, np.cumsum(sizes)[:-1])
     label = np.unique(roots, return_inverse=True)[1]
     common = sizes - lone
+    single = len(np.unique(side)) == 1
     found = []
     for i in range(n):
-        possible = (label != label[i]) & ((side != side[i]) | (side[i] == 0) & (side == 0) & (np.unique(side).size == 1))
+        possible = label != label[i]
+        if not single:
+            possible &= side != side[i]
         possible &= 100 * np.minimum(common, common[i]) >= percent * np.maximum(sizes + lone[i], sizes[i] + lone)
         possible[: i + 1] = False
         if not possible.any():
@@ -187,59 +205,101 @@ def _links(ids: np.ndarray, roots: np.ndarray, lone: np.ndarray, sets: list[np.n
     return found
 
 
+def _open(state: DataFrame) -> DataFrame:
+    """The members (id, grp, root, ...) of the groups that hold several components."""
+    groups = state.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("grp")
+    return small_join(state, groups, ["grp"], "left_semi")
+
+
+def _hub_links(state: DataFrame, sets: DataFrame, percent: int, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links of one round of stars, and the hubs so far: each open group's most common set that was none yet, with the group's sets of other components."""
+    own = state if done is None else state.join(done, "id", "left_anti")
+    hubs = saved(own.groupBy("grp").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("share"), "id", "root")).alias("hub")).select("grp", F.col("hub.id").alias("a"), F.col("hub.root").alias("_root")))
+    edges = small_join(state.select("id", "grp", "root"), hubs, ["grp"]).filter("root <> _root").select("a", F.col("id").alias("b"))
+    centres = hubs.select(F.col("a").alias("id"))
+    return saved(_confirmed(edges, sets, percent)), centres if done is None else done.unionByName(centres)
+
+
 def _within_groups(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) inside the groups (id, grp, root) that hold several components.
+    """Confirmed links (a, b) inside groups (id, grp, root, lone) that hold several components.
 
-    Blocks of a group are parts by hash; a pair of blocks is one task's group, of about 2 * BLOCK documents.
+    A component of more than BLOCK sets has blocks of its own; the others share blocks by hash. Each pair of blocks,
+    but for those of one and the same component, is one task's group, of about 2 * BLOCK sets.
     """
-    open_groups = state.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    open_groups = open_groups.select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    members = small_join(state, open_groups, ["grp"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    spread = members.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    spread = spread.select("id", "grp", "root", "lone", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    loaded = spread.join(sets, "id")
+    sizes = state.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("_size"))
+    shared = F.when(F.col("_size") > BLOCK, F.col("root"))
+    placed = saved(state.join(sizes, ["grp", "root"]).withColumn("_own", shared))
+    counts = placed.groupBy("grp", "_own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_nb"))
+    listed = counts.select("grp", "_own", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_part"))
+    numbers = saved(listed.withColumn("_block", F.row_number().over(Window.partitionBy("grp").orderBy("_own", "_part"))))
+    x = numbers.select("grp", F.col("_own").alias("_x"), F.col("_block").alias("i"))
+    y = numbers.select("grp", F.col("_own").alias("_y"), F.col("_block").alias("j"))
+    pairs = x.join(y, "grp").filter((F.col("i") <= F.col("j")) & F.coalesce(F.col("_x") != F.col("_y"), F.lit(True))).select("grp", "i", "j")
+    sided = pairs.select("grp", "i", "j", F.col("i").alias("_block"), F.lit(0).alias("side")).unionByName(pairs.filter("i < j").select("grp", "i", "j", F.col("j").alias("_block"), F.lit(1).alias("side")))
+    spots = numbers.join(counts, (numbers["grp"] == counts["grp"]) & numbers["_own"].eqNullSafe(counts["_own"])).select(numbers["grp"], numbers["_own"], "_part", "_block", "_nb")
+    part = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
+    size_of = counts.select(F.col("grp").alias("_g"), F.col("_own").alias("_o"), "_nb")
+    dealt = placed.join(size_of, (F.col("grp") == F.col("_g")) & F.col("_own").eqNullSafe(F.col("_o"))).withColumn("_part", part).select("id", "grp", "root", "lone", "_own", "_part")
+    spots = spots.select(F.col("grp").alias("_g"), F.col("_own").alias("_o"), F.col("_part").alias("_p"), "_block")
+    members = dealt.join(spots, (F.col("grp") == F.col("_g")) & F.col("_own").eqNullSafe(F.col("_o")) & (F.col("_part") == F.col("_p"))).select("id", "grp", "root", "lone", "_block")
+    loaded = members.join(sided, ["grp", "_block"]).join(sets, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
         rows = _links(pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["lone"].to_numpy(), [np.asarray(s, dtype=np.int64) for s in pdf["shingles"]], pdf["side"].to_numpy(), percent)
         return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
-    return loaded.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
+    return loaded.select("id", "grp", "root", "lone", "i", "j", "side", "shingles").groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _linked(heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id, root of the nodes that are linked with others. heads: id, bands; sets: id, shingles of the candidates."""
+    single = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    bounded = sets.select("id", F.size("shingles").alias("n")).join(single, "id", "left").select("id", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+    able = saved(bounded.filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")))
+    members = saved(heads.join(able.select("id"), "id"))
+    own_sets = saved(sets.join(able.select("id"), "id", "left_semi"))
+
+    edges = saved(_buckets(members))
+    links = saved(_confirmed(edges, own_sets, percent))
+    roots = components(links)
+    state = components(edges).select("id", F.col("root").alias("grp")).join(able, "id").join(roots, "id", "left").select("id", "grp", "n", "lone", F.coalesce("root", "id").alias("root"))
+    state, done = saved(_open(saved(state))), None
+    for _ in range(HUBS):
+        if state.isEmpty():
+            return roots
+        more, done = _hub_links(state, own_sets, percent, done)
+        if more.isEmpty():
+            continue
+        links = saved(links.unionByName(more))
+        roots = components(links)
+        state = saved(_open(saved(state.drop("root").join(roots, "id", "left").select("id", "grp", "n", "lone", F.coalesce("root", "id").alias("root")))))
+    if state.isEmpty():
+        return roots
+    more = saved(_within_groups(state, own_sets, percent))
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document, linked from ``percent`` of similarity on."""
     every = saved(sketched(docs, percent))
     sketches = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = sketches.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    # A class's smallest id carries its bands on.
-    heads = sketches.filter("bands IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    heads = saved(heads.select(F.col("doc_id").alias("id"), "bands", "n_shingles"))
+    classes = saved(sketches.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node")))
+    # Bands are the set's own: any row of a node has the same.
+    heads = saved(sketches.filter("bands IS NOT NULL").select(F.col("node").alias("id"), "bands").dropDuplicates(["id"]))
 
     keyed = heads.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     candidates = saved(keyed.join(shared, "key", "left_semi").select("id").distinct())
     n = candidates.count()
-    texts = small_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), candidates.select(F.col("id").alias("doc_id")), ["doc_id"], "left_semi", rows=n)
-    sets = saved(shingled(texts).dropDuplicates(["id"]))
-
-    single = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    bounded = sets.select("id", F.size("shingles").alias("n")).join(single, "id", "left").select("id", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
-    able = saved(bounded.filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")).select("id", "lone"))
-    members = saved(heads.join(able, "id").select("id", "bands", "lone"))
-    own_sets = saved(sets.join(able.select("id"), "id", "left_semi"))
-
-    edges = saved(_buckets(members))
-    links = saved(_confirmed(edges, own_sets, percent))
-    groups = components(edges).select("id", F.col("root").alias("grp"))
-    roots = components(links)
-    state = groups.join(able, "id").join(roots, "id", "left").select("id", "grp", "lone", F.coalesce("root", "id").alias("root"))
-    more = saved(_within_groups(saved(state), own_sets, percent))
-    final = roots if more.isEmpty() else components(links.unionByName(more))
-
-    # Classes whose representatives are linked share a component; its id is the smallest representative.
-    named = classes.join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
-    out = every.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    wanted = small_join(classes, candidates.select(F.col("id").alias("node")), ["node"], "left_semi", rows=n).select(F.col("rep").alias("doc_id")).distinct()
+    texts = small_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi", rows=n)
+    sets = saved(shingled(texts).dropDuplicates(["id"]).join(candidates, "id", "left_semi"))
+    roots = _linked(heads, sets, percent)
+
+    # Classes whose nodes are linked share a component; its id is the smallest of its documents.
+    linked = saved(classes.join(roots.select(F.col("id").alias("node"), "root"), "node"))
+    named = small_join(linked, linked.groupBy("root").agg(F.min("rep").alias("component_id")), ["root"]).select("set_key", "component_id")
+    component = classes.join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    known = sketches.select("doc_id", "n_shingles", "set_key").join(component, "set_key").select("doc_id", "n_shingles", "component_id")
+    rest = every.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return known.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
