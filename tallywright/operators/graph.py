@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import saved, small_join
+from ..common import small_join, written
 
 DEPENDS, SUPERSEDES = "depends_on", "supersedes"
 
@@ -63,13 +63,13 @@ def reach(edges: DataFrame, seeds: DataFrame, by: list[str] = []) -> DataFrame:
 
     Edges join only seeds with the same ``by`` columns (the tenant, where ids are a tenant's own).
     """
-    step = saved(edges.select(*by, "src", "dst").distinct())
-    front = saved(small_join(step, seeds.select(*by, F.col("seed").alias("src"), "seed").distinct(), [*by, "src"]).select(*by, "seed", F.col("dst").alias("id"), F.lit(1).alias("depth")).distinct())
+    step = written(edges.select(*by, "src", "dst").distinct())
+    front = written(small_join(step, seeds.select(*by, F.col("seed").alias("src"), "seed").distinct(), [*by, "src"]).select(*by, "seed", F.col("dst").alias("id"), F.lit(1).alias("depth")).distinct())
     found = front
     while not front.isEmpty():
         near = step.join(front.select(*by, "seed", F.col("id").alias("src"), "depth"), [*by, "src"]).select(*by, "seed", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = saved(near.join(found.select(*by, "seed", "id"), [*by, "seed", "id"], "left_anti"))
-        found = saved(found.unionByName(front))
+        front = written(near.join(found.select(*by, "seed", "id"), [*by, "seed", "id"], "left_anti"))
+        found = written(found.unionByName(front))
     return found
 
 
@@ -97,15 +97,15 @@ def _walk(links: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
     step down, each known place of a start's path gets the place that step further: so only the asked paths are
     built, and rounds grow with the logarithm of the length. A place is kept once a path, its first, so cycles end.
     """
-    jump = saved(links.select(*by, F.col("id").alias("member"), F.col("next").alias("to")))
+    jump = written(links.select(*by, F.col("id").alias("member"), F.col("next").alias("to")))
     n, jumps = jump.count(), []
     while not jump.isEmpty() and 1 << len(jumps) <= n:
         jumps.append(jump)
-        jump = saved(jump.join(jump.select(*by, F.col("member").alias("to"), F.col("to").alias("_then")), [*by, "to"]).select(*by, "member", F.col("_then").alias("to")))
+        jump = written(jump.join(jump.select(*by, F.col("member").alias("to"), F.col("to").alias("_then")), [*by, "to"]).select(*by, "member", F.col("_then").alias("to")))
     path = starts.select(*by, "id", F.lit(0).cast("long").alias("pos"), F.col("id").alias("member")).distinct()
     for k in range(len(jumps) - 1, -1, -1):
         more = path.join(jumps[k], [*by, "member"]).select(*by, "id", (F.col("pos") + (1 << k)).alias("pos"), F.col("to").alias("member"))
-        path = saved(path.unionByName(more).groupBy(*by, "id", "member").agg(F.min("pos").alias("pos")).select(*by, "id", "pos", "member"))
+        path = written(path.unionByName(more).groupBy(*by, "id", "member").agg(F.min("pos").alias("pos")).select(*by, "id", "pos", "member"))
     return path.withColumn("pos", F.col("pos").cast("int"))
 
 
@@ -162,7 +162,7 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     key = ["from_id", "to_id", "edge_type"]
     fresh = new.dropDuplicates(key)
     known = edges.select(*key).distinct().withColumn("_known", F.lit(True))
-    fresh = saved(fresh.join(known, key, "left"))
+    fresh = written(fresh.join(known, key, "left"))
     every = edges.select("from_id", "to_id").unionByName(fresh.select("from_id", "to_id")).filter("from_id <> to_id").distinct()
     cyclic = cycle_edges(every)
     hit = fresh.join(cyclic.withColumn("_cycle", F.lit(True)), ["from_id", "to_id"], "left")
@@ -172,12 +172,12 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 def core(edges: DataFrame) -> DataFrame:
     """The edges (from_id, to_id) left when nodes without incoming or without outgoing edges go, again and again."""
-    left = saved(edges.select("from_id", "to_id").filter("from_id <> to_id").distinct())
+    left = written(edges.select("from_id", "to_id").filter("from_id <> to_id").distinct())
     n = left.count()
     while n:
         sources, ends = left.select(F.col("from_id").alias("n")).distinct(), left.select(F.col("to_id").alias("n")).distinct()
         both = sources.join(ends, "n", "left_semi")
-        left = saved(left.join(both.withColumnRenamed("n", "from_id"), "from_id", "left_semi").join(both.withColumnRenamed("n", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
+        left = written(left.join(both.withColumnRenamed("n", "from_id"), "from_id", "left_semi").join(both.withColumnRenamed("n", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
         if (m := left.count()) == n:
             break
         n = m
@@ -200,15 +200,15 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     left, found = core(edges), None
     while not left.isEmpty():
         ends = left.select(F.col("from_id").alias("id")).unionByName(left.select(F.col("to_id").alias("id"))).distinct()
-        colours = _spread(left.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), saved(ends.withColumn("label", F.col("id"))))
+        colours = _spread(left.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), written(ends.withColumn("label", F.col("id"))))
         from_, to = (colours.select(F.col("id").alias(f"{e}_id"), F.col("label").alias(f"_{e}")) for e in ("from", "to"))
-        within = saved(left.join(from_, "from_id").join(to, "to_id").filter("_from = _to").select("from_id", "to_id", F.col("_from").alias("colour")))
+        within = written(left.join(from_, "from_id").join(to, "to_id").filter("_from = _to").select("from_id", "to_id", F.col("_from").alias("colour")))
         # Backwards inside each colour: 0 marks what reaches the node that gives the colour its name.
         start = colours.join(within.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct(), "id", "left_semi")
-        marks = _spread(within.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")), saved(start.select("id", F.when(F.col("id") == F.col("label"), 0).otherwise(1).alias("label"))))
-        inside = saved(marks.filter("label = 0").select("id"))
+        marks = _spread(within.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")), written(start.select("id", F.when(F.col("id") == F.col("label"), 0).otherwise(1).alias("label"))))
+        inside = written(marks.filter("label = 0").select("id"))
         hit = within.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id")
-        found = hit if found is None else saved(found.unionByName(hit))
+        found = hit if found is None else written(found.unionByName(hit))
         rest = within.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
         left = core(rest)
     return left.select("from_id", "to_id") if found is None else found
@@ -219,7 +219,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     changed = labels
     while not changed.isEmpty():
         sent = edges.join(changed.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_new"))
-        step = saved(labels.join(sent, "id", "left").withColumn("_fell", F.coalesce(F.col("_new") < F.col("label"), F.lit(False))).select("id", F.when(F.col("_fell"), F.col("_new")).otherwise(F.col("label")).alias("label"), "_fell"))
+        step = written(labels.join(sent, "id", "left").withColumn("_fell", F.coalesce(F.col("_new") < F.col("label"), F.lit(False))).select("id", F.when(F.col("_fell"), F.col("_new")).otherwise(F.col("label")).alias("label"), "_fell"))
         labels, changed = step.drop("_fell"), step.filter("_fell").drop("_fell")
     return labels
 
