@@ -49,9 +49,10 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_tags long, permissive boolean"
 
 
-def label_of(licence: str) -> str:
+def label_of(licence: str) -> str | None:
+    """The label of a licence id: a known name that ends there or goes on with a version or variant. Words of prose have none."""
     name = licence.lower()
-    return next((label for start, label in IDS if name.startswith(start)), name.rstrip("+"))
+    return next((label for start, label in IDS if re.fullmatch(rf"{re.escape(start)}(?:[-+.]?v?\d.*|[-+].*|)", name)), None)
 
 
 def postfix(expression: str, at: int = 0, end: int | None = None) -> list[str]:
@@ -83,7 +84,7 @@ def postfix(expression: str, at: int = 0, end: int | None = None) -> list[str]:
 
 
 def evaluate(expression: str, at: int = 0, end: int | None = None) -> tuple[set[str], bool] | None:
-    """Labels of a licence expression and whether its terms can be met by permissive licences alone; None without a licence."""
+    """Labels of a licence expression and whether its terms can be met by permissive licences alone; None without a known licence. An unknown id in it has no label and is not permissive."""
     values: list[tuple[set[str], bool]] = []
     for token in postfix(expression, at, end):
         if token in _RANK and len(values) >= 2:
@@ -94,8 +95,9 @@ def evaluate(expression: str, at: int = 0, end: int | None = None) -> tuple[set[
                 left[0].update(right[0])
                 values.append((left[0], (left[1] or right[1]) if token == "or" else (left[1] and right[1])))
         elif token not in _RANK:
-            values.append(({label_of(token)}, label_of(token) in PERMISSIVE))
-    return values[-1] if values else None
+            label = label_of(token)
+            values.append(({label} if label else set(), label in PERMISSIVE))
+    return values[-1] if values and values[-1][0] else None
 
 
 @cache

@@ -77,7 +77,7 @@ def test_license_phrases(text):
 
 @pytest.mark.parametrize(
     ("expression", "labels", "permissive"),
-    [("MIT", {"mit"}, True), ("MIT OR GPL-3.0-only", {"mit", "gpl"}, True), ("MIT AND GPL-2.0+", {"mit", "gpl"}, False), ("GPL-2.0 WITH Classpath-exception-2.0 OR Apache-2.0", {"gpl", "apache"}, True), ("(MIT OR GPL-3.0) AND (BSD-3-Clause)", {"mit", "gpl", "bsd"}, True), ("LGPL-2.1 or later and mit", {"lgpl", "later", "mit"}, False), ("MIT OR", {"mit"}, True), ("((MIT", {"mit"}, True)],
+    [("MIT", {"mit"}, True), ("MIT OR GPL-3.0-only", {"mit", "gpl"}, True), ("MIT AND GPL-2.0+", {"mit", "gpl"}, False), ("GPL-2.0 WITH Classpath-exception-2.0 OR Apache-2.0", {"gpl", "apache"}, True), ("(MIT OR GPL-3.0) AND (BSD-3-Clause)", {"mit", "gpl", "bsd"}, True), ("LGPL-2.1 or later and mit", {"lgpl", "mit"}, False), ("MIT OR", {"mit"}, True), ("((MIT", {"mit"}, True)],
 )
 def test_license_expressions(expression, labels, permissive):
     assert licenses.evaluate(expression) == (labels, permissive)
@@ -89,6 +89,11 @@ def test_license_tags():
     assert licenses.scan("SPDX-License-Identifier:")[7] == 0
 
 
+@pytest.mark.parametrize(("line", "labels"), [("see the LICENSE file", ""), ("MIT and you may use it", "mit"), ("MITRE-x", ""), ("Apache-2.0 OR mitigation", "apache"), ("GPLv3", "gpl"), ("gpl-2.0+ AND LicenseRef-own", "gpl"), ("BSD3", "bsd"), ("none", "")])
+def test_words_of_prose_are_no_licences(line, labels):
+    assert licenses.scan(f"SPDX-License-Identifier: {line}")[5] == labels
+
+
 def test_license_tags_reach_to_the_end_of_their_line():
     row = licenses.scan("SPDX-License-Identifier: " + "(MIT OR Apache-2.0) AND " * 40 + "GPL-2.0-only\nAND MPL-2.0")
     assert row[5] == "apache,gpl,mit" and row[8] is False
@@ -276,6 +281,34 @@ def test_bad_hosts_lose_all(spark):
     assert {r["doc_id"] for r in out if r["kept"]} == {h * 100 + i for h in (1, 2, 3) for i in range(20)}
 
 
+def test_soft_rules_tell_where_they_are_common(spark):
+    """One document with symbols is kept on a host that has no others, and goes on a host that has many; its clean neighbours stay."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(h * 1000 + i, words + " ###########" * ((h == 0 and i < 30) or (h == 1 and i == 0)), f"h{h}") for h in range(5) for i in range(100)]
+    out = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, r in out.items() if not r["kept"]} == set(range(30)) and out[1000]["symbols_failed"] and out[1000]["kept"]
+
+
+def test_prior_takes_chance_out():
+    rng = np.random.default_rng(5)
+
+    def fitted(rates, n):
+        f = rng.binomial(n, rates)
+        return rules.prior(len(f), int(n.sum()), int((n * n).sum()), int(f.sum()), float((f * f / n).sum()))
+
+    n = rng.integers(5, 60, 3000)
+    mean, weight = fitted(rng.beta(2, 18, 3000), n)
+    assert abs(mean - 0.1) < 0.01 and 15 < weight < 27  # a beta prior of weight 20
+    assert fitted(np.full(3000, 0.1), n)[1] > 150  # equal rates: what is seen is chance
+    assert rules.prior(0, 0, 0, 0, 0.0) == (0.0, rules.PRIOR_DOCS[1])
+
+
+def test_verdicts_decide_on_the_given_documents(spark):
+    rows = rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    soft = [r for r in rows if not r["base_failed"] and not r["kept"]]
+    assert soft and all(r["symbols_failed"] or r["lines_failed"] or r["letters_failed"] for r in soft)
+
+
 # --- 5 quality
 
 
