@@ -403,6 +403,31 @@ def test_sharding(docs, hard, none, spark):
     assert sharding.shard(none).count() == 0
 
 
+def test_rounds_cut_fewer_links(spark):
+    """Cut links before and after the rounds, counted plainly; no shard above its cap at any time it matters."""
+    rows = spark.createDataFrame([(i, f"g{i // 7}") for i in range(420)], "_uid long, _group string")
+    groups = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_of"))
+    caps = np.full(12, 60, dtype=np.int64)
+
+    def cut(state):
+        at = {(r["_part"], r["_k"]): r["shard"] for r in state.collect()}
+        assert len(at) == 420
+        return sum(at[p, k] != at[p, (k - 1) // sharding.FAN] for p, k in at if k)
+
+    start = sharding.started(rows, groups, 60, 420, 12, 60)
+    done = sharding.propagate(start, 420, caps)
+    assert cut(start) > 300 and cut(done) <= 20
+    assert cut(start) == sharding.edges(start).filter("shard <> _to").count()
+    assert max(Counter(r["shard"] for r in done.collect()).values()) <= 60
+
+
+def test_trees_of_large_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN", 3)
+    rows = spark.createDataFrame([(i, "g") for i in range(50)], "_uid long, _group string")
+    start = sharding.started(rows, rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_of")), 1, 50, 5, 100)
+    assert {r["shard"] for r in sharding.propagate(start, 50, np.full(5, 100)).collect()} == {0}
+
+
 def test_quotas_keep_within_room():
     rng = np.random.default_rng(1)
     for _ in range(50):
