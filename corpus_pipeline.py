@@ -2,18 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared folder
 and reads it again as the next stage's documents.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, extra columns and empty tables: null
+texts count as empty (the masked text of one is null), rows are told apart by more than their ids, other columns are
+not carried on, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import mixing, neardup, packing, pii, quality
-from tallywright.llm.common import read, small_join
+from tallywright.llm.common import read, shared_folder, small_join
 from tallywright.llm.queries import vocabulary
 
 #: Documents this similar (percent of their five-word shingles in common) are copies of each other.
@@ -89,9 +92,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}"
+        path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
