@@ -164,14 +164,14 @@ def stream_snapshots(ticks: DataFrame, chain_path: str, out: str, checkpoint: st
     """A snapshot of every tenant that has a chain at each tick, whether it wrote since the last one or not.
 
     ``ticks`` is any stream: its micro-batches are the timer (:func:`clock` gives one). The chain is read as it is
-    at ``chain_path``; each snapshot is over the hash of the tenant's last one in ``out``. A batch that comes again
-    is made again from the snapshots before it.
+    at ``chain_path``; each snapshot is over the hash of the tenant's one of the tick before, which has every tenant
+    of its time as chains only grow. A batch that comes again is made again from the same one.
     """
     spark = ticks.sparkSession
 
     def work(batch_id: int) -> DataFrame:
         roots = chain.chain_roots(spark.read.parquet(chain_path))
-        before = [f"{out}/batch={k}" for k in range(batch_id)]
+        before = [f"{out}/batch={batch_id - 1}"] if batch_id else []
         schema = "tenant_id string, root_hash string, block_height long, parent_snapshot_hash string, snapshot_hash string, epoch_unix long"
         past = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
         return chain.snapshot_step(roots, past.withColumn("epoch_timestamp", F.col("epoch_unix")), F.expr(epoch))
