@@ -22,6 +22,8 @@ from tallywright.llm.queries import vocabulary
 #: Documents this similar (percent of their five-word shingles in common) are copies of each other.
 SIMILAR = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What the third stage adds to the columns of documents for the fourth: it tells written rows apart.
+ROW = "_pipeline_row"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,22 +56,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by the names of its kinds, and _row, which tells rows apart in what is written."""
+    """All documents, their personal data replaced by the names of its kinds, and ROW, which tells rows apart in what is written."""
     text = pii.masked_column(pii.fitted(docs))
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, F.monotonically_increasing_id().alias(ROW))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes its words: whole copies for each full size taken, and one more where half of it or more is left over.
 
-    A row of which the mix takes less than half its words goes. Rows are joined by _row, so ids may be null or repeated.
+    A row of which the mix takes less than half its words goes. Rows are joined by ROW, so ids may be null or repeated;
+    where the input has no such column, rows are numbered and kept first.
     """
-    if "_row" not in docs.columns:
-        docs = mixing.saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
-    shares = mixing.saved(mixing.mix(docs, row="_row").select("_row", "size", "taken"))
+    if ROW not in docs.columns:
+        docs = mixing.saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)))
+    shares = mixing.saved(mixing.mix(docs, row=ROW).select(ROW, "size", "taken"))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    counted = shares.select("_row", times.alias("_times")).filter("_times > 0")
-    joined = small_join(docs, counted, ["_row"])
+    counted = shares.select(ROW, times.alias("_times")).filter("_times > 0")
+    joined = small_join(docs.select(*COLUMNS, ROW), counted, [ROW])
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*COLUMNS)
 
 
