@@ -107,6 +107,19 @@ def numbered(df: DataFrame, groups: Sequence[str], spread: Column, order: Sequen
     return placed.join(bases, match).withColumn(name, (F.col("_place") + F.col("_base")).cast("long")).select(*df.columns, name)
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds ``name``: each row's place among all rows by ``order``, from 1; ``df`` reads rows that are saved.
+
+    Rows are dealt by ranges of the order (equal ones by row, so they split too), counted by range, and placed within
+    theirs: no task sees all rows. As many counts as ranges go through one task.
+    """
+    ranged = saved(df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order, "_tie").withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order, "_tie")))
+    return placed.join(bases, F.col("_range") == F.col("_r")).withColumn(name, (F.col("_place") + F.col("_base")).cast("long")).select(*df.columns, name)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's rows per Arrow batch to BATCH_ROWS: documents are long, and a task holds a batch on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, neardup, packing, pages, pii, quality, rules, sharding
+from . import lexical, licenses, media, mixing, nearest, neardup, packing, pages, pii, quality, resampling, rules, sharding
 from .common import read
 
 
@@ -55,5 +55,32 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_media_columns, op4_quality_rules, op5_quality_classifier, op6_packing, op7_sharding, op8_mixing, op9_pii, op10_minhash_near_dedup)}
-ORACLES = {"op4_quality_rules": rules.JUDGE_SQL}
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_OPERATORS = (
+    op1_license_scan,
+    op2_html_extraction,
+    op3_media_columns,
+    op4_quality_rules,
+    op5_quality_classifier,
+    op6_packing,
+    op7_sharding,
+    op8_mixing,
+    op9_pii,
+    op10_minhash_near_dedup,
+    op11_ranked_lexical_search,
+    op12_nearest_neighbours,
+    op13_importance_resampling,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES = {"op4_quality_rules": rules.JUDGE_SQL, "op11_ranked_lexical_search": lexical.SEARCH_SQL, "op13_importance_resampling": resampling.RESAMPLE_SQL}
