@@ -8,7 +8,7 @@ results; other columns of the input are not read.
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -38,9 +38,24 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
 }
 TAG = "spdx-license-identifier:"
-#: Licence ids of expressions, by the start of the lower-cased id; the first that fits counts.
-IDS = (("mit", "mit"), ("apache", "apache"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("bsd", "bsd"), ("mpl", "mpl"), ("isc", "isc"), ("cc0", "cc0"), ("cc-by-nc-sa", "cc-by-nc-sa"), ("cc-by-nc-nd", "cc-by-nc-nd"), ("cc-by-nc", "cc-by-nc"), ("cc-by-nd", "cc-by-nd"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"))
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "cc-by"}
+#: Families of the public licence-id list, lower-cased. An id is of the longest family that it begins with.
+FAMILIES = (
+    "aal abstyles adobe adsl afl agpl aladdin amdplpa aml ampas antlr apache apafml apl apsl artistic bahyph barr beerware bitstream "
+    "bittorrent blessing blueoak borceux bsd bsl busl bzip2 c-uda cal caldera catosl cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd "
+    "cc-by-sa cc-pddc cc0 cddl cdla cecill cern-ohl clartistic cnri condor cpal cpl cpol crossword cua-opl cube curl d-fsl diffmark doc "
+    "dotseqn drl dsdp dvipdfm ecl efl egenix elastic entessa epics epl erlpl etalab eudatagrid eupl eurosym fair frameworx freeimage "
+    "fsfap fsful fsfullr ftl gfdl giftware gl2ps glide glulxe glwtpl gnuplot gpl gsoap haskellreport hippocratic hpnd icu ijg imagemagick "
+    "imatix imlib2 info-zip intel interbase ipa ipl isc jasper jpnic json lal latex2e leptonica lgpl lgpllr libpng libselinux libtiff "
+    "liliq linux-openib lpl lppl makeindex miros mirros mit motosoto mpich2 mpl ms-pl ms-rl mtll mulanpsl multics mup naist nasa naumen "
+    "nbpl ncsa net-snmp netcdf newsletr ngpl nlod nlpl nokia nosl noweb npl nposl nrl ntp o-uda oclc odbl odc-by ofl ogc ogl-uk ogtsl oldap "
+    "oml openssl opl oset osl parity pddl php plexus postgresql psf psfrag psutils python qhull qpl rdisc rhecos rpl rpsl rsa-md rscpl "
+    "ruby sax-pd saxpath scea sgi-b shl simpl sissl sleepycat smlnj smppl snia spencer spl sspl sugarcrm swl tapr-ohl tcl tcp-wrappers "
+    "tmate torque tosl ucl unicode unlicense upl vim vostrom vsl w3c watcom wsuipa wtfpl x11 xerox xfree86 xinetd xnet xpp xskat ypl "
+    "zed zend zimbra zlib zpl"
+).split()
+#: Families whose label is another's.
+ALIASES = {"0bsd": "bsd", "gplv": "gpl", "lgplv": "lgpl", "apachev": "apache"}
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "cc-by", "afl", "artistic", "blueoak", "bsl", "bzip2", "curl", "ecl", "fsfap", "hpnd", "icu", "ijg", "libpng", "libtiff", "ncsa", "ntp", "openssl", "php", "postgresql", "psf", "python", "ruby", "unicode", "unlicense", "upl", "w3c", "wtfpl", "x11", "zlib", "zpl"}
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _GAPS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -49,10 +64,18 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_tags long, permissive boolean"
 
 
+@cache
+def _families() -> dict[str, str]:
+    return {f: f for f in FAMILIES} | ALIASES
+
+
+@lru_cache(65_536)
 def label_of(licence: str) -> str | None:
-    """The label of a licence id: a known name that ends there or goes on with a version or variant. Words of prose have none."""
-    name = licence.lower()
-    return next((label for start, label in IDS if re.fullmatch(rf"{re.escape(start)}(?:[-+.]?v?\d.*|[-+].*|)", name)), None)
+    """The label of a licence id: its longest known family, which ends there or goes on with a version or variant. Words of prose have none."""
+    name, known = licence.lower(), _families()
+    if len(name) > 64:
+        return None  # no id is so long
+    return next((known[name[:n]] for n in range(len(name), 0, -1) if name[:n] in known and re.fullmatch(r"[-+.]?v?\d.*|[-+].*|", name[n:])), None)
 
 
 def postfix(expression: str, at: int = 0, end: int | None = None) -> list[str]:
@@ -131,11 +154,13 @@ def scan(text: str | None) -> tuple:
             places.add(before)
             base.add(label)
     n_tags, verdicts, line_end = 0, [], -1
-    for end, _ in tags.iter(lowered):
+    ends = [end for end, _ in tags.iter(lowered)]
+    for end, following in zip(ends, [*ends[1:], None], strict=True):
         if line_end <= end:
             line_end = lowered.find("\n", end + 1)
             line_end = len(lowered) if line_end < 0 else line_end
-        if value := evaluate(lowered, end + 1, line_end):
+        # An expression ends where the next tag begins, so no text is parsed twice.
+        if value := evaluate(lowered, end + 1, line_end if following is None else min(line_end, following - len(TAG) + 1)):
             n_tags += 1
             labels |= value[0]
             verdicts.append(value[1])
