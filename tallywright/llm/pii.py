@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -463,9 +464,16 @@ def all_spans(text: str, field: Field | None) -> tuple[list[tuple[str, int, int]
     base = base_spans(text)
     added = []
     if field is not None:
-        taken = sorted((a, b) for _, a, b in base)
+        taken: list[list[int]] = []  # base spans, overlapping ones as one
+        for a, b in sorted((a, b) for _, a, b in base):
+            if taken and a <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], b)
+            else:
+                taken.append([a, b])
+        begins = [a for a, _ in taken]
         for tokens in neighbourhoods(text):
-            held = [any(a < y and b > x for a, b in taken) for x, y in tokens] if taken else [False] * len(tokens)
+            before = [bisect_left(begins, y) for _, y in tokens]
+            held = [k > 0 and taken[k - 1][1] > x for k, (x, _) in zip(before, tokens, strict=True)]
             if all(held):
                 continue
             segments = {(i, j): field.scores(f) for (i, j), f in candidates(text, tokens).items() if not any(held[i:j])}
