@@ -1,11 +1,12 @@
 """Main text of web pages by site template removal.
 
-A page is parsed once. Where it marks its main content (articles, else a main element), the text is that content
-without what says by tag, class, id or role that it is a menu, notice, advert, form or reader comment; nothing else of
-it goes. Where it marks none, all of the page is content but its site's template: element subtrees are hashed by tags
-and exact texts, Spark counts on how many different contents of a host each hash occurs, and subtrees that recur on
-at least MIN_PAGES of them and on MIN_SHARE of the host's are deleted. Pages with a marked content count too, with
-what they have beside it. Pages of one and the same content count once, so copies do not make each other template.
+A page is parsed once. Where it marks its main content (articles, else a main element), the text is that content;
+where it marks none, all of the page is. What says by tag, class, id or role that it is a menu, notice, advert, form
+or reader comment goes. Then the site's template goes: element subtrees are hashed by tags and exact texts, Spark counts
+on how many different contents of a host each hash occurs, and subtrees that recur on at least MIN_PAGES of them and
+on MIN_SHARE of the host's are deleted. In a marked content only boxes (INSIDE) can be template, such as share bars or
+"related" lists whose names tell nothing; its paragraphs, headings and cells stay, however often they recur. Pages of one and the same content count
+once, so copies do not make each other template.
 
 Null html counts as empty and gives an empty text. A page without a host (null or odd url) is of its own kind of
 host, ''. Repeated rows give repeated results. Other columns of the input are not read. Empty tables give empty
@@ -18,7 +19,8 @@ import hashlib
 import html as htmllib
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, pairwise
 from typing import Any
 
 import pyarrow as pa
@@ -44,6 +46,11 @@ _TELLING = re.compile(r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cook
 _BESIDE = {"bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "panel", "post", "posts", "reader", "right", "section", "site", "slot", "top", "unit", "user", "wrap", "wrapper"}
 #: In the main content, elements of these kinds go by a compound name; others only by one that is a telling word itself.
 _BOXES = {"div", "section", "ul", "ol", "dl", "table", "details", "figure", "center", "address", "iframe"}
+#: In the main content, subtrees of these kinds can be template.
+INSIDE = {"div", "section", "ul", "ol", "dl", "figure", "details", "center", "address"}
+#: Elements that an inline end tag does not reach beyond.
+_WALLS = {"article", "body", "td", "table"}
+_PASS_WALLS = {"body", "html", "article", "main", "div", "section", "table"}
 #: An open element of the left kind ends where one of the right kind begins.
 _ENDS = {"p": _BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _SPACES = re.compile(r"\s+")
@@ -71,18 +78,57 @@ def _unwanted(tag: str, attributes: str, within: bool) -> bool:
 
 
 class Node:
-    """An element: what it holds in order (texts and nodes) and whether it goes by what it says of itself."""
+    """An element: what it holds in order (texts and nodes), whether it goes by what it says of itself, and whether a main heading is in it."""
 
-    __slots__ = ("content", "drop", "hash", "tag", "within")
+    __slots__ = ("content", "drop", "hash", "heading", "tag", "within")
 
     def __init__(self, tag: str, drop: bool, within: bool):
-        self.tag, self.drop, self.within, self.content, self.hash = tag, drop, within, [], 0
+        self.tag, self.drop, self.within, self.content, self.hash, self.heading = tag, drop, within, [], 0, False
+
+
+class _Open:
+    """The open elements, with their places by tag, those of blocks and those of walls: no end tag has to walk over them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks, self.walls = [root], {}, [], []
+
+    def push(self, node: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(node)
+        for known, places in ((True, self.places.setdefault(node.tag, [])), (node.tag in _BLOCK, self.blocks), (node.tag in _WALLS, self.walls)):
+            if known:
+                places.append(k)
+
+    def cut(self, k: int) -> None:
+        """Closes all from the k-th on."""
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+            if tag in _WALLS:
+                self.walls.pop()
+
+    def close(self, tag: str) -> bool:
+        """Closes the last open element of a tag unless a wall stands before it. False: there is none, and no wall."""
+        places = self.places.get(tag)
+        k, wall = places[-1] if places else 0, self.walls[-1] if self.walls and tag not in _PASS_WALLS else 0
+        if k and k >= wall:
+            self.cut(k)
+        return bool(k or wall)
+
+    def mark_heading(self) -> None:
+        for k in reversed(self.places.get("header", ())):
+            if self.stack[k].heading:
+                break  # and so have those around it
+            self.stack[k].heading = True
 
 
 def parse(html: str) -> Node:
     """A tolerant element tree; texts are decoded one by one. Raw-text elements keep no text; a tag cut off by the end of the page is markup."""
     root = Node("", False, False)
-    stack, at, n = [root], 0, len(html)
+    open_, at, n = _Open(root), 0, len(html)
+    stack = open_.stack
     while at < n:
         m = _TAG.search(html, at)
         if not m or m.start() > at:
@@ -95,49 +141,37 @@ def parse(html: str) -> Node:
         at = m.end()
         if not m[2]:
             continue
-        tag, top = m[2].lower(), stack[-1]
+        tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "body", "td", "table") and tag not in ("body", "html", "article", "main", "div", "section", "table"):
-                    break
-            else:
-                if tag == "p":
-                    top.content.append(Node("br", False, top.within))
+            if not open_.close(tag) and tag == "p":
+                stack[-1].content.append(Node("br", False, stack[-1].within))
             continue
         while len(stack) > 1 and tag in _ENDS.get(stack[-1].tag, ()):
-            stack.pop()
-        if tag in _BLOCK and tag != "br":  # inline elements left open do not carry a paragraph past its end
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in _BLOCK:
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                    break
+            open_.cut(len(stack) - 1)
+        if tag in _BLOCK and tag != "br" and open_.blocks and stack[open_.blocks[-1]].tag == "p":
+            open_.cut(open_.blocks[-1])  # inline elements left open do not carry a paragraph past its end
+        if tag == "h1":
+            open_.mark_heading()
         top = stack[-1]
         within = top.within or top.tag in ("article", "main")
         node = Node(tag, _unwanted(tag, m[3], within), within)
         top.content.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            end = _raw_end(tag).search(html, at)
             at = end.end() if end else n
-        elif tag not in _VOID and not (m[3].rstrip().endswith("/") and (node.drop or any(x.tag in ("svg", "math") for x in stack))):
-            stack.append(node)  # a slash ends no element of HTML itself; one that goes is not made to swallow what follows
+        elif tag not in _VOID and not (m[3].rstrip().endswith("/") and (node.drop or open_.places.get("svg") or open_.places.get("math"))):
+            open_.push(node)  # a slash ends no element of HTML itself; one that goes is not made to swallow what follows
     return root
 
 
-def nodes(root: Node) -> Iterator[Node]:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack.extend(x for x in reversed(node.content) if isinstance(x, Node))
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)
 
 
 def gone(node: Node) -> bool:
     """Whether an element goes by what it says of itself. An article's header stays if it has the title."""
-    return node.drop and not (node.tag == "header" and node.within and any(y.tag == "h1" for y in nodes(node)))
+    return node.drop and not (node.tag == "header" and node.within and node.heading)
 
 
 def marked(root: Node) -> list[Node]:
@@ -197,29 +231,42 @@ def _hashed(order: list[Node]) -> None:
 _WHOLE = ("", "html", "body", "head")
 
 
-def page_parts(html: str | None) -> tuple[int, str | None, list[str] | None, list[tuple[int, int, int]]]:
-    """(hash of the content, text or None, texts or None, subtrees that may be template).
+def page_parts(html: str | None) -> tuple[int, list[str], list[tuple[int, int, int]]]:
+    """(hash of the content, its text in pieces, subtrees that may be template).
 
-    A page that marks its content has its text; its subtrees are those beside the content. Another has its texts
-    in pieces, and each subtree tells which pieces it holds: (hash, first, one past the last).
+    A subtree tells which pieces it holds: (hash, first, one past the last). Where a page marks its content, they are
+    the boxes in it (their hashes are kept apart from others') and, holding no piece, what stands beside it.
     """
     root = parse(html or "")
     tops = marked(root)
-    if not tops:
-        texts, spans = _flat([root])
-        _hashed([x for x, _, _ in spans])  # an element's span is noted after those of what it holds
-        filled = list(accumulate((t not in ("", " ") for t in texts), initial=0))
-        marks = [(x.hash, a, b) for x, a, b in spans if x.tag not in _WHOLE and filled[b] > filled[a]]
-        return _hash64("".join(texts).encode("utf-8", "replace")), None, texts, marks
-    text = " ".join("".join(_flat(tops)[0]).split())
-    above, inside = {id(root)}, {id(t) for t in tops}
-    order = list(_outside(root, inside))
-    for node in reversed(order):  # children before parents
-        if any(isinstance(x, Node) and (id(x) in inside or id(x) in above) for x in node.content):
-            above.add(id(node))
-    beside = [x for x in reversed(order) if id(x) not in above]
-    _hashed(beside)
-    return _hash64(text.encode("utf-8", "replace")), text, None, [(x.hash, -1, -1) for x in beside if x.content and x.tag not in _WHOLE]
+    texts, spans = _flat(tops or [root])
+    _hashed([x for x, _, _ in spans])  # an element's span is noted after those of what it holds
+    filled = list(accumulate((t not in ("", " ") for t in texts), initial=0))
+    own = {id(t) for t in tops}
+    held = [(x, a, b) for x, a, b in spans if filled[b] > filled[a] and (x.tag in INSIDE if tops else x.tag not in _WHOLE) and id(x) not in own]
+    marks = [(_hash64(b"inside", x.hash.to_bytes(8, "little", signed=True)) if tops else x.hash, a, b) for x, a, b in held]
+    if tops:
+        above = {id(root)}
+        order = list(_outside(root, own))
+        for node in reversed(order):  # children before parents
+            if any(isinstance(x, Node) and (id(x) in own or id(x) in above) for x in node.content):
+                above.add(id(node))
+        beside = [x for x in reversed(order) if id(x) not in above]
+        _hashed(beside)
+        marks += [(x.hash, -1, -1) for x in beside if x.content and x.tag not in _WHOLE]
+    content = _hash64(" ".join("".join(texts).split()).encode("utf-8", "replace"))
+    edges = sorted({0, len(texts), *(e for _, a, b in marks if a >= 0 for e in (a, b))})
+    place = {e: i for i, e in enumerate(edges)}
+    return content, ["".join(texts[a:b]) for a, b in pairwise(edges)], [(h, place.get(a, -1), place.get(b, -1)) for h, a, b in marks]
+
+
+def kept_text(texts: list[str], marks: list[tuple[int, int, int]], template: frozenset[int] | set[int]) -> str:
+    """The pieces that no template subtree holds, white space folded."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for h, a, b in marks if a >= 0 and h in template):
+        out += texts[at:a]
+        at = max(at, b)
+    return " ".join("".join([*out, *texts[at:]]).split())
 
 
 def _outside(root: Node, inside: set[int]) -> Iterator[Node]:
@@ -233,18 +280,15 @@ def _outside(root: Node, inside: set[int]) -> Iterator[Node]:
 
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of one page, given its site's template: what :func:`extract_pages` gives for it."""
-    _, text, texts, marks = page_parts(html)
-    if texts is None:
-        return text or ""
-    cut = [(a, b) for h, a, b in marks if h in template]
-    return " ".join("".join(t for i, t in enumerate(texts) if not any(a <= i < b for a, b in cut)).split())
+    _, texts, marks = page_parts(html)
+    return kept_text(texts, marks, template)
 
 
 def host_of(url: str = "url") -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)", 1), F.lit("")))
 
 
-PARTS = "page_id long, url string, host string, content long, text string, texts array<string>, marks array<struct<hash: bigint, first: int, last: int>>"
+PARTS = "page_id long, url string, host string, content long, texts array<string>, marks array<struct<hash: bigint, first: int, last: int>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -253,7 +297,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def work(part: pa.Table) -> dict[str, list]:
         found = [page_parts(t) for t in part["text"].to_pylist()]
-        own = {n: [x[k] for x in found] for k, n in enumerate(("content", "text", "texts", "marks"))}
+        own = {n: [x[k] for x in found] for k, n in enumerate(("content", "texts", "marks"))}
         own["marks"] = [[{"hash": h, "first": a, "last": b} for h, a, b in m] for m in own["marks"]]
         return {**{c: part[c].to_pylist() for c in ("page_id", "url", "host")}, **own}
 
@@ -278,8 +322,19 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """page_id, url, text, n_chars, n_template (template subtrees known of its host) for every page."""
     parts = saved(parsed(pages))
     joined = small_join(parts, saved(host_templates(parts, min_pages, min_share)), ["host"], "left")
-    template = F.coalesce("template", F.array().cast("array<bigint>"))
-    cut = F.filter("marks", lambda m: F.array_contains(template, m["hash"]))
-    kept = F.get(F.transform(F.array(cut), lambda c: F.filter("texts", lambda t, i: ~F.exists(c, lambda m: (i >= m["first"]) & (i < m["last"])))), F.lit(0))
-    text = F.coalesce("text", F.trim(F.regexp_replace(F.array_join(kept, ""), " +", " ")), F.lit(""))
-    return joined.select("page_id", "url", text.alias("text"), F.size(template).cast("long").alias("n_template")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
+    own = joined.select("page_id", "url", F.array_join("texts", "").alias("text"), F.transform("texts", F.char_length).alias("sizes"), "marks", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+
+    def work(part: pa.Table) -> dict[str, list]:
+        out: dict[str, list] = {"page_id": part["page_id"].to_pylist(), "url": part["url"].to_pylist(), "text": [], "n_template": []}
+        known, template = None, frozenset()
+        for text, sizes, marks, listed in zip(*[part[c].to_pylist() for c in ("text", "sizes", "marks", "template")], strict=True):
+            if listed != known:
+                known, template = listed, frozenset(listed)
+            ends = list(accumulate(sizes))
+            texts = [text[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+            out["text"].append(kept_text(texts, [(m["hash"], m["first"], m["last"]) for m in marks], template))
+            out["n_template"].append(len(listed))
+        return out
+
+    done = map_texts(own, "page_id long, url string, text string, n_template long", work)
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")

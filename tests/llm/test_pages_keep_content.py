@@ -68,7 +68,7 @@ def test_whole_table_is_the_same_page_by_page(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string")
     seen = {}
     for _, url, html, *_ in rows:
-        key, _, _, marks = pages.page_parts(html)
+        key, _, marks = pages.page_parts(html)
         seen.setdefault(url.split("/")[2] if url else "", {}).setdefault(key, []).append({h for h, _, _ in marks})
     template = {}
     for host, contents in seen.items():
