@@ -28,7 +28,7 @@ from .common import chunks, map_texts, numbered, release, saved, small_batches,
 
 TOP = 10
 #: Terms of the queries that are searched in one pass over the documents; an item with more is alone.
-PASS_TERMS = 16_384
+PASS_TERMS = 32_768
 #: Documents of a tree, and entries of their vectors, at most (a longer vector is alone).
 BLOCK_DOCS, BLOCK_ENTRIES = 4096, 1_000_000
 #: Documents of a leaf at most.
@@ -60,7 +60,7 @@ def term_queries(items: DataFrame) -> DataFrame:
 
     cut = map_texts(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "item_id long, terms array<binary>", work)
     rows = saved(cut.filter(F.size("terms") > 0).withColumn("item", F.monotonically_increasing_id()))
-    placed = numbered(rows.withColumn("_w", F.size("terms") + 64), [], F.xxhash64("item"), ["item"], rows.count(), "_before", "_w")
+    placed = numbered(rows.withColumn("_w", F.size("terms") + 16), [], F.xxhash64("item"), ["item"], rows.count(), "_before", "_w")
     return saved(placed.select("item", "item_id", "terms", F.floor(F.col("_before") / PASS_TERMS).cast("int").alias("pass")))
 
 
