@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import cache, lru_cache
+from itertools import zip_longest
 
 import ahocorasick
 import pyarrow as pa
@@ -155,7 +156,7 @@ def scan(text: str | None) -> tuple:
             base.add(label)
     n_tags, verdicts, line_end = 0, [], -1
     ends = [end for end, _ in tags.iter(lowered)]
-    for end, following in zip(ends, [*ends[1:], None], strict=True):
+    for end, following in zip_longest(ends, ends[1:]):
         if line_end <= end:
             line_end = lowered.find("\n", end + 1)
             line_end = len(lowered) if line_end < 0 else line_end
