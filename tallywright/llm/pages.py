@@ -322,7 +322,11 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """page_id, url, text, n_chars, n_template (template subtrees known of its host) for every page."""
     parts = saved(parsed(pages))
     joined = small_join(parts, saved(host_templates(parts, min_pages, min_share)), ["host"], "left")
-    own = joined.select("page_id", "url", F.array_join("texts", "").alias("text"), F.transform("texts", F.char_length).alias("sizes"), "marks", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+    template = F.coalesce("template", F.array().cast("array<bigint>"))
+    hit = F.arrays_overlap(F.transform("marks", lambda m: m["hash"]), template)
+    names = ["page_id", "url", "text", "n_template"]
+    plain = joined.filter(~hit).withColumns({"text": F.trim(F.regexp_replace(F.array_join("texts", ""), " +", " ")), "n_template": F.size(template).cast("long")}).select(*names)
+    own = joined.filter(hit).select("page_id", "url", F.array_join("texts", "").alias("text"), F.transform("texts", F.char_length).alias("sizes"), "marks", template.alias("template"))
 
     def work(part: pa.Table) -> dict[str, list]:
         out: dict[str, list] = {"page_id": part["page_id"].to_pylist(), "url": part["url"].to_pylist(), "text": [], "n_template": []}
@@ -336,5 +340,5 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
             out["n_template"].append(len(listed))
         return out
 
-    done = map_texts(own, "page_id long, url string, text string, n_template long", work)
+    done = plain.unionByName(map_texts(own, "page_id long, url string, text string, n_template long", work))
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
