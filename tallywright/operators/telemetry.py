@@ -96,6 +96,42 @@ def uploads(payloads: DataFrame, size: int = UPLOAD_ROWS) -> DataFrame:
     return running_sum(payloads.withColumn("_one", F.lit(1)), [], ["window_start", "tenant_hash"], "_one", "_n").withColumn("upload", F.floor((F.col("_n") - 1) / size)).drop("_one", "_n")
 
 
+_TOTALLED = (*DECISION_KINDS, *CONTRADICTION_KINDS, "tokens_saved")
+_FEATURES = "map<string,bigint>"
+
+
+def _added(a: Column, b: Column) -> Column:
+    """The sums of two maps of counts."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0).cast("long")) + F.coalesce(y, F.lit(0).cast("long")))
+
+
+def with_totals(payloads: DataFrame, past: DataFrame | None) -> DataFrame:
+    """payloads of a flush with total_<counter> and total_features: sums over a tenant's windows so far and the flushes before.
+
+    ``past`` is what :func:`totals_after` gave after the flush before. A flush has few windows of a tenant.
+    """
+    none = F.create_map().cast(_FEATURES)
+    known = payloads.select("tenant_hash").distinct()
+    if past is None:
+        start = known.select("tenant_hash", *[F.lit(0).cast("long").alias(f"_{c}") for c in _TOTALLED], none.alias("_features"))
+    else:
+        old = past.select("tenant_hash", *[F.col(f"total_{c}").alias(f"_{c}") for c in _TOTALLED], F.col("total_features").alias("_features"))
+        start = known.join(old, "tenant_hash", "left").select("tenant_hash", *[F.coalesce(f"_{c}", F.lit(0).cast("long")).alias(f"_{c}") for c in _TOTALLED], F.coalesce("_features", none).alias("_features"))
+    so_far = Window.partitionBy("tenant_hash").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.coalesce(F.from_json("features", _FEATURES), none)
+    rows = payloads.join(start, "tenant_hash").withColumn("_maps", F.collect_list(own).over(so_far))
+    totals = {f"total_{c}": F.col(f"_{c}") + F.sum(F.coalesce(F.col(c), F.lit(0)).cast("long")).over(so_far) for c in _TOTALLED}
+    rows = rows.withColumns(totals).withColumn("total_features", F.aggregate("_maps", F.col("_features"), _added))
+    return rows.select(*payloads.columns, *totals, "total_features")
+
+
+def totals_after(flush: DataFrame, past: DataFrame | None) -> DataFrame:
+    """A row a tenant: its totals after a flush that has gone through :func:`with_totals`."""
+    names = [*[f"total_{c}" for c in _TOTALLED], "total_features"]
+    now = flush.groupBy("tenant_hash").agg(F.max_by(F.struct(*names), "window_start").alias("t")).select("tenant_hash", "t.*")
+    return now if past is None else now.unionByName(past.join(now.select("tenant_hash"), "tenant_hash", "left_anti").select(*now.columns))
+
+
 def kpis(decisions: DataFrame, snapshots: DataFrame, at: Column) -> DataFrame:
     """Per tenant: active decisions, quarantined among them, and the latest snapshot."""
     counts = active_at(decisions, at).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("active"), F.count_if(F.col("status") == "quarantined").alias("quarantined"))

@@ -1,26 +1,28 @@
 """Streaming counterparts (R01-R08). Each reuses its batch operator.
 
-Stateful jobs advance in the order in which rows arrive; within a micro-batch they sort. A late row is taken at
-its place of arrival. Every job takes a checkpoint location and writes Parquet; batches are idempotent by batch id.
+Stateful jobs advance in strict event-time order (see :mod:`.ordered`): rows wait for the watermark, late ones go to
+a side output at <out>-late. Every job takes a checkpoint location and writes Parquet; batches are idempotent by batch id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, BinaryType, DataType, FractionalType, IntegralType, MapType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import StructType
 
+from ..common import saved, small_join, written
 from ..functions.scalars import GENESIS
 from ..operators import chain, evidence, harvest, telemetry
 from ..operators.budget import ADMISSION, _admit
 from ..operators.chain import _extend
-from ..operators.contradiction import RULES, Rule, Survivors, group_of
+from ..operators.contradiction import RULES, Rule, group_of
+from .ordered import Fold, Quarantine, expiring, in_order
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _run(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", once: bool = True, every: str = "30 seconds") -> StreamingQuery:
@@ -38,146 +40,199 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: s
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _with_timers(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Starts a query whose state has timers: they need the RocksDB store. The session's own choice is put back."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        return start()
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def _split_late(rows: DataFrame, out: str, checkpoint: str, once: bool = True, every: str = "30 seconds") -> StreamingQuery:
+    """Rows in time go to <out>/batch=<id>, late ones to <out>-late/batch=<id>; both are overwritten if the batch comes again."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        batch.filter("NOT late").drop("late").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.filter("late").drop("late").write.mode("overwrite").parquet(f"{out}-late/batch={batch_id}")
+        batch.unpersist()
+
+    writer = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return _with_timers(rows.sparkSession, (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start)
+
+
 def stream_ref_counts(changes: DataFrame, out: str, checkpoint: str, **how) -> StreamingQuery:
-    """Net deltas of each micro-batch (R01); :func:`evidence.apply_deltas` brings them to the table."""
+    """Net deltas of each micro-batch (R01); :func:`stream_apply_refs` brings them to a table."""
     return each_batch(changes, evidence.net_deltas, out, checkpoint, **how)
 
 
-def stream_harvest(messages: DataFrame, out: str, checkpoint: str, keywords: list[str], since: str | None = None, **how) -> StreamingQuery:
-    """Harvested rows as messages arrive; offsets stand in for the high-water mark, so none is lost."""
-    rows = messages if since is None else messages.filter(F.col("ts") >= since)
-    return _run(harvest.harvest(rows, keywords), out, checkpoint, **how)
+def write_ref_table(blocks: DataFrame, path: str, buckets: int = 64) -> None:
+    """A table of reference counts (block_hash, ref_count) in hash buckets; ``applied`` is the last micro-batch that a bucket has."""
+    bucket = F.pmod(F.xxhash64("block_hash"), F.lit(buckets)).cast("int")
+    blocks.select("block_hash", F.col("ref_count").cast("long").alias("ref_count"), F.lit(-1).cast("long").alias("applied"), bucket.alias("bucket")).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(path)
 
 
-def stream_telemetry(events: DataFrame, out: str, checkpoint: str, every: str = "30 seconds", delay: str = "1 minute", kind: str = "kind", **how) -> StreamingQuery:
-    """Counters per tumbling window, out when the watermark has passed."""
-    counts = events.withWatermark("ts", delay).groupBy(F.window("ts", every).alias("w"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return _run(counts.select(F.col("w.start").alias("window_start"), "kind", "n", "total"), out, checkpoint, **how)
+def stream_apply_refs(changes: DataFrame, table: str, rejects: str, checkpoint: str, buckets: int = 64, once: bool = True, every: str = "5 seconds") -> StreamingQuery:
+    """Reference counts of a table (see :func:`write_ref_table`) after each micro-batch of changes.
 
+    Only the buckets that a batch touches are rewritten, each with the batch's id: a bucket that has it already is
+    left alone, so a batch that comes again, or broke off between buckets, changes nothing twice. Bad changes and unknown
+    hashes are listed in <rejects>/batch=<id> and change nothing.
+    """
 
-def stream_percentiles(events: DataFrame, out: str, checkpoint: str, by: list[str], value: str, **how) -> StreamingQuery:
-    """Exact percentiles of each flush: they are per flush, not cumulative."""
-    return each_batch(events, lambda b: telemetry.latency_percentiles(b, by, value), out, checkpoint, **how)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        checked = saved(evidence.valid_changes(batch))
+        bucket = F.pmod(F.xxhash64("block_hash"), F.lit(buckets)).cast("int")
+        good = checked.filter("reject_reason IS NULL").groupBy(F.col("hash").alias("block_hash")).agg(F.sum("delta").alias("delta"))
+        nets = saved(good.withColumn("bucket", bucket))
+        touched = [r[0] for r in nets.select("bucket").distinct().collect()]  # as many as buckets at most
+        held = spark.read.parquet(table).filter(F.col("bucket").isin(touched))
+        unknown = nets.join(held.select("bucket", "block_hash"), ["bucket", "block_hash"], "left_anti").select(F.col("block_hash").alias("hash"), "delta", F.lit("unknown_hash").alias("reject_reason"))
+        checked.filter("reject_reason IS NOT NULL").unionByName(unknown).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        after = held.filter(F.col("applied") < batch_id).join(nets, ["bucket", "block_hash"], "left")
+        after = written(after.select("block_hash", (F.col("ref_count") + F.coalesce("delta", F.lit(0))).cast("long").alias("ref_count"), F.lit(batch_id).cast("long").alias("applied"), "bucket"))
+        after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+    writer = changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def stream_payloads(events: DataFrame, out: str, checkpoint: str, window: str = "30 seconds", salt: str = "", size: int = telemetry.UPLOAD_ROWS, **how) -> StreamingQuery:
-    """The payloads of each flush (one row per window and tenant), numbered in uploads of ``size`` rows.
+def stream_harvest(messages: DataFrame, out: str, checkpoint: str, keywords: list[str], since: str | None = None, delay: str = "1 day", once: bool = True, every: str = "30 seconds") -> StreamingQuery:
+    """Harvested rows as messages arrive, each message (channel, ts) once, however often exports repeat it.
 
-    A flush is a micro-batch: one every 30 seconds while the stream runs, and a last one over what is there when it
-    is stopped by running it once more (``once``), so nothing waits for a watermark.
+    Messages are remembered until ``delay`` behind the latest; older ones that come then are taken as repeats. Each
+    batch also writes the latest time of every channel so far to <out>-marks/batch=<id> (see :func:`high_water_marks`).
     """
-    return each_batch(events, lambda b: telemetry.uploads(telemetry.telemetry_payload(b, window, salt), size), out, checkpoint, **how)
+    spark = messages.sparkSession
+    rows = messages if since is None else messages.filter(F.col("ts") >= since)
+    seconds = F.coalesce(F.expr("try_cast(ts AS double)"), F.lit(0.0))
+    fresh = rows.withColumn("_at", F.timestamp_micros((seconds * 1_000_000).cast("long"))).withWatermark("_at", delay).dropDuplicatesWithinWatermark(["channel_id", "ts"]).drop("_at")
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        harvest.harvest(batch, keywords).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        marks = batch.select("channel_id", F.expr("try_cast(ts AS decimal(30, 6))").alias("mark"))
+        if batch_id:
+            marks = marks.unionByName(spark.read.parquet(f"{out}-marks/batch={batch_id - 1}"))
+        marks.groupBy("channel_id").agg(F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{out}-marks/batch={batch_id}")
+        batch.unpersist()
+
+    writer = fresh.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 
+def high_water_marks(spark: SparkSession, out: str) -> DataFrame:
+    """channel_id and the latest message time that :func:`stream_harvest` has taken of it."""
+    return spark.read.parquet(f"{out}-marks/batch={max(_numbered(spark, f'{out}-marks', 'batch'))}")
 
-def _as_text(name: str, kind: DataType) -> tuple[Column, Column, Callable[[str], Any]]:
-    """A column as text, the column back from that text, and how Python reads the text. Exact both ways."""
-    c = F.col(f"`{name}`")
-    if isinstance(kind, TimestampType):
-        return F.unix_micros(c).cast("string"), F.timestamp_micros(c.cast("long")), int
-    if isinstance(kind, BinaryType):
-        return F.base64(c), F.unbase64(c), str
-    if isinstance(kind, (ArrayType, MapType, StructType)):
-        return F.to_json(c, _JSON), F.from_json(c, kind.json(), _JSON), str
-    return c.cast("string"), c.cast(kind), int if isinstance(kind, IntegralType) else float if isinstance(kind, FractionalType) else str
 
+def messages_after(messages: DataFrame, marks: DataFrame) -> DataFrame:
+    """An export's messages later than their channel's mark: what the next scan has to hand on."""
+    joined = small_join(messages, marks.select("channel_id", "mark"), ["channel_id"], "left")
+    return joined.filter(F.col("mark").isNull() | (F.expr("try_cast(ts AS decimal(30, 6))") > F.col("mark"))).select(*messages.columns)
 
-def _stateful(stream: DataFrame, keys: dict[str, Column], order: list[str], reads: list[str], outputs: str, state_schema: str, load: Callable[[tuple | None], Any], dump: Callable[[Any], tuple], step: Callable[[Any, dict], tuple[Any, tuple]]) -> DataFrame:
-    """Rows with ``outputs`` from a sequential rule per key whose state outlives the micro-batch.
 
-    Columns pass through as text, so pandas makes no numbers of them and nulls leave integers whole; the columns of
-    ``order`` and ``reads`` are read for ``step``. ``load`` and ``dump`` turn the stored state into what ``step``
-    works on, once a micro-batch.
-    """
-    names = [f.name for f in StructType.fromDDL(outputs)]
-    own = [f for f in stream.schema if f.name not in names]
-    codec = {f.name: _as_text(f.name, f.dataType) for f in own}
-    texts = stream.select(*[codec[f.name][0].alias(f.name) for f in own], *[c.alias(k) for k, c in keys.items()])
-    schema = StructType([*[StructField(f.name, StringType()) for f in own], *StructType.fromDDL(outputs).fields])
-    readers = {c: codec[c][2] for c in dict.fromkeys([*order, *reads])}
+def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders <path>/<name>=<number> that are whole."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    found = [x.getPath() for x in fs.listStatus(place) if x.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True)
-        rows = [{c: None if v is None else readers[c](v) for c, v in zip(readers, values, strict=True)} for values in zip(*[pdf[c] for c in readers], strict=True)]
-        places = sorted(range(len(rows)), key=lambda i: [(rows[i][c] is not None, rows[i][c]) if rows[i][c] is not None else (False,) for c in order])
-        now, made = load(state.get if state.exists else None), []
-        for i in places:
-            now, result = step(now, rows[i])
-            made.append(result)
-        state.update(dump(now))
-        out = pdf[[f.name for f in own]].iloc[places].reset_index(drop=True)
-        yield out.assign(**{n: pd.Series([m[i] for m in made], dtype=object) for i, n in enumerate(names)})
 
-    done = texts.groupBy(*keys).applyInPandasWithState(run, schema, StructType.fromDDL(state_schema), "append", GroupStateTimeout.NoTimeout)
-    return done.select(*[codec[f.name][1].alias(f.name) for f in own], *names)
+def _removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def stream_chain(writes: DataFrame, out: str, checkpoint: str, order: list[str], leaf: str = "leaf_hash", **how) -> StreamingQuery:
-    """Chains that grow as writes arrive (R05). State: root and height of a tenant."""
+def stream_telemetry(events: DataFrame, out: str, checkpoint: str, every: str = "30 seconds", delay: str = "1 minute", kind: str = "kind", **how) -> StreamingQuery:
+    """Counters per tumbling window, out when the watermark has passed."""
+    counts = events.withWatermark("ts", delay).groupBy(F.window("ts", every).alias("w"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return _run(counts.select(F.col("w.start").alias("window_start"), "kind", "n", "total"), out, checkpoint, **how)
 
-    def step(state: tuple, row: dict) -> tuple:
-        return _extend(state, (row[leaf],))
 
-    rows = _stateful(writes, {"_tenant": F.col("tenant_id")}, order, [leaf], "parent_root string, root_hash string, height long", "root string, height long", lambda s: tuple(s) if s else (GENESIS, 0), lambda s: s, step)
-    return _run(rows, out, checkpoint, **how)
+def stream_percentiles(events: DataFrame, out: str, checkpoint: str, by: list[str], value: str, **how) -> StreamingQuery:
+    """Exact percentiles of each flush: they are per flush, not cumulative."""
+    return each_batch(events, lambda b: telemetry.latency_percentiles(b, by, value), out, checkpoint, **how)
 
 
-def stream_meter(requests: DataFrame, out: str, checkpoint: str, order: list[str], tokens: int, executions: int, **how) -> StreamingQuery:
-    """Budget admission as requests arrive (R06). State: balance, executions and the sticky status."""
+def stream_payloads(events: DataFrame, out: str, checkpoint: str, window: str = "30 seconds", salt: str = "", size: int = telemetry.UPLOAD_ROWS, once: bool = True, every: str = "30 seconds") -> StreamingQuery:
+    """The payloads of each flush (one row per window and tenant), numbered in uploads of ``size`` rows.
 
-    def step(state: tuple, row: dict) -> tuple:
-        return _admit(state, (row["tokens_used"], row["executions_used"]))
+    A flush is a micro-batch: one every 30 seconds while the stream runs, and a last one over what is there when it
+    is stopped by running it once more (``once``), so nothing waits for a watermark. Counters and features are also
+    totalled over all flushes (total_*): a tenant's totals are kept in <out>-totals/batch=<id>, a row a tenant.
+    Percentiles and errors are of the flush alone.
+    """
 
-    rows = _stateful(requests, {"_tenant": F.col("tenant_id")}, order, ["tokens_used", "executions_used"], ADMISSION, "tokens long, executions long, status string", lambda s: tuple(s) if s else (tokens, executions, "active"), lambda s: s, step)
-    return _run(rows, out, checkpoint, **how)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        past = spark.read.parquet(f"{out}-totals/batch={batch_id - 1}") if batch_id else None
+        flush = saved(telemetry.with_totals(telemetry.telemetry_payload(batch, window, salt), past))
+        telemetry.uploads(flush, size).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        telemetry.totals_after(flush, past).write.mode("overwrite").parquet(f"{out}-totals/batch={batch_id}")
+        if batch_id > 1:
+            _removed(spark, f"{out}-totals/batch={batch_id - 2}")
+
+    writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def stream_quarantine(proposals: DataFrame, out: str, checkpoint: str, order: list[str], rules: Rule | tuple[Rule, ...] = RULES, **how) -> StreamingQuery:
-    """Quarantine as proposals arrive, with wildcard scopes and any number of rules.
+def stream_chain(writes: DataFrame, out: str, checkpoint: str, order: list[str], leaf: str = "leaf_hash", time: str = "ts", delay: str = "1 minute", **how) -> StreamingQuery:
+    """Chains that grow as the watermark passes writes, in order of ``time`` and ``order`` (R05). State: root and height of a tenant."""
+    rule = Fold(StructType.fromDDL("root string, height long"), (GENESIS, 0), lambda state, row: _extend(state, (row[leaf],)))
+    return _split_late(in_order(writes, {"_tenant": F.col("tenant_id")}, time, delay, order, [leaf], "parent_root string, root_hash string, height long", rule), out, checkpoint, **how)
 
-    State is kept by tenant and group of rows that can meet, as in the batch's fold: for a title one id a scope; for
-    a tenant's rows with rule words also their surviving titles.
-    """
-    chosen = (rules,) if isinstance(rules, Rule) else tuple(rules)
-    kind = proposals.schema["id"].dataType.simpleString()
 
-    def load(state: tuple | None) -> Survivors:
-        held = [] if state is None else zip(*state, strict=True)
-        return Survivors(chosen, {(d, s, term): (place, id_) for d, s, term, place, id_ in held})
+def stream_meter(requests: DataFrame, out: str, checkpoint: str, order: list[str], tokens: int, executions: int, time: str = "ts", delay: str = "1 minute", **how) -> StreamingQuery:
+    """Budget admission in order of ``time`` and ``order`` (R06). State: balance, executions and the sticky status."""
+    rule = Fold(StructType.fromDDL("tokens long, executions long, status string"), (tokens, executions, "active"), lambda state, row: _admit(state, (row["tokens_used"], row["executions_used"])))
+    return _split_late(in_order(requests, {"_tenant": F.col("tenant_id")}, time, delay, order, ["tokens_used", "executions_used"], ADMISSION, rule), out, checkpoint, **how)
 
-    def dump(now: Survivors) -> tuple:
-        rows = [(*k, *v) for k, v in now.first.items()]
-        return tuple([r[i] for r in rows] for i in range(5))
 
-    def step(now: Survivors, row: dict) -> tuple:
-        id_, why = now.take(row["id"], row["title"], row["scope_domain"], row["scope_system"])
-        return now, (row["status"] if why is None else "quarantined", id_)
+def stream_quarantine(proposals: DataFrame, out: str, checkpoint: str, order: list[str], rules: Rule | tuple[Rule, ...] = RULES, time: str = "created_at", delay: str = "1 minute", **how) -> StreamingQuery:
+    """Quarantine in order of ``time`` and ``order``, with wildcard scopes and any number of rules.
 
-    state_schema = f"domains array<string>, systems array<string>, terms array<string>, places array<long>, ids array<{kind}>"
-    rows = _stateful(proposals, {"_tenant": F.col("tenant_id"), "_group": group_of(chosen)}, order, ["id", "title", "scope_domain", "scope_system", "status"], f"new_status string, conflicting_id {kind}", state_schema, load, dump, step)
-    return _run(rows, out, checkpoint, **how)
+    State is kept by tenant and group of rows that can meet, as in the batch's fold: a map from scope and term to the
+    first surviving id, of which a row reads and writes its own few entries.
+    """
+    chosen = (rules,) if isinstance(rules, Rule) else tuple(rules)
+    kind = proposals.schema["id"].dataType
+    rows = in_order(proposals, {"_tenant": F.col("tenant_id"), "_group": group_of(chosen)}, time, delay, order, ["id", "title", "scope_domain", "scope_system", "status"], f"new_status string, conflicting_id {kind.simpleString()}", Quarantine(chosen, kind))
+    return _split_late(rows, out, checkpoint, **how)
 
 
 def stream_snapshots(ticks: DataFrame, chain_path: str, out: str, checkpoint: str, epoch: str = "current_timestamp()", **how) -> StreamingQuery:
     """A snapshot of every tenant that has a chain at each tick, whether it wrote since the last one or not.
 
-    ``ticks`` is any stream: its micro-batches are the timer (:func:`clock` gives one). The chain is read as it is
-    at ``chain_path``; each snapshot is over the hash of the tenant's one of the tick before, which has every tenant
-    of its time as chains only grow. A batch that comes again is made again from the same one.
+    ``ticks`` is any stream: its micro-batches are the timer (:func:`clock` gives one). ``chain_path`` is the output of
+    :func:`stream_chain`. The root of each tenant is kept in <out>-roots/tick=<id>, with the number of the last batch
+    of the chain that it is from: a tick reads that table, a row a tenant, and the chain's batches since. Each
+    snapshot is over the hash of the tenant's one of the tick before. A tick that comes again starts from the same tick before.
     """
     spark = ticks.sparkSession
-
-    def work(batch_id: int) -> DataFrame:
-        roots = chain.chain_roots(spark.read.parquet(chain_path))
-        before = [f"{out}/batch={batch_id - 1}"] if batch_id else []
+    kept = "tenant_id string, root_hash string, height long, through long"
+
+    def sink(_: DataFrame, tick: int) -> None:
+        past = spark.read.schema(kept).parquet(f"{out}-roots/tick={tick - 1}") if tick else spark.createDataFrame([], kept)
+        through = past.agg(F.max("through")).first()[0]
+        new = [k for k in _numbered(spark, chain_path, "batch") if through is None or k > through]
+        roots = past.drop("through")
+        if new:
+            fresh = spark.read.parquet(*[f"{chain_path}/batch={k}" for k in new])
+            roots = chain.chain_roots(roots.unionByName(fresh.select("tenant_id", "root_hash", "height")))
+        roots = saved(roots.withColumn("through", F.lit(new[-1] if new else through).cast("long")))
+        roots.write.mode("overwrite").parquet(f"{out}-roots/tick={tick}")
         schema = "tenant_id string, root_hash string, block_height long, parent_snapshot_hash string, snapshot_hash string, epoch_unix long"
-        past = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
-        return chain.snapshot_step(roots, past.withColumn("epoch_timestamp", F.col("epoch_unix")), F.expr(epoch))
-
-    def sink(_: DataFrame, batch_id: int) -> None:
-        work(batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        before = spark.read.schema(schema).parquet(f"{out}/batch={tick - 1}") if tick else spark.createDataFrame([], schema)
+        chain.snapshot_step(roots, before.withColumn("epoch_timestamp", F.col("epoch_unix")), F.expr(epoch)).write.mode("overwrite").parquet(f"{out}/batch={tick}")
+        if tick > 1:
+            _removed(spark, f"{out}-roots/tick={tick - 2}")
 
     writer = ticks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     once, every = how.get("once", True), how.get("every", "30 seconds")
@@ -185,15 +240,25 @@ def stream_snapshots(ticks: DataFrame, chain_path: str, out: str, checkpoint: st
 
 
 def clock(spark: SparkSession) -> DataFrame:
-    """A stream that has something new at every trigger: the timer of periodic jobs that watch a table rather than a stream."""
-    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    """A stream that has something new at every trigger, with the time as ``at``: the timer of periodic jobs."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.col("timestamp").alias("at"))
+
 
+def stream_expire(decisions: DataFrame, ticks: DataFrame, out: str, checkpoint: str, expiry: str = "valid_to", keys: list[str] | None = None, order: list[str] = ["updated_at"], once: bool = True, every: str = "30 seconds") -> StreamingQuery:  # noqa: B006
+    """Decisions as they come, and again as stale at the first tick after their expiry, without coming again.
+
+    ``ticks`` is a stream of times ``at``, such as :func:`clock`. Each decision (``keys``) has one timer, set anew when it
+    comes with another validity. Changes go to <out>/batch=<id>; :func:`as_of_now` makes the table of them.
+    """
+    keys = keys or [c for c in ("tenant_id", "id") if c in decisions.columns]
+    changes = expiring(decisions, ticks, keys, order, expiry)
+    return _with_timers(changes.sparkSession, lambda: each_batch(changes, lambda b: b, out, checkpoint, once, every))
 
-def stream_expire(decisions: DataFrame, out: str, checkpoint: str, now: str, expiry: str = "valid_to", **how) -> StreamingQuery:
-    """Decisions with their status after expiry, batch by batch."""
-    from ..operators.temporal import mark_expired
 
-    return each_batch(decisions, lambda b: mark_expired(b, F.expr(now), F.col(expiry)), out, checkpoint, **how)
+def as_of_now(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each decision in the log of :func:`stream_expire`."""
+    rest = [c for c in changes.columns if c not in (*keys, "version", "batch")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_last")).select(*keys, "_last.*")
 
 
 def finished(query: StreamingQuery, spark: SparkSession, out: str) -> DataFrame:

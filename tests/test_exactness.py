@@ -37,9 +37,9 @@ def test_null_amounts_are_rejected(spark):
 
 def test_streams_pass_columns_through(spark, tmp_path):
     rows = [("t", 1, BIG, None, "a"), ("t", 2, None, 1.5, None), (None, 3, BIG, None, "c")]
-    spark.createDataFrame(rows, "tenant_id string, id long, v long, x double, leaf_hash string").withColumns({"at": F.lit("2024-03-01 01:02:03").cast("timestamp"), "list": F.array("id")}).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame(rows, "tenant_id string, id long, v long, x double, leaf_hash string").withColumns({"at": F.lit("2024-03-01 01:02:03").cast("timestamp"), "list": F.array("id"), "ts": F.timestamp_seconds("id")}).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
-    out = jobs.finished(jobs.stream_chain(stream, f"{tmp_path}/out", f"{tmp_path}/log", ["id"]), spark, f"{tmp_path}/out")
+    out = jobs.finished(jobs.stream_chain(stream, f"{tmp_path}/out", f"{tmp_path}/log", ["id"], delay="0 seconds"), spark, f"{tmp_path}/out")
     got = sorted((r["id"], r["v"], r["x"], r["height"], str(r["at"]), r["list"]) for r in out.collect())
     assert got == [(1, BIG, None, 1, "2024-03-01 01:02:03", [1]), (2, None, 1.5, 2, "2024-03-01 01:02:03", [2]), (3, BIG, None, 1, "2024-03-01 01:02:03", [3])]
 
@@ -156,8 +156,8 @@ def test_streamed_quarantine_with_wildcards(spark, tmp_path):
     new = proposals(rng, range(90))
     for part in range(3):
         spark.createDataFrame([(*r, r[1], "draft") for r in new[part * 30 : part * 30 + 30]], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-        jobs.finished(jobs.stream_quarantine(stream, f"{tmp_path}/out", f"{tmp_path}/log", ["id"], TWO), spark, f"{tmp_path}/out")
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in").withColumn("ts", F.timestamp_seconds("created_at"))
+        jobs.finished(jobs.stream_quarantine(stream, f"{tmp_path}/out", f"{tmp_path}/log", ["id"], TWO, time="ts", delay="0 seconds"), spark, f"{tmp_path}/out")
     got = {r["id"]: r["conflicting_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == plain_quarantine(new, [], TWO)
 
@@ -174,7 +174,7 @@ def test_earliest_conflict_is_the_least_pair(spark):
 
 def test_snapshots_of_all_tenants_at_every_tick(spark, tmp_path):
     leaves = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 3, "z")], "tenant_id string, id long, leaf_hash string")
-    chain.chain(leaves, ["id"]).write.parquet(f"{tmp_path}/chain")
+    chain.chain(leaves, ["id"]).write.parquet(f"{tmp_path}/chain/batch=0")
     for tick in range(3):
         spark.range(1).write.parquet(f"{tmp_path}/ticks/{tick}")
         ticks = spark.readStream.schema("id long").option("recursiveFileLookup", True).parquet(f"{tmp_path}/ticks")
