@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import running_sum
-from .fold import ordered_fold
+from .blocks import BLOCK_ROWS, fold_by_blocks
 
-
-#: The state of a tenant before its first request.
-FRESH = ("fresh",)
 ADMISSION = "allowed boolean, remaining_tokens long, remaining_executions long, response_status string, table_status string"
 
 
@@ -25,23 +22,21 @@ def _admit(state: tuple[int, int, str], row: tuple) -> tuple[tuple[int, int, str
     return (tokens, executions, "exhausted"), (False, tokens, executions, "exhausted", "exhausted")
 
 
-def meter(requests: DataFrame, order: list[str], tokens: int = 1_000_000, executions: int = 10_000) -> DataFrame:
+def meter(requests: DataFrame, order: list[str], tokens: int = 1_000_000, executions: int = 10_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Admission in order per tenant (W09): a request runs if tokens and executions both stay at 0 or above; a denied one
     consumes nothing, so a later smaller one may run. The table's status sticks at exhausted; the response's does not.
     Negative and null amounts are rejected and change nothing. Start balances are the defaults, or the columns start_tokens and start_executions
     (constant within a tenant, the defaults where null) where the requests have them. Amounts count as whole numbers.
+    A tenant's requests are settled in blocks (see :mod:`.blocks`), so a large tenant is many tasks.
     """
     rows = requests
-    for name, value in (("start_tokens", tokens), ("start_executions", executions)):
+    for i, (name, value) in enumerate((("start_tokens", tokens), ("start_executions", executions)), 1):
         given = F.col(name).cast("long") if name in requests.columns else F.lit(None).cast("long")
-        rows = rows.withColumn(f"_{name}", F.coalesce(given, F.lit(value).cast("long")))
-    rows = rows.withColumns({"_use": F.col("tokens_used").cast("long"), "_runs": F.col("executions_used").cast("long")})
-    added = ["_use", "_runs", "_start_tokens", "_start_executions"]
-
-    def step(state, row):
-        return _admit(state if state != FRESH else (row[2], row[3], "active"), row)
-
-    return ordered_fold(rows, ["tenant_id"], order, added, lambda _: FRESH, step, ADMISSION).drop(*added)
+        rows = rows.withColumn(f"_start{i}", F.coalesce(given, F.lit(value).cast("long")))
+    rows = rows.withColumns({"_use1": F.col("tokens_used").cast("long"), "_use2": F.col("executions_used").cast("long")})
+    rows = rows.withColumn("_counts", F.coalesce((F.col("_use1") >= 0) & (F.col("_use2") >= 0), F.lit(False)))
+    done = fold_by_blocks(rows, order, ["_use1", "_use2"], _admit, ADMISSION, block_rows)
+    return done.drop("_use1", "_use2", "_start1", "_start2", "_counts")
 
 
 def final_budgets(metered: DataFrame, order: list[str]) -> DataFrame:
@@ -50,21 +45,27 @@ def final_budgets(metered: DataFrame, order: list[str]) -> DataFrame:
     return metered.groupBy("tenant_id").agg(F.max_by("remaining_tokens", last).alias("token_balance"), F.max_by("remaining_executions", last).alias("executions_left"), F.max_by("table_status", last).alias("status"), F.count_if(~F.col("allowed")).alias("denials"))
 
 
-def draw_down(requests: DataFrame, budgets: DataFrame, order: list[str]) -> DataFrame:
-    """Tokens alone, with what remains after each request; more than remains, no amount or no budget is an error row."""
-    known = requests.join(budgets.select("tenant_id", F.col("token_balance").cast("long").alias("_start")), "tenant_id", "left").withColumn("_use", F.col("tokens_used").cast("long"))
+def _draw(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    left, other, status = state
+    if left is None:
+        return state, (None, "no budget")
+    if row[0] is None:
+        return state, (left, "no amount")
+    if row[0] > left:
+        return state, (left, "insufficient budget")
+    return (left - row[0], other, status), (left - row[0], None)
 
-    def step(state, row):
-        left = state[0] if state else row[1]
-        if left is None:
-            return (None,), (None, "no budget")
-        if row[0] is None:
-            return (left,), (left, "no amount")
-        if row[0] > left:
-            return (left,), (left, "insufficient budget")
-        return (left - row[0],), (left - row[0], None)
 
-    return ordered_fold(known, ["tenant_id"], order, ["_use", "_start"], lambda _: (), step, "remaining_after long, error string").drop("_start", "_use")
+def draw_down(requests: DataFrame, budgets: DataFrame, order: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Tokens alone, with what remains after each request; more than remains, no amount or no budget is an error row.
+
+    A negative amount gives back. Settled in blocks as :func:`meter`.
+    """
+    starts = budgets.select("tenant_id", F.col("token_balance").cast("long").alias("_start1"))
+    rows = requests.join(starts, "tenant_id", "left").withColumns({"_use1": F.col("tokens_used").cast("long"), "_use2": F.lit(0).cast("long"), "_start2": F.lit(0).cast("long")})
+    rows = rows.withColumn("_counts", F.col("_use1").isNotNull())
+    done = fold_by_blocks(rows, order, ["_use1"], _draw, "remaining_after long, error string", block_rows)
+    return done.drop("_use1", "_use2", "_start1", "_start2", "_counts")
 
 
 def running_spend(ledger: DataFrame, order: list[str], limit: int) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import saved
+from ..common import saved, written
 from ..functions.scalars import uuid_v5
 from .fold import ordered_fold
 
@@ -136,8 +136,8 @@ def quarantine(new: DataFrame, existing: DataFrame | None = None, rules: Rule |
     have the same title, or where both have words of rules; these are the groups of :func:`quarantine_fold`. Groups
     in which every row has both scope parts, under one rule, have a closed form per tenant and scope: a row falls
     if its title was there before, or if the first row with a word of the rule has the opposing one: two
-    aggregates and two joins, no window and no loop. The others (empty scope parts, several rules) are folded. Ids
-    are taken to be unique in a tenant; null titles and scopes count as empty.
+    aggregates and two joins, no window and no loop. The others (empty scope parts, several rules) settle in rounds
+    (see :func:`_settled`). Ids are taken to be unique in a tenant; null titles and scopes count as empty.
     """
     rules = (rules,) if isinstance(rules, Rule) else tuple(rules)
     rows = _without_existing(new, existing, rules)
@@ -153,7 +153,7 @@ def quarantine(new: DataFrame, existing: DataFrame | None = None, rules: Rule |
     else:
         settled, rest = [hit], free
     out = settled[0]
-    for part in [*settled[1:], _folded(rest, rules)]:
+    for part in [*settled[1:], _settled(rest, rules)]:
         out = out.unionByName(part)
     return out.withColumn("status", F.when(F.col("conflicting_id").isNotNull(), "quarantined").otherwise(F.col("status"))).select(*new.columns, "conflicting_id", "conflict_kind")
 
@@ -183,7 +183,7 @@ def _closed_form(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def quarantine_fold(new: DataFrame, rules: tuple[Rule, ...] = RULES, existing: DataFrame | None = None) -> DataFrame:
-    """The sequential rule itself: existing rows first, empty scope parts as wildcards, several rules (exact path of C05).
+    """The sequential rule itself: existing rows first, empty scope parts as wildcards, several rules. It is what :func:`quarantine` must equal; that one has no task a tenant.
 
     Rows are folded by tenant and group of rows that can meet. The state of a title's group is one id for each scope
     that has it; that of a tenant's rows with rule words also has their surviving titles.
@@ -231,6 +231,50 @@ def _folded(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return ordered_fold(rows, ["tenant_id", "_group"], ["created_at", "id"], ["id", "title", "scope_domain", "scope_system"], lambda _: Survivors(rules), step, f"conflicting_id {kind}, conflict_kind string")
 
 
+_PLACE = ["_d", "_s", "_term", "_t"]
+
+
+def _settled(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """conflicting_id and conflict_kind as the fold gives them, by rounds of joins on (tenant, scope pattern, term) instead of a task a tenant.
+
+    In a round each row that is not settled looks up, under each of its keys, the earliest survivor and the earliest row
+    that is still open. With a survivor before it, it falls (and can be in nobody's way any more); its conflict is
+    known once no open row stands before that survivor. With neither before it, it survives. The earliest open row of
+    a tenant always settles, and rows of different keys settle side by side: for orders that do not follow the
+    conflicts the rounds grow with the logarithm of the longest chain of rows that wait for each other.
+    """
+    kept = saved(rows.withColumn("_r", F.monotonically_increasing_id()))
+    tenant = F.coalesce(F.concat(F.lit("="), F.col("tenant_id").cast("string")), F.lit("*"))
+    base = kept.select(tenant.alias("tenant_id"), F.col("_r").alias("id"), "title", "scope_domain", "scope_system", F.struct("created_at", F.col("id").alias("i"), F.col("_r").alias("r")).alias("created_at"))
+    places = base.select(F.col("id").alias("_r"), F.col("created_at").alias("_at"))
+    looks = _lookups(base, rules)
+    patterns = [tuple(r) for r in looks.select(F.col("_d") != "*", F.col("_s") != "*").distinct().collect()]  # four rows at most
+    looks = written(looks.select(F.col("id").alias("_r"), F.col("tenant_id").alias("_t"), "_d", "_s", "_term").join(places, "_r"))
+    finds = written(_findable(base, rules, patterns or [(True, True)]).select(F.col("conflicting_id").alias("_r"), F.col("conflicting_at").alias("_at"), F.col("tenant_id").alias("_t"), "_d", "_s", "_term"))
+    best, known = None, []
+    while not looks.isEmpty():
+        near = looks.join(finds.groupBy(*_PLACE).agg(F.min("_at").alias("_wait")), _PLACE, "left")
+        near = near.withColumn("_best", F.lit(None).cast(near.schema["_at"].dataType)) if best is None else near.join(best, _PLACE, "left")
+        kind = F.when(F.col("_term").startswith("word "), 0).otherwise(1)
+        seen = near.groupBy("_r", "_at").agg(
+            F.min(F.when(F.col("_wait") < F.col("_at"), F.col("_wait"))).alias("_wait"),
+            F.min(F.when(F.col("_best") < F.col("_at"), F.struct(F.col("_best").alias("at"), kind.alias("kind")))).alias("_hit"),
+        )
+        sure = F.when(F.col("_hit").isNull(), F.col("_wait").isNull()).otherwise(F.col("_wait").isNull() | (F.col("_hit.at") < F.col("_wait")))
+        state = written(seen.select("_r", F.col("_hit.at.i").alias("_by"), F.col("_hit.kind").alias("_kind"), F.col("_hit").isNotNull().alias("_falls"), sure.alias("_sure")))
+        known.append(state.filter("_sure").select("_r", "_by", "_kind"))
+        stays = finds.join(state.filter("NOT _falls AND _sure").select("_r"), "_r", "left_semi").groupBy(*_PLACE).agg(F.min("_at").alias("_best"))
+        best = written(stays if best is None else best.unionByName(stays).groupBy(*_PLACE).agg(F.min("_best").alias("_best")))
+        finds = written(finds.join(state.filter("_falls OR _sure").select("_r"), "_r", "left_anti"))
+        looks = written(looks.join(state.filter("_sure").select("_r"), "_r", "left_anti"))
+    kind_of = rows.schema["id"].dataType
+    if not known:
+        return rows.withColumns({"conflicting_id": F.lit(None).cast(kind_of), "conflict_kind": F.lit(None).cast("string")})
+    found = reduce(DataFrame.unionByName, known)
+    out = kept.join(found, "_r", "left").withColumns({"conflicting_id": F.col("_by"), "conflict_kind": F.when(F.col("_kind") == 0, "keyword").when(F.col("_kind") == 1, "title")})
+    return out.drop("_r", "_by", "_kind")
+
+
 def contradiction_records(quarantined: DataFrame, now: Column) -> DataFrame:
     """A record for each quarantined row: decision_a exists, decision_b was proposed."""
     hit = quarantined.filter(F.col("conflicting_id").isNotNull())

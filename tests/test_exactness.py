@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywright.common import byte_size, running_sum
 from tallywright.functions import scalars as X
-from tallywright.operators import budget, chain, contradiction, filters, graph, temporal
+from tallywright.operators import blocks, budget, chain, contradiction, filters, graph, temporal
 from tallywright.streaming import jobs
 
 BIG = 2**53 + 1
@@ -151,6 +151,61 @@ def test_quarantine_with_wildcards_and_existing_rows(spark, seed, rules):
     assert {r["id"]: r["conflicting_id"] for r in contradiction.quarantine_fold(as_df(new), rules, as_df(old)).collect()} == want
 
 
+def test_quarantine_settles_in_few_rounds(spark, monkeypatch):
+    """One tenant, one scope, two opposing titles in turn, and 400 random rows: rounds do not follow the number of rows."""
+    rounds = []
+    plain = contradiction.written
+    monkeypatch.setattr(contradiction, "written", lambda df: rounds.append(1) or plain(df))
+    rng = random.Random(11)
+    rows = [("t", i, ("Postgres", "MongoDB")[i % 2], "a", "db") for i in range(200)] + [(*r[:2], *r[2:]) for r in proposals(rng, range(200, 400))]
+    want = plain_quarantine(rows, [], TWO)
+    df = spark.createDataFrame([(*r, r[1], "draft") for r in rows], SCHEMA)
+    assert {r["id"]: r["conflicting_id"] for r in contradiction.quarantine(df, None, TWO).collect()} == want
+    assert len(rounds) <= 2 + 4 * 8
+
+
+def plain_meter(rows, tokens, executions):
+    left, out = {}, {}
+    for tenant, i, use, runs in rows:
+        t, e, status = left.get(tenant, (tokens, executions, "active"))
+        if use is None or runs is None or use < 0 or runs < 0:
+            out[i] = (False, t, e, "rejected", status)
+            continue
+        ok = t >= use and e >= runs
+        left[tenant] = (t - use, e - runs, status) if ok else (t, e, "exhausted")
+        out[i] = (ok, *left[tenant][:2], "active" if ok else "exhausted", left[tenant][2])
+    return out
+
+
+@pytest.mark.parametrize(("seed", "tokens", "executions", "together"), [(0, 4000, 500, 16), (1, 900, 10_000, 1), (2, 20_000, 120, 2), (3, 0, 0, 16)])
+def test_meter_in_blocks_equals_the_fold(spark, monkeypatch, seed, tokens, executions, together):
+    """One large tenant over many blocks, with denials between admissions, and small and null tenants."""
+    monkeypatch.setattr(blocks, "TOGETHER", together)
+    monkeypatch.setattr(blocks.block_starts, "__defaults__", (together,))
+    monkeypatch.setattr(blocks.fold_by_blocks, "__defaults__", (blocks.BLOCK_ROWS, together))
+    rng = random.Random(seed)
+    rows = [(rng.choice(["big"] * 9 + ["small", None]), i, rng.choice([0, 0, 1, 5, 30, 200, 200, -1, None]), rng.choice([0, 1, 1, 2])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "tenant_id string, i long, tokens_used long, executions_used long").repartition(5)
+    got = budget.meter(df, ["i"], tokens, executions, block_rows=40).collect()
+    assert {r["i"]: (r["allowed"], r["remaining_tokens"], r["remaining_executions"], r["response_status"], r["table_status"]) for r in got} == plain_meter(rows, tokens, executions)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_draw_down_in_blocks_equals_the_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["big"] * 9 + ["small", "none"]), i, rng.choice([0, 1, 5, 30, 200, 900, -40, None])) for i in range(900)]
+    left, want = {"big": 3000, "small": 50}, {}
+    for tenant, i, use in rows:
+        have = left.get(tenant)
+        error = "no budget" if have is None else "no amount" if use is None else "insufficient budget" if use > have else None
+        if error is None:
+            left[tenant] = have - use
+        want[i] = (left.get(tenant), error)
+    df = spark.createDataFrame(rows, "tenant_id string, i long, tokens_used long")
+    budgets = spark.createDataFrame([("big", 3000), ("small", 50)], "tenant_id string, token_balance long")
+    assert {r["i"]: (r["remaining_after"], r["error"]) for r in budget.draw_down(df, budgets, ["i"], block_rows=30).collect()} == want
+
+
 def test_streamed_quarantine_with_wildcards(spark, tmp_path):
     rng = random.Random(9)
     new = proposals(rng, range(90))
