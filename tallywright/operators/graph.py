@@ -1,11 +1,16 @@
 """Lineage: lookups by parent_id and typed edges.
 
 Closures are frontier loops: each round joins what is new with the edges and drops what is known; rounds are cut by
-checkpoints, and the driver learns only whether anything is left.
+written tables, and the driver learns only whether anything is left. Before a loop, paths of nodes with one edge in and
+one out are contracted to single edges by pointer doubling, so long chains take rounds by the logarithm of their length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +63,77 @@ def parents(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return own.join(ids.select(*by, F.col("id").alias("from_id")).distinct(), [*by, "from_id"]).select(*by, F.col("from_id").alias("id"), F.col("to_id").alias("dependency"))
 
 
+class Contracted(NamedTuple):
+    """Edges after paths have become single edges, and where the nodes of the paths went."""
+
+    #: (src, dst, w): the edges between nodes that stay, of several between two nodes the lightest.
+    edges: DataFrame
+    #: (node, head, tail, offset): the paths' nodes, the edge that each is on, and its distance from the head.
+    inner: DataFrame
+    #: (node): nodes of cycles that nothing else touches.
+    rings: DataFrame
+
+
+def contracted(edges: DataFrame, fixed: DataFrame | None = None) -> Contracted | None:
+    """Contracts edges (src, dst, w), each pair once; nodes of ``fixed`` (node) stay. None if no node can go.
+
+    Each path node points to the next; pointers are doubled until all point to the last node of their path. Those
+    that never do are on a ring. A table has a row a node or an edge.
+    """
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_o"), F.min("dst").alias("next"), F.min("w").alias("far")).filter("_o = 1")
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_i")).filter("_i = 1")
+    able = outs.join(ins, "node").select("node", "next", "far")
+    able = written(able if fixed is None else able.join(fixed.select("node").distinct(), "node", "left_anti"))
+    n = able.count()
+    if not n:
+        return None
+    onward = able.select(F.col("node").alias("next"), F.lit(True).alias("_goes"))
+    step = able.join(onward, "next", "left").select("node", F.coalesce("_goes", F.lit(False)).alias("goes"), "next", "far")
+    # to: the furthest path node known, d: how far it is, ended: whether the path ends there.
+    jump = written(step.select("node", F.when(F.col("goes"), F.col("next")).otherwise(F.col("node")).alias("to"), F.when(F.col("goes"), F.col("far")).otherwise(F.lit(0)).cast("long").alias("d"), (~F.col("goes")).alias("ended")))
+    ends = jump.filter("ended").select("node").withColumn("_last", F.lit(True))
+    jump = written(jump.drop("ended").join(ends.withColumnRenamed("node", "to"), "to", "left").select("node", "to", "d", F.coalesce("_last", F.lit(False)).alias("ended")))
+    reached = 1
+    while reached < n and not jump.filter("NOT ended").isEmpty():
+        on = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("d").alias("_d"), F.col("ended").alias("_e"))
+        jump = written(jump.join(on, "to").select("node", F.col("_to").alias("to"), (F.col("d") + F.col("_d")).alias("d"), (F.col("ended") | F.col("_e")).alias("ended")))
+        reached *= 2
+    rings = jump.filter("NOT ended").select("node")
+    paths = jump.filter("ended").join(able.select(F.col("node").alias("to"), F.col("next").alias("tail"), F.col("far").alias("last")), "to").select("node", "to", "d", "tail", "last")
+    known = able.select(F.col("node").alias("src"))
+    outer = edges.join(known, "src", "left_anti")
+    entering = written(outer.join(paths.withColumnRenamed("node", "dst"), "dst").select("src", "to", "tail", "w", "d", "last"))
+    short = outer.join(able.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "w")
+    new = written(short.unionByName(entering.select("src", F.col("tail").alias("dst"), (F.col("w") + F.col("d") + F.col("last")).alias("w"))).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    inner = written(paths.join(entering.select(F.col("src").alias("head"), "to", (F.col("w") + F.col("d")).alias("_all")), "to").select("node", "head", "tail", (F.col("_all") - F.col("d")).alias("offset")))
+    return Contracted(new, inner, rings)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(by, seed, id, depth): all that is reached from each seed along edges (by, src, dst), at its least depth; the seed itself only by a cycle, with depth of that cycle.
 
-    Edges join only seeds with the same ``by`` columns (the tenant, where ids are a tenant's own).
+    Edges join only seeds with the same ``by`` columns (the tenant, where ids are a tenant's own). Paths are contracted
+    first, seeds left as they are; what a round finds is appended, and the nodes of paths come in at the end.
     """
-    step = written(edges.select(*by, "src", "dst").distinct())
-    front = written(small_join(step, seeds.select(*by, F.col("seed").alias("src"), "seed").distinct(), [*by, "src"]).select(*by, "seed", F.col("dst").alias("id"), F.lit(1).alias("depth")).distinct())
-    found = front
+    node = lambda c: F.struct(*by, F.col(c).alias("_id"))
+    steps = written(edges.select(node("src").alias("src"), node("dst").alias("dst"), F.lit(1).cast("long").alias("w")).distinct())
+    starts = written(seeds.select(node("seed").alias("node"), "seed").distinct())
+    short = contracted(steps, starts)
+    step = short.edges if short else steps
+    front = written(small_join(step, starts.select(F.col("node").alias("src"), "seed"), ["src"]).groupBy("seed", F.col("src").alias("root"), F.col("dst").alias("node")).agg(F.min("w").alias("depth")))
+    found = [front]
     while not front.isEmpty():
-        near = step.join(front.select(*by, "seed", F.col("id").alias("src"), "depth"), [*by, "src"]).select(*by, "seed", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = written(near.join(found.select(*by, "seed", "id"), [*by, "seed", "id"], "left_anti"))
-        found = written(found.unionByName(front))
-    return found
+        near = step.join(front.select("seed", "root", F.col("node").alias("src"), "depth"), "src").groupBy("seed", "root", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
+        known = reduce(DataFrame.unionByName, found).select("seed", "root", "node", F.col("depth").alias("_had"))
+        better = near.join(known.groupBy("seed", "root", "node").agg(F.min("_had").alias("_had")), ["seed", "root", "node"], "left").filter("_had IS NULL OR depth < _had").drop("_had")
+        front = written(better)
+        found.append(front)
+    every = reduce(DataFrame.unionByName, found).groupBy("seed", "root", "node").agg(F.min("depth").alias("depth"))
+    if short:
+        heads = written(every).unionByName(starts.select("seed", F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth"))).groupBy("seed", "root", "node").agg(F.min("depth").alias("depth"))
+        along = short.inner.join(heads.withColumnRenamed("node", "head"), "head").select("seed", "root", "node", (F.col("depth") + F.col("offset")).alias("depth"))
+        every = every.unionByName(along)
+    return every.select(*[F.col(f"root.{c}").alias(c) for c in by], "seed", F.col("node._id").alias("id"), F.col("depth").cast("int").alias("depth"))
 
 
 def impact_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -170,18 +233,43 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return hit.withColumn("reject_reason", why).select(*new.columns, "reject_reason")
 
 
-def core(edges: DataFrame) -> DataFrame:
-    """The edges (from_id, to_id) left when nodes without incoming or without outgoing edges go, again and again."""
-    left = written(edges.select("from_id", "to_id").filter("from_id <> to_id").distinct())
+def _reduced(edges: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The edges (from_id, to_id) without nodes that lack edges in or out, and with paths as single edges, again and again until neither is left.
+
+    Also gives a function that brings edges of the result back to the given ones they stand for; rings that were
+    contracted to nothing come back with them. A path from a node to itself stays as a self edge.
+    """
+    left, levels = written(edges.select("from_id", "to_id").distinct()), []
     n = left.count()
     while n:
-        sources, ends = left.select(F.col("from_id").alias("n")).distinct(), left.select(F.col("to_id").alias("n")).distinct()
-        both = sources.join(ends, "n", "left_semi")
-        left = written(left.join(both.withColumnRenamed("n", "from_id"), "from_id", "left_semi").join(both.withColumnRenamed("n", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
-        if (m := left.count()) == n:
-            break
-        n = m
-    return left
+        both = left.select(F.col("from_id").alias("n")).distinct().join(left.select(F.col("to_id").alias("n")).distinct(), "n", "left_semi")
+        peeled = written(left.join(both.withColumnRenamed("n", "from_id"), "from_id", "left_semi").join(both.withColumnRenamed("n", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
+        m = peeled.count()
+        short = contracted(peeled.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lit(1).cast("long").alias("w"))) if m else None
+        if short is None:
+            left = peeled
+            if m == n:
+                break
+            n = m
+            continue
+        on = short.inner.select("node", "head", "tail")
+        mapped = peeled.join(on.select(F.col("node").alias("to_id"), F.col("head").alias("_h1"), F.col("tail").alias("_t1")), "to_id", "left").join(on.select(F.col("node").alias("from_id"), F.col("head").alias("_h2"), F.col("tail").alias("_t2")), "from_id", "left").join(short.rings.select(F.col("node").alias("from_id"), F.lit(True).alias("_ring")), "from_id", "left")
+        levels.append(written(mapped.select("from_id", "to_id", F.coalesce("_h1", "_h2", "from_id").alias("_f"), F.coalesce("_t1", "_t2", "to_id").alias("_t"), F.coalesce("_ring", F.lit(False)).alias("_ring"))))
+        left, n = short.edges.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id")), short.edges.count()
+
+    def back(found: DataFrame) -> DataFrame:
+        for level in reversed(levels):
+            hit = level.join(found.select(F.col("from_id").alias("_f"), F.col("to_id").alias("_t")).distinct(), ["_f", "_t"], "left_semi")
+            found = hit.filter("NOT _ring").unionByName(level.filter("_ring")).select("from_id", "to_id")
+        return found
+
+    return left, back
+
+
+def core(edges: DataFrame) -> DataFrame:
+    """The edges (from_id, to_id) left when nodes without incoming or without outgoing edges go, again and again (G13). Self edges do not count."""
+    left, back = _reduced(edges.filter("from_id <> to_id"))
+    return back(left)
 
 
 def validate(edges: DataFrame) -> DataFrame:
@@ -191,14 +279,16 @@ def validate(edges: DataFrame) -> DataFrame:
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
-    """Edges (from_id, to_id) that lie on a cycle: those whose ends are in one strongly connected component.
+    """Edges (from_id, to_id) that lie on a cycle: those whose ends are in one strongly connected component. Self edges do not count.
 
-    Each round colours every node of what is left with the smallest node that reaches it, and takes as components the
-    nodes of a colour that reach the node it is named after. Edges between colours are on no cycle and go. Tables
-    have a row a node or an edge, never one a pair of nodes.
+    Each round colours every node of what is left, after :func:`_reduced`, with the smallest node that reaches it, and
+    takes as components the nodes of a colour that reach the node it is named after. Edges between colours are on no
+    cycle and go. Tables have a row a node or an edge, never one a pair of nodes.
     """
-    left, found = core(edges), None
-    while not left.isEmpty():
+    left, back = _reduced(edges.filter("from_id <> to_id"))
+    found = written(left.filter("from_id = to_id"))  # paths from a node to itself
+    left = left.filter("from_id <> to_id")
+    if not left.isEmpty():
         ends = left.select(F.col("from_id").alias("id")).unionByName(left.select(F.col("to_id").alias("id"))).distinct()
         colours = _spread(left.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), written(ends.withColumn("label", F.col("id"))))
         from_, to = (colours.select(F.col("id").alias(f"{e}_id"), F.col("label").alias(f"_{e}")) for e in ("from", "to"))
@@ -208,10 +298,12 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
         marks = _spread(within.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")), written(start.select("id", F.when(F.col("id") == F.col("label"), 0).otherwise(1).alias("label"))))
         inside = written(marks.filter("label = 0").select("id"))
         hit = within.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id")
-        found = hit if found is None else written(found.unionByName(hit))
-        rest = within.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-        left = core(rest)
-    return left.select("from_id", "to_id") if found is None else found
+        rest = written(within.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
+        found = found.unionByName(hit)
+        if not rest.isEmpty():
+            found = found.unionByName(cycle_edges(rest))
+        found = written(found)
+    return back(found)
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -109,6 +109,63 @@ def test_cycle_edges_equal_reachability(spark, seed):
     assert {tuple(r) for r in graph.cycle_edges(df).collect()} == want
 
 
+def counted_tables(monkeypatch):
+    made, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: made.append(1) or plain(df))
+    return made
+
+
+def test_deep_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 nodes: checked, closed to a cycle, and walked through, each in at most 40 tables."""
+    n = 10_000
+    chain_ = spark.range(n - 1).select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
+    made = counted_tables(monkeypatch)
+    assert graph.validate(chain_).count() == 0 and len(made) <= 40, len(made)
+    made.clear()
+    ring = chain_.unionByName(spark.createDataFrame([(n - 1, 0), (n - 1, n), (50, 60)], "from_id long, to_id long"))
+    assert graph.cycle_edges(ring).count() == n + 1 and len(made) <= 40, len(made)
+    made.clear()
+    edges = chain_.withColumn("edge_type", F.lit("depends_on"))
+    rows = graph.impact_edges(edges, spark.createDataFrame([(9_999,), (5_000,)], "id long"))
+    got = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("d"), F.count_if(F.col("seed") - F.col("id") != F.col("depth")).alias("wrong")).collect()
+    assert {tuple(r) for r in got} == {(9_999, 9_999, 9_999, 0), (5_000, 5_000, 5_000, 0)} and len(made) <= 40, len(made)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_core_equals_peeling(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(62)}
+    edges |= {(100 + k, 101 + k) for k in range(9)} | {(109, 100)} | {(200 + k, 201 + k) for k in range(9)}
+    edges = {e for e in edges if e[0] != e[1]}
+    left = set(edges)
+    while True:
+        keep = {e for e in left if e[0] in {b for _, b in left} and e[1] in {a for a, _ in left}}
+        if keep == left:
+            break
+        left = keep
+    df = spark.createDataFrame(sorted(edges), "from_id long, to_id long")
+    assert {tuple(r) for r in graph.core(df).collect()} == left
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_reach_equals_breadth_first_search(spark, seed):
+    """Random graphs with long paths, cycles and two tenants; seeds on paths, on cycles and nowhere."""
+    rng = random.Random(seed)
+    edges = {("ab"[rng.randrange(2)], rng.randrange(40), rng.randrange(40)) for _ in range(60)}
+    edges |= {("a", 100 + k, 101 + k) for k in range(12)} | {("a", 3, 100), ("a", 112, 5), ("b", 300, 301), ("b", 301, 302), ("b", 302, 300)}
+    seeds = [("a", 3), ("a", 104), ("b", 3), ("b", 301), ("a", 999), ("b", 7)]
+    want = set()
+    for t, s in seeds:
+        depth, front = {}, {s}
+        for d in range(1, 200):
+            front = {y for u, x, y in edges if u == t and x in front} - set(depth)
+            depth |= dict.fromkeys(front, d)
+        want |= {(t, s, i, d) for i, d in depth.items()}
+    df = spark.createDataFrame(sorted(edges), "tenant_id string, src long, dst long")
+    got = graph.reach(df, spark.createDataFrame(seeds, "tenant_id string, seed long"), ["tenant_id"])
+    assert {tuple(r) for r in got.collect()} == want
+
+
 # --- quarantine
 
 
