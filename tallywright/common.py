@@ -42,7 +42,20 @@ def written(df: DataFrame) -> DataFrame:
     """As :func:`saved`, by way of a table. For loops that join a table with itself: a checkpoint keeps how its rows are sorted and dealt, told over all of a loop's joins, which soon takes planning longer than the work."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def replaced(df: DataFrame, *old: DataFrame | None) -> DataFrame:
+    """:func:`written`, after which the tables of ``old`` go: for loops whose next table is all that is left of the last. Only tables that nothing else reads."""
+    out = written(df)
+    spark = df.sparkSession
+    for o in old:
+        if path := getattr(o, "_written", None):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
 
 
 def _width(c: Column, kind: DataType) -> Column:

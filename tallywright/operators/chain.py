@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import small_join
+from ..common import small_join, written
 from ..functions.scalars import GENESIS, chain_hash, snapshot_hash
 from ..sources.tables import insert_ignore
 from .filters import latest_snapshot
@@ -43,15 +44,74 @@ def verify_links(chained: DataFrame, leaf: str = "leaf_hash") -> DataFrame:
 
 
 def audit_chain(chained: DataFrame, recomputed_leaf: Column | None = None, leaf: str = "leaf_hash") -> DataFrame:
-    """Per tenant: writes, whether the chain is whole, and the first break with its reason."""
-    by = Window.partitionBy("tenant_id").orderBy("height")
-    checked = verify_links(chained, leaf).withColumn("_prev", F.lag("root_hash", 1, GENESIS).over(by)).withColumn("_step", F.lag("height", 1, 0).over(by))
-    reason = F.when(F.lit(False) if recomputed_leaf is None else ~(recomputed_leaf.eqNullSafe(F.col(leaf))), "leaf").when(~F.col("link_ok"), "link").when(~F.col("parent_root").eqNullSafe(F.col("_prev")), "parent").when(F.col("height") != F.col("_step") + 1, "height")
-    marked = checked.withColumn("_reason", reason)
+    """Per tenant: writes, whether the chain is whole, and the first break with its reason.
+
+    Each write is joined with the one at the height before it, so no task sees a tenant's chain. A write follows on
+    what the height before has as its root ("parent": another root, or none there) and stands alone at its own ("height").
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("tenant_id").cast("string")), F.lit("*"))
+    checked = verify_links(chained, leaf).withColumn("_key", key)
+    before = checked.groupBy("_key", (F.col("height") + 1).alias("height")).agg(F.min("root_hash").alias("_prev"))
+    alone = checked.groupBy("_key", "height").agg(F.count(F.lit(1)).alias("_n"))
+    joined = checked.join(before, ["_key", "height"], "left").join(alone, ["_key", "height"], "left")
+    previous = F.when(F.col("height") == 1, F.lit(GENESIS)).otherwise(F.col("_prev"))
+    reason = F.when(F.lit(False) if recomputed_leaf is None else ~(recomputed_leaf.eqNullSafe(F.col(leaf))), "leaf").when(~F.col("link_ok"), "link").when(~F.col("parent_root").eqNullSafe(previous), "parent").when((F.col("_n") > 1) | (F.col("height") < 1), "height")
+    marked = joined.withColumn("_reason", reason)
     broken = F.when(F.col("_reason").isNotNull(), F.col("height"))
     return marked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("writes"), F.min(broken).isNull().alias("chain_valid"), F.min(broken).alias("first_break"), F.min_by("_reason", broken).alias("reason"))
 
 
+def _node(left: Column, right: Column) -> Column:
+    return F.sha2(F.concat(F.lit("node|"), left, right), 256)
+
+
+def _leaf(leaf: Column) -> Column:
+    return F.sha2(F.concat(F.lit("leaf|"), F.coalesce(leaf, F.lit(""))), 256)
+
+
+def hash_tree(chained: DataFrame, leaf: str = "leaf_hash") -> DataFrame:
+    """(tenant_id, level, pos, hash): a hash tree over each tenant's leaves in the order of their heights, beside the chain.
+
+    Built level by level: two neighbours become one node, one without a neighbour goes up as it is. Leaves and nodes are
+    hashed with different words before them, so neither passes for the other. A level is one small aggregate; there are
+    as many as the longest chain's length has binary digits.
+    """
+    level, levels = written(chained.select("tenant_id", F.lit(0).alias("level"), (F.col("height") - 1).alias("pos"), _leaf(F.col(leaf)).alias("hash"))), []
+    while True:
+        levels.append(level)
+        if level.filter("pos > 0").isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        pair = level.groupBy("tenant_id", (F.col("level") + 1).alias("level"), F.shiftright("pos", 1).alias("pos"))
+        both = pair.agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("hash"))).alias("_l"), F.max(F.when(F.col("pos") % 2 == 1, F.col("hash"))).alias("_r"))
+        level = written(both.select("tenant_id", "level", "pos", F.coalesce(_node(F.col("_l"), F.col("_r")), "_l").alias("hash")))
+
+
+def tree_roots(tree: DataFrame) -> DataFrame:
+    """tenant_id and the hash at the top of its tree."""
+    return tree.groupBy("tenant_id").agg(F.max_by("hash", "level").alias("tree_root"))
+
+
+def tree_proofs(chained: DataFrame, tree: DataFrame, asked: DataFrame, id_col: str = "id", leaf: str = "leaf_hash") -> DataFrame:
+    """(tenant_id, id, leaf_hash, height, proof) of each asked (tenant_id, id): its siblings from the leaf up, with the side they stand on.
+
+    A proof has one hash a level at most, so about log2 of the chain's length.
+    """
+    own = chained.join(asked.select("tenant_id", id_col).distinct(), ["tenant_id", id_col], "left_semi").select("tenant_id", id_col, F.col(leaf).alias("leaf_hash"), "height")
+    top = tree.agg(F.max("level")).first()[0] or 0
+    steps = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")).withColumn("_at", F.expr("shiftright(height - 1, level)"))
+    steps = steps.withColumn("pos", F.col("_at").bitwiseXOR(F.lit(1)))
+    found = small_join(tree.select("tenant_id", "level", "pos", "hash"), steps, ["tenant_id", "level", "pos"])
+    lists = found.groupBy("tenant_id", id_col, "height").agg(F.sort_array(F.collect_list(F.struct("level", (F.col("_at") % 2 == 1).alias("left"), "hash"))).alias("_p"))
+    proof = F.transform(F.coalesce("_p", F.array().cast(lists.schema["_p"].dataType)), lambda p: F.struct(p["left"].alias("left"), p["hash"].alias("hash")))
+    return own.join(lists, ["tenant_id", id_col, "height"], "left").select("tenant_id", id_col, "leaf_hash", "height", proof.alias("proof"))
+
+
+def verify_tree_proofs(proofs: DataFrame, roots: DataFrame) -> DataFrame:
+    """proofs with ``included``: whether leaf and siblings fold to the tenant's root. Needs no other row of the tree."""
+    folded = F.aggregate("proof", _leaf(F.col("leaf_hash")), lambda h, p: F.when(p["left"], _node(p["hash"], h)).otherwise(_node(h, p["hash"])))
+    return proofs.join(roots.select("tenant_id", "tree_root"), "tenant_id", "left").withColumn("included", F.coalesce(folded == F.col("tree_root"), F.lit(False)))
+
+
 def inclusion_proof(chained: DataFrame, ids: list, id_col: str = "id", leaf: str = "leaf_hash") -> DataFrame:
     """For each asked write its parent root and the later leaves, and whether folding them gives the tenant's root.
 

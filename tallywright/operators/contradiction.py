@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import saved, written
+from ..common import replaced, saved, written
 from ..functions.scalars import uuid_v5
 from .fold import ordered_fold
 
@@ -264,9 +264,9 @@ def _settled(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         state = written(seen.select("_r", F.col("_hit.at.i").alias("_by"), F.col("_hit.kind").alias("_kind"), F.col("_hit").isNotNull().alias("_falls"), sure.alias("_sure")))
         known.append(state.filter("_sure").select("_r", "_by", "_kind"))
         stays = finds.join(state.filter("NOT _falls AND _sure").select("_r"), "_r", "left_semi").groupBy(*_PLACE).agg(F.min("_at").alias("_best"))
-        best = written(stays if best is None else best.unionByName(stays).groupBy(*_PLACE).agg(F.min("_best").alias("_best")))
-        finds = written(finds.join(state.filter("_falls OR _sure").select("_r"), "_r", "left_anti"))
-        looks = written(looks.join(state.filter("_sure").select("_r"), "_r", "left_anti"))
+        best = replaced(stays if best is None else best.unionByName(stays).groupBy(*_PLACE).agg(F.min("_best").alias("_best")), best)
+        finds = replaced(finds.join(state.filter("_falls OR _sure").select("_r"), "_r", "left_anti"), finds)
+        looks = replaced(looks.join(state.filter("_sure").select("_r"), "_r", "left_anti"), looks)
     kind_of = rows.schema["id"].dataType
     if not known:
         return rows.withColumns({"conflicting_id": F.lit(None).cast(kind_of), "conflict_kind": F.lit(None).cast("string")})

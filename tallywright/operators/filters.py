@@ -40,7 +40,8 @@ def children_of(df: DataFrame, tenant: str, parent: str) -> DataFrame:
 def search_titles(df: DataFrame, tenant: str, query: str) -> DataFrame:
     """Titles that contain the words as they are, in any case (F06). ``n_found`` is the count of all."""
     found = for_tenant(df, tenant).filter(F.lower("title").contains(query.lower()))
-    return found.withColumn("n_found", F.count(F.lit(1)).over(Window.partitionBy("tenant_id")))
+    total = found.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_found"))  # one row: the tenant is fixed
+    return found.join(F.broadcast(total), "tenant_id").select(*found.columns, "n_found")
 
 
 def revisions(df: DataFrame, tenant: str, id: str) -> DataFrame:

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import small_join, written
+from ..common import replaced, small_join, written
 
 DEPENDS, SUPERSEDES = "depends_on", "supersedes"
 
@@ -96,7 +96,7 @@ def contracted(edges: DataFrame, fixed: DataFrame | None = None) -> Contracted |
     reached = 1
     while reached < n and not jump.filter("NOT ended").isEmpty():
         on = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("d").alias("_d"), F.col("ended").alias("_e"))
-        jump = written(jump.join(on, "to").select("node", F.col("_to").alias("to"), (F.col("d") + F.col("_d")).alias("d"), (F.col("ended") | F.col("_e")).alias("ended")))
+        jump = replaced(jump.join(on, "to").select("node", F.col("_to").alias("to"), (F.col("d") + F.col("_d")).alias("d"), (F.col("ended") | F.col("_e")).alias("ended")), jump)
         reached *= 2
     rings = jump.filter("NOT ended").select("node")
     paths = jump.filter("ended").join(able.select(F.col("node").alias("to"), F.col("next").alias("tail"), F.col("far").alias("last")), "to").select("node", "to", "d", "tail", "last")
@@ -308,10 +308,11 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label) after labels have gone along edges (src, dst) until each node has the smallest that reaches it. Only nodes whose label fell send it on."""
-    changed = labels
+    changed, past = labels, None
     while not changed.isEmpty():
         sent = edges.join(changed.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_new"))
-        step = written(labels.join(sent, "id", "left").withColumn("_fell", F.coalesce(F.col("_new") < F.col("label"), F.lit(False))).select("id", F.when(F.col("_fell"), F.col("_new")).otherwise(F.col("label")).alias("label"), "_fell"))
+        step = replaced(labels.join(sent, "id", "left").withColumn("_fell", F.coalesce(F.col("_new") < F.col("label"), F.lit(False))).select("id", F.when(F.col("_fell"), F.col("_new")).otherwise(F.col("label")).alias("label"), "_fell"), past)
+        past = step
         labels, changed = step.drop("_fell"), step.filter("_fell").drop("_fell")
     return labels
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import present
@@ -55,8 +55,10 @@ def history(writes: DataFrame, tenant: str, id: str) -> DataFrame:
 
 def as_recorded(writes: DataFrame, tx_time: Column) -> DataFrame:
     """The table as it stood at a transaction time: the last write of each key up to then."""
-    newest = Window.partitionBy("tenant_id", "id").orderBy(F.desc("updated_at"))
-    return writes.filter(F.col("updated_at") <= tx_time).withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
+    rows = writes.filter(F.col("updated_at") <= tx_time)
+    rest = [c for c in writes.columns if c not in ("tenant_id", "id")]
+    last = rows.groupBy("tenant_id", "id").agg(F.max_by(F.struct(*rest), "updated_at").alias("_last"))
+    return last.select("tenant_id", "id", "_last.*").select(*writes.columns)
 
 
 def expiry_of(df: DataFrame) -> Column:

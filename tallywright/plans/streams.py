@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import fresh_path
+from ..sources.tables import read_ref_changes
 from ..streaming import jobs
 from . import queries as batch
 from .adapters import SELECTS, adapted, cte, sql_text, table, text_of
@@ -75,12 +76,11 @@ def _writes(spark: SparkSession, d: str) -> DataFrame:
 
 @_register(batch._DELTA_SQL + " SELECT hash, delta FROM net")
 def r01_s03_stream_ref_counts(spark, d):
-    """One file is one micro-batch here; over several the last sum brings the batches' nets together."""
-    docs = _source(spark, d, "documents")
-    delta = F.when(F.col("doc_id") % 17 == 0, "x").when(F.col("doc_id") % 3 == 0, "-1").otherwise("1")
-    changes = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), delta.alias("delta"))
+    """A written log of changes, scanned as a stream; the last sum brings the batches' nets together."""
+    path = fresh_path(spark, "changes")
+    _changes(spark, d).withColumn("ts", F.lit(None).cast("timestamp")).write.parquet(path)
     out, log = _places(spark, "refs")
-    nets = jobs.finished(jobs.stream_ref_counts(changes, out, log), spark, out)
+    nets = jobs.finished(jobs.stream_ref_counts(read_ref_changes(spark, path), out, log), spark, out)
     return nets.groupBy("hash").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
 
 

@@ -1,5 +1,6 @@
 """Values that must stay whole, tenants that must stay apart, rules that must hold with empty scopes, and the order of lists."""
 
+import hashlib
 import os
 import random
 import shutil
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tallywright.common import byte_size, running_sum
 from tallywright.functions import scalars as X
-from tallywright.operators import blocks, budget, chain, contradiction, filters, graph, temporal
+from tallywright.operators import blocks, budget, chain, contradiction, filters, graph, telemetry, temporal
+from tallywright.sources import tables
 from tallywright.streaming import jobs
 
 BIG = 2**53 + 1
@@ -110,8 +112,9 @@ def test_cycle_edges_equal_reachability(spark, seed):
 
 
 def counted_tables(monkeypatch):
-    made, plain = [], graph.written
-    monkeypatch.setattr(graph, "written", lambda df: made.append(1) or plain(df))
+    made = []
+    for name in ("written", "replaced"):
+        monkeypatch.setattr(graph, name, lambda *dfs, plain=getattr(graph, name): made.append(1) or plain(*dfs))
     return made
 
 
@@ -211,14 +214,14 @@ def test_quarantine_with_wildcards_and_existing_rows(spark, seed, rules):
 def test_quarantine_settles_in_few_rounds(spark, monkeypatch):
     """One tenant, one scope, two opposing titles in turn, and 400 random rows: rounds do not follow the number of rows."""
     rounds = []
-    plain = contradiction.written
-    monkeypatch.setattr(contradiction, "written", lambda df: rounds.append(1) or plain(df))
+    plain = contradiction.replaced
+    monkeypatch.setattr(contradiction, "replaced", lambda df, *old: rounds.append(1) or plain(df, *old))
     rng = random.Random(11)
     rows = [("t", i, ("Postgres", "MongoDB")[i % 2], "a", "db") for i in range(200)] + [(*r[:2], *r[2:]) for r in proposals(rng, range(200, 400))]
     want = plain_quarantine(rows, [], TWO)
     df = spark.createDataFrame([(*r, r[1], "draft") for r in rows], SCHEMA)
     assert {r["id"]: r["conflicting_id"] for r in contradiction.quarantine(df, None, TWO).collect()} == want
-    assert len(rounds) <= 2 + 4 * 8
+    assert len(rounds) <= 3 * 8
 
 
 def plain_meter(rows, tokens, executions):
@@ -281,6 +284,80 @@ def test_earliest_conflict_is_the_least_pair(spark):
     assert sorted(map(tuple, contradiction.earliest_conflicts(rows, rows, TWO).collect())) == sorted(map(tuple, pairs.collect())) != []
 
 
+# --- chains
+
+
+def test_audit_without_a_window(spark):
+    """Spoiled links, a gap, a doubled height and two tenants; no task sees a tenant."""
+    leaves = spark.createDataFrame([(t, i, f"{t}{i}") for t in ("a", "b", "c", "d", None) for i in range(6)], "tenant_id string, id long, leaf_hash string")
+    rows = chain.chain(leaves, ["id"])
+    spoiled = rows.filter("NOT (tenant_id <=> 'b' AND height = 3)").withColumn("leaf_hash", F.when(F.expr("tenant_id <=> 'c' AND height = 5"), "x").otherwise(F.col("leaf_hash"))).unionByName(rows.filter("tenant_id <=> 'd' AND height = 2"))
+    audit = chain.audit_chain(spoiled)
+    assert {r["tenant_id"]: (r["writes"], r["chain_valid"], r["first_break"], r["reason"]) for r in audit.collect()} == {"a": (6, True, None, None), "b": (5, False, 4, "parent"), "c": (6, False, 5, "link"), "d": (7, False, 2, "height"), None: (6, True, None, None)}
+    assert "Window" not in audit._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 33])
+def test_tree_proofs(spark, n):
+    """A proof has about log2 n hashes and verifies; a changed leaf, sibling or root fails."""
+    leaves = spark.createDataFrame([("t", i, f"leaf {i}") for i in range(n)] + [("u", 5, "only")], "tenant_id string, id long, leaf_hash string")
+    rows = chain.chain(leaves, ["id"])
+    tree = chain.hash_tree(rows)
+    roots = chain.tree_roots(tree)
+    level = [hashlib.sha256(f"leaf|leaf {i}".encode()).hexdigest() for i in range(n)]
+    while len(level) > 1:
+        level = [hashlib.sha256(f"node|{a}{b[0]}".encode()).hexdigest() if b else a for a, *b in (level[k : k + 2] for k in range(0, len(level), 2))]
+    assert {r["tenant_id"]: r["tree_root"] for r in roots.collect()}["t"] == level[0]
+    proofs = chain.tree_proofs(rows, tree, rows.select("tenant_id", "id"))
+    checked = chain.verify_tree_proofs(proofs, roots)
+    assert checked.count() == n + 1 and checked.filter("NOT included").count() == 0
+    assert max(len(r["proof"]) for r in proofs.collect()) <= max(n - 1, 0).bit_length()
+    assert chain.verify_tree_proofs(proofs.withColumn("leaf_hash", F.concat("leaf_hash", F.lit("x"))), roots).filter("included").count() == 0
+    other = proofs.filter("size(proof) > 0").withColumn("proof", F.transform("proof", lambda p: F.struct((~p["left"]).alias("left"), p["hash"].alias("hash"))))
+    assert chain.verify_tree_proofs(other, roots).filter("included").count() == 0
+
+
+# --- filters, percentiles, sources
+
+
+def test_search_counts_without_a_window(spark):
+    df = spark.createDataFrame([("t", k, f"Use {'Postgres' if k % 3 else 'MongoDB'}") for k in range(9)] + [("u", 1, "postgres")], "tenant_id string, id long, title string")
+    found = filters.search_titles(df, "t", "POSTGRES")
+    assert [r["n_found"] for r in found.collect()] == [6] * 6 and filters.search_titles(df, "t", "nothing").count() == 0
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_over_all_events(spark):
+    df = spark.range(100).select((F.col("id") + 1).alias("v"))
+    assert [tuple(r) for r in telemetry.latency_percentiles(df, [], "v").collect()] == [(100, 51, 96, 100)]
+    assert telemetry.latency_percentiles(df.limit(0), [], "v").collect() == []
+
+
+def test_sketches_merge_within_their_bound(spark):
+    """Half-minute sketches, stored and merged to days, give ranks within the stated bound of the exact ones."""
+    rng = random.Random(2)
+    rows = [("ab"[k % 2], 1_700_000_000 + rng.randrange(3 * 86_400), rng.lognormvariate(3, 1)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "kind string, s long, v double").select("kind", F.timestamp_seconds("s").alias("ts"), "v")
+    small = telemetry.latency_sketches(df, "30 seconds", ["kind"], "v")
+    days = telemetry.merged_percentiles(small, "1 day", ["kind"]).collect()
+    assert sum(r["n"] for r in days) == len(rows)
+    for r in days:
+        own = sorted(v for k, s, v in rows if k == r["kind"] and s // 86_400 * 86_400 == int(r["window_start"].timestamp()))
+        for name, p in telemetry.QUANTILES:
+            rank = sum(v <= r[name] for v in own) / len(own)
+            assert abs(rank - p) <= telemetry.SKETCH_ERROR + 1 / len(own), (name, rank)
+
+
+def test_tables_over_jdbc(spark, tmp_path):
+    """The embedded database that Spark ships: written, then read in partitions of a column's range."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(100).select("id", (F.col("id") * 2).alias("v"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"))
+    df.write.jdbc(url, "ledger", properties=driver)
+    got = tables.read_jdbc(spark, url, "ledger", "id", 0, 100, 4, **driver)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r["id"], r["v"], r["name"]) for r in got.toDF("id", "v", "name").collect()) == [(i, 2 * i, f"t{i}") for i in range(100)]
+
+
 # --- snapshots, names, order
 
 
