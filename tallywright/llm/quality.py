@@ -5,13 +5,15 @@ has a shape of its own) are scaled by the log ratio of their counts in the two c
 model over them is fitted by dual coordinate descent. A logistic curve over margins of rows kept out of the fit,
 weighted to the classes' shares among all labelled rows, makes margins into scores.
 
-Fitted on at most SAMPLE labelled rows of each class, those with the smallest hash of their id. Scores read the
+Fitted on at most SAMPLE labelled rows of each class, those with the smallest hash of their id; a row comes to the driver
+as 32 kilobytes at most, however long its text. Scores read the
 text alone. Null texts count as empty: they have no n-gram and get the score of the bias. Without labels every
 score is 0.5; with labels of one class only, 0.99 or 0.01. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,6 +91,35 @@ def indicators(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+class Packed(Sequence):
+    """Rows of places as bytes, unpacked when read: 32-bit numbers, or a bit for each place where that is shorter. So no row takes more than 2**BITS / 8 bytes, however long its text."""
+
+    _BITMAP = (1 << BITS) // 8
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    @classmethod
+    def pack(cls, places: np.ndarray) -> bytes:
+        if 4 * len(places) < cls._BITMAP:
+            return places.astype("<i4").tobytes()
+        bits = np.zeros(1 << BITS, dtype=bool)
+        bits[places] = True
+        return np.packbits(bits).tobytes()
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        row = self.rows[i]
+        if len(row) == self._BITMAP:
+            return np.flatnonzero(np.unpackbits(np.frombuffer(row, dtype=np.uint8)))
+        return np.frombuffer(row, dtype="<i4")
+
+    def take(self, which: np.ndarray) -> Packed:
+        return Packed([self.rows[i] for i in which])
+
+
 @dataclass
 class Model:
     """A weight for each place, a bias, and the curve 1 / (1 + exp(-(slope * margin + shift)))."""
@@ -98,33 +129,34 @@ class Model:
     slope: float
     shift: float
 
-    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
+    def margins(self, rows: Sequence[np.ndarray]) -> np.ndarray:
         return np.array([self.weights[r].sum() / np.sqrt(len(r) or 1) + self.bias for r in rows])
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+    def scores(self, rows: Sequence[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(rows) + self.shift, -30, 30)))
 
 
-def _dual_descent(rows: list[np.ndarray], values: np.ndarray, signs: np.ndarray, costs: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def _dual_descent(rows: Packed, values: np.ndarray, signs: np.ndarray, costs: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the L1-loss support vector machine: one dual variable at a time, in random order."""
     rng = np.random.default_rng(seed)
     weights, bias = np.zeros(len(values)), 0.0
     dual = np.zeros(len(rows))
-    scaled = [values[r] / np.sqrt(len(r) or 1) for r in rows]
-    squares = np.array([(v @ v) + 1.0 for v in scaled])
+    squares = np.array([(values[r] @ values[r]) / (len(r) or 1) + 1.0 for r in rows])
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            slope = signs[i] * (weights[rows[i]] @ scaled[i] + bias) - 1
+            own = rows[i]
+            scaled = values[own] / np.sqrt(len(own) or 1)
+            slope = signs[i] * (weights[own] @ scaled + bias) - 1
             new = min(max(dual[i] - slope / squares[i], 0.0), costs[i])
             if new != dual[i]:
                 change = (new - dual[i]) * signs[i]
-                weights[rows[i]] += change * scaled[i]
+                weights[own] += change * scaled
                 bias += change
                 dual[i] = new
     return weights, bias
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float]) -> Model:
+def fit(rows: Packed, labels: np.ndarray, shares: tuple[float, float]) -> Model:
     """``shares``: how common classes 0 and 1 are among all labelled rows."""
     good = labels == 1
     size = 1 << BITS
@@ -143,10 +175,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float])
     signs = np.where(good, 1.0, -1.0)
     n = np.array([(~good[train]).sum(), good[train].sum()])
     costs = COST * len(train) / 2 / n[good[train].astype(int)]
-    weights, bias = _dual_descent([rows[i] for i in train], ratio, signs[train], costs)
+    weights, bias = _dual_descent(rows.take(train), ratio, signs[train], costs)
     model = Model(weights * ratio, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else train
-    margin, target = model.margins([rows[i] for i in check]), good[check].astype(float)
+    margin, target = model.margins(rows.take(check)), good[check].astype(float)
     weight = np.array(shares)[good[check].astype(int)] / np.bincount(good[check].astype(int), minlength=2)[good[check].astype(int)]
     weight *= len(check) / weight.sum()
     # Smoothed targets keep the curve finite where the classes part cleanly.
@@ -169,9 +201,9 @@ def encoded(text: str | None) -> bytes:
 
 
 def indicator_column(text: str) -> Column:
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def column(texts: pd.Series) -> pd.Series:
-        return pd.Series(indicators([encoded(t) for t in texts]))
+        return pd.Series([Packed.pack(r) for r in indicators([encoded(t) for t in texts])], dtype=object)
 
     return column(F.col(text))
 
@@ -194,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total = sum(shares.values()) or 1
     # Order by a hash, so that the calibration rows are a fair part of either class.
     rows = rows.iloc[np.argsort(mix(rows["doc_id"].to_numpy().astype(np.uint64)), kind="stable")] if len(rows) else rows
-    return fit([np.asarray(r, dtype=np.int64) for r in rows["r"]], rows["quality"].to_numpy(), (shares.get(0, 0) / total, shares.get(1, 0) / total))
+    return fit(Packed([bytes(r) for r in rows["r"]]), rows["quality"].to_numpy(), (shares.get(0, 0) / total, shares.get(1, 0) / total))
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:

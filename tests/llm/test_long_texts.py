@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from tallywright.llm import licenses, pages, pii
+from tallywright.llm import licenses, pages, pii, quality
 
 CASES = {
     "tags": (licenses.scan, lambda n: " AND ".join(["spdx-license-identifier:mit"] * n), 15_000),
@@ -73,3 +73,12 @@ def test_boxes_that_recur_inside_articles_go(spark):
 def test_boxes_beside_articles_do_not_count_inside(spark):
     bodies = [f"<div>Site slogan</div><article><p>Own {c}</p></article>" for c in "abcdefghijkl"] + ["<article><div>Site slogan</div><p>About it</p></article>"]
     assert texts(spark, bodies)[12] == "Site slogan About it"
+
+
+def test_sampled_rows_are_packed():
+    """Rows of any length come back as they were, in at most 32 kilobytes."""
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 100, 8191, 8192, 200_000, 1 << quality.BITS):
+        places = rng.permutation(1 << quality.BITS)[:n]
+        packed = quality.Packed.pack(places)
+        assert len(packed) <= (1 << quality.BITS) // 8 and sorted(quality.Packed([packed])[0].tolist()) == sorted(places.tolist())
