@@ -223,7 +223,7 @@ def pack(docs: DataFrame, path: Callable[[], str]) -> DataFrame:
     pieces = saved(cut(docs, path).withColumn("_class", F.ceil(F.col("length") / step).cast("int")))
     histogram = {r["_class"]: r["n"] for r in pieces.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CLASSES rows
     rows = sum(histogram.values())
-    placed = numbered(pieces, ["_class"], F.xxhash64("doc_id", "start"), ["doc_id", "start", "ids_crc32"], rows, "_rank")
+    placed = numbered(pieces, ["_class"], F.xxhash64("doc_id", "start", "ids_crc32"), ["doc_id", "start", "ids_crc32"], rows, "_rank")
 
     # For each class, runs of its ranks: (first rank, uses a sequence, first sequence id, slot in the combination).
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
