@@ -915,13 +915,15 @@ def a05_latency_percentiles_all(spark, d):
 
 @query(f"SELECT {sql_text('date_trunc(\'day\', ts)')} AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, true AS p50_near, true AS p95_near, true AS p99_near FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def a05_merged_sketches(spark, d):
-    """Days out of half-minute sketches: each percentile's rank among the day's events is within the sketch's error, and one event, of the asked one."""
+    """Days out of half-minute sketches: the ranks that each percentile's value takes among the day's events reach the asked one within the sketch's error and one event."""
     events = table(spark, d, "events").filter("value IS NOT NULL")
     by = ["window_start", "event_type"]
     days = telemetry.merged_percentiles(telemetry.latency_sketches(events, "30 seconds", ["event_type"], "value"), "1 day", ["event_type"])
     joined = telemetry.windowed(events, "1 day").join(days, by)
-    ranks = joined.groupBy(*by).agg(F.max("n").alias("n"), *[F.count_if(F.col("value") <= F.col(name)).alias(name) for name, _ in telemetry.QUANTILES])
-    near = [(F.abs(F.col(name) / F.col("n") - p) <= telemetry.SKETCH_ERROR + 1 / F.col("n")).alias(f"{name}_near") for name, p in telemetry.QUANTILES]
+    counts = [c for name, _ in telemetry.QUANTILES for c in (F.count_if(F.col("value") < F.col(name)).alias(f"{name}_under"), F.count_if(F.col("value") <= F.col(name)).alias(f"{name}_upto"))]
+    ranks = joined.groupBy(*by).agg(F.max("n").alias("n"), *counts)
+    room = telemetry.SKETCH_ERROR + 1 / F.col("n")
+    near = [((F.col(f"{name}_under") / F.col("n") <= p + room) & (F.col(f"{name}_upto") / F.col("n") >= p - room)).alias(f"{name}_near") for name, p in telemetry.QUANTILES]
     return text_of(ranks.select(*by, "n", *near), "window_start")
 
 

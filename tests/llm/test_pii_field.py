@@ -143,3 +143,33 @@ def test_field_without_documents(spark):
     assert pii.all_spans("my SSN is 078-05-1120", field)[1] and pii.all_spans("", field) == ([], [])
     masked = spark.createDataFrame([(None,), ("my SSN is 078-05-1120 x",)], "text string").select(pii.masked_column(field).alias("t"), F.lit(1)).collect()
     assert [r["t"] for r in masked] == [None, "my SSN is <ID> x"]
+
+
+#: Contexts that share no word with the forms the field is trained on, and values in shapes of their own.
+FOREIGN = {
+    "secret": (["bearer", "auth =", "psk:", "login with", "signing hash", "webhook"], ["hT7kQ2mZ9xLw4Rv8", "ghp_A1b2C3d4E5f6G7h8I9j0K1l2", "9f86d081884c7d659a2feaa0c55ad015", "Xy7-Qp93-Lm20-Za81"]),
+    "id": (["licence plate of", "insurance", "NRIC", "citizen", "steuernummer", "DNI"], ["987-65-4321", "S1234567D", "X4821973", "12-3456789"]),
+    "phone": (["hotline", "whatsapp", "contact", "switchboard", "telefono", "helpdesk"], ["212-555-0187", "(415) 555-0132", "020 7946 0018", "617.555.0119"]),
+}
+
+
+def test_foreign_forms_are_measured_against_the_pattern(field):
+    """Recall by kind, and precision over all, on contexts that share no word with the forms trained on; the pattern for named secrets is the floor."""
+    known = {w.lower() for kinds in (pii.CONTEXTS[k][0] for k in pii.CONTEXTS) for c in kinds for w in c.replace(":", " ").split()}
+    rng, words = random.Random(5), "river stone walked over under morning people when green house slowly".split()
+    right, floor, found, total = {}, {}, 0, {}
+    for kind, (contexts, values) in FOREIGN.items():
+        for context, value in product(contexts, values):
+            assert not set(context.lower().replace(":", " ").split()) & known
+            begin = " ".join([*rng.choices(words, k=3), context]) + " "
+            text = begin + value + " " + " ".join(rng.choices(words, k=3))
+            spans = {s for s in pii.all_spans(text, field)[1]}
+            want = (kind, len(begin), len(begin) + len(value))
+            total[kind] = total.get(kind, 0) + 1
+            right[kind] = right.get(kind, 0) + (want in spans)
+            floor[kind] = floor.get(kind, 0) + (want in pii.secret_spans(text))
+            found += len(spans)
+    recall = {k: round(right[k] / total[k], 2) for k in total}
+    precision = sum(right.values()) / max(found, 1)
+    print("recall", recall, "pattern", {k: round(floor[k] / total[k], 2) for k in total}, "precision", round(precision, 2))
+    assert all(right[k] >= floor[k] for k in total) and precision >= 0.5
