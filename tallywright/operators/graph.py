@@ -75,7 +75,7 @@ class Contracted(NamedTuple):
 
 
 def contracted(edges: DataFrame, fixed: DataFrame | None = None) -> Contracted | None:
-    """Contracts edges (src, dst, w), each pair once; nodes of ``fixed`` (node) stay. None if no node can go.
+    """Contracts edges (src, dst, w), each pair once; nodes of ``fixed`` (node) stay. None if no two such nodes follow each other: then rounds would at best be halved.
 
     Each path node points to the next; pointers are doubled until all point to the last node of their path. Those
     that never do are on a ring. A table has a row a node or an edge.
@@ -84,11 +84,11 @@ def contracted(edges: DataFrame, fixed: DataFrame | None = None) -> Contracted |
     ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_i")).filter("_i = 1")
     able = outs.join(ins, "node").select("node", "next", "far")
     able = written(able if fixed is None else able.join(fixed.select("node").distinct(), "node", "left_anti"))
-    n = able.count()
-    if not n:
-        return None
     onward = able.select(F.col("node").alias("next"), F.lit(True).alias("_goes"))
     step = able.join(onward, "next", "left").select("node", F.coalesce("_goes", F.lit(False)).alias("goes"), "next", "far")
+    n = step.filter("goes").count() + 1
+    if n == 1:
+        return None
     # to: the furthest path node known, d: how far it is, ended: whether the path ends there.
     jump = written(step.select("node", F.when(F.col("goes"), F.col("next")).otherwise(F.col("node")).alias("to"), F.when(F.col("goes"), F.col("far")).otherwise(F.lit(0)).cast("long").alias("d"), (~F.col("goes")).alias("ended")))
     ends = jump.filter("ended").select("node").withColumn("_last", F.lit(True))
