@@ -147,7 +147,7 @@ def test_field_without_documents(spark):
 
 #: Contexts that share no word with the forms the field is trained on, and values in shapes of their own.
 FOREIGN = {
-    "secret": (["bearer", "auth =", "psk:", "login with", "signing hash", "webhook"], ["hT7kQ2mZ9xLw4Rv8", "ghp_A1b2C3d4E5f6G7h8I9j0K1l2", "9f86d081884c7d659a2feaa0c55ad015", "Xy7-Qp93-Lm20-Za81"]),
+    "secret": (["bearer", "auth =", "psk:", "unlock via", "signing hash", "webhook"], ["hT7kQ2mZ9xLw4Rv8", "ghp_A1b2C3d4E5f6G7h8I9j0K1l2", "9f86d081884c7d659a2feaa0c55ad015", "Xy7-Qp93-Lm20-Za81"]),
     "id": (["licence plate of", "insurance", "NRIC", "citizen", "steuernummer", "DNI"], ["987-65-4321", "S1234567D", "X4821973", "12-3456789"]),
     "phone": (["hotline", "whatsapp", "contact", "switchboard", "telefono", "helpdesk"], ["212-555-0187", "(415) 555-0132", "020 7946 0018", "617.555.0119"]),
 }
