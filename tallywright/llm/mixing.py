@@ -1,12 +1,14 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
-The words of a source's documents stand in one stream (in an order by hash of the document id), cut into as few
-blocks of at most BLOCK words as it takes, their lengths equal but for one word, so that slots times a source's mean
-block are its words to within one word a slot. Output shards draw the sources of their slots at random, the counts of
+The words of a source's documents stand in one stream (in an order by hash of the document id), cut into blocks of at
+most BLOCK words, their lengths equal but for one word, so that slots times a source's mean block are its words to
+within one word a slot. Blocks fill a grid of rows and columns, near a square: as few as that takes, which is at most
+one row more than the words need. Output shards draw the sources of their slots at random, the counts of
 a shard being multinomial; the shards come in waves, and each wave draws in proportion to what the sources still lack
-of their targets. Slots of a source that has all it wants are drawn again, in shards of their own. A source's slots
-are numbered, and a pseudorandom permutation of its blocks, one for each pass over them, tells which block a slot
-holds; slots and blocks are joined by that index.
+of their targets. Slots of a source that has all it wants are drawn again, in shards of their own, until a thousandth
+or less of all slots is left, or REDRAWS times. A source's slots are numbered, and a pseudorandom permutation of its
+blocks, one for each pass over them, tells which block a slot holds. It is worked out for each slot alone, by rounds on
+the place's row and column in the grid; slots and blocks are then joined by the block's index.
 
 No block is drawn more than twice, so no document exceeds twice its size. Every random number is a hash of a
 place and the seed: reruns agree. Null texts and texts without words have size 0, and nothing is taken of them.
@@ -34,6 +36,8 @@ SHARD_SLOTS = 256
 WAVES = 4
 #: So often at most what was drawn in vain is drawn again; it ends earlier with a thousandth or less left.
 REDRAWS = 10
+#: Rounds of the permutation: each shifts the row by a hash of the column, or the column by a hash of the row.
+ROUNDS = 6
 #: Cells of the table that maps random numbers to sources.
 CELLS = 1024
 
@@ -81,11 +85,27 @@ def _cells(need: DataFrame) -> DataFrame:
     return spans.select("*", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
 
 
+def permuted(index: Column, rows: Column, columns: Column, key: Column) -> Column:
+    """Where ``index`` goes in a pseudorandom permutation of 0 .. rows * columns - 1, one for each ``key`` (integer Columns).
+
+    Each round can be undone, as what it hashes it leaves unchanged: so no two numbers go to one place. A grid of one
+    row has rotations alone.
+    """
+    column = F.pmod(index, columns)
+    row = F.floor((index - column) / columns)
+    for r in range(0, ROUNDS, 2):
+        row = F.pmod(row + F.pmod(F.xxhash64(key, F.lit(r), column), rows), rows)
+        column = F.pmod(column + F.pmod(F.xxhash64(key, F.lit(r + 1), row), columns), columns)
+    return row * columns + column
+
+
 def wanted(targets: DataFrame) -> DataFrame:
-    """targets with n_blocks, want (slots that give the target at the source's mean words a block) and room (the most slots it may have)."""
-    n_blocks = F.ceil(F.col("source_size") / BLOCK)
+    """targets with rows, columns, n_blocks (their product), want (slots that give the target at the source's mean words a block) and room (the most slots it may have)."""
+    least = F.ceil(F.col("source_size") / BLOCK)
+    grid = targets.withColumn("rows", F.greatest(F.lit(1), F.floor(F.sqrt(least)))).withColumn("columns", F.ceil(least / F.col("rows")))
+    n_blocks = F.col("rows") * F.col("columns")
     want = F.when(F.col("source_size") > 0, F.col("target") * n_blocks / F.col("source_size")).otherwise(0.0)
-    out = targets.withColumn("n_blocks", n_blocks).withColumn("want", want)
+    out = grid.withColumn("n_blocks", n_blocks).withColumn("want", want)
     return out.withColumn("room", F.least(F.ceil("want"), PASSES * F.col("n_blocks")))
 
 
@@ -143,21 +163,17 @@ def mix(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     first, last = block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1)
     pieces = spans.select("_source", "start", "size", "least", "long", F.explode(F.sequence(first, last)).alias("block"))
     words = F.least(F.col("start") + F.col("size"), begin_of(F.col("block") + 1)) - F.greatest(F.col("start"), begin_of(F.col("block")))
-    pieces = pieces.select("_source", "start", "block", words.alias("words"), (F.col("start") <= begin_of(F.col("block"))).alias("heads"))
+    pieces = pieces.select("_source", "start", "block", words.alias("words"))
 
     # Slots of a source, numbered; passes over its blocks have permutations of their own.
     slots = draw(spark, targets, n_slots, seed)
     slots = numbered(slots, ["_source"], F.xxhash64("shard", "slot"), ["shard", "slot"], n_slots, "place")
-    counts = targets.select("_source", "n_blocks", "room")
+    counts = targets.select("_source", "rows", "columns", "n_blocks", "room")
     slots = small_join(slots, counts, ["_source"], rows=n_sources).filter(F.col("place") < F.col("room"))
-    slots = slots.select("_source", F.floor(F.col("place") / F.col("n_blocks")).alias("turn"), F.pmod("place", F.col("n_blocks")).alias("index"))
-
-    # The permutation of a pass: a block's rank among its source's blocks by hash.
-    blocks = pieces.filter("heads").select("_source", "block")  # a block's first word is in one document
-    turns = blocks.select("_source", "block", F.explode(F.array(*[F.lit(t).cast("long") for t in range(PASSES)])).alias("turn"))
-    by_hash = F.xxhash64("_source", "block", "turn", F.lit(seed))
-    indexed = numbered(turns, ["_source", "turn"], by_hash, [by_hash, "block"], n_slots * PASSES, "index")
-    taken = slots.join(indexed, ["_source", "turn", "index"]).groupBy("_source", "block").agg(F.count(F.lit(1)).alias("times"))
+    turn, index = F.floor(F.col("place") / F.col("n_blocks")), F.pmod("place", F.col("n_blocks"))
+    slots = slots.select("_source", "rows", "columns", index.alias("index"), F.xxhash64("_source", turn, F.lit(seed)).alias("key"))
+    slots = slots.select("_source", permuted(F.col("index"), F.col("rows"), F.col("columns"), F.col("key")).alias("block"))
+    taken = slots.groupBy("_source", "block").agg(F.count(F.lit(1)).alias("times"))
 
     sums = pieces.join(taken, ["_source", "block"]).groupBy("_source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = at.join(sums, ["_source", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
