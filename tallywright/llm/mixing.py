@@ -37,7 +37,7 @@ WAVES = 4
 #: So often at most what was drawn in vain is drawn again; it ends earlier with a thousandth or less left.
 REDRAWS = 10
 #: Rounds of the permutation: each shifts the row by a hash of the column, or the column by a hash of the row.
-ROUNDS = 6
+ROUNDS = 4
 #: Cells of the table that maps random numbers to sources.
 CELLS = 1024
 
@@ -85,18 +85,19 @@ def _cells(need: DataFrame) -> DataFrame:
     return spans.select("*", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
 
 
-def permuted(index: Column, rows: Column, columns: Column, key: Column) -> Column:
-    """Where ``index`` goes in a pseudorandom permutation of 0 .. rows * columns - 1, one for each ``key`` (integer Columns).
+def permuted(df: DataFrame) -> DataFrame:
+    """Adds ``to``: where ``index`` goes in a pseudorandom permutation of 0 .. rows * columns - 1, one for each ``key`` (columns of ``df``, long).
 
     Each round can be undone, as what it hashes it leaves unchanged: so no two numbers go to one place. A grid of one
-    row has rotations alone.
+    row has rotations alone. Rounds are projections of their own: in one expression each would hold the one before
+    several times.
     """
-    column = F.pmod(index, columns)
-    row = F.floor((index - column) / columns)
-    for r in range(0, ROUNDS, 2):
-        row = F.pmod(row + F.pmod(F.xxhash64(key, F.lit(r), column), rows), rows)
-        column = F.pmod(column + F.pmod(F.xxhash64(key, F.lit(r + 1), row), columns), columns)
-    return row * columns + column
+    out = df.withColumn("_column", F.pmod("index", "columns")).withColumn("_row", F.floor((F.col("index") - F.col("_column")) / F.col("columns")))
+    for r in range(ROUNDS):
+        moved, fixed, size = ("_row", "_column", "rows") if r % 2 == 0 else ("_column", "_row", "columns")
+        shift = F.pmod(F.xxhash64("key", F.lit(r), fixed), F.col(size))
+        out = out.withColumn(moved, F.pmod(F.col(moved) + shift, F.col(size)))
+    return out.withColumn("to", F.col("_row") * F.col("columns") + F.col("_column")).drop("_row", "_column")
 
 
 def wanted(targets: DataFrame) -> DataFrame:
@@ -172,8 +173,7 @@ def mix(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     slots = small_join(slots, counts, ["_source"], rows=n_sources).filter(F.col("place") < F.col("room"))
     turn, index = F.floor(F.col("place") / F.col("n_blocks")), F.pmod("place", F.col("n_blocks"))
     slots = slots.select("_source", "rows", "columns", index.alias("index"), F.xxhash64("_source", turn, F.lit(seed)).alias("key"))
-    slots = slots.select("_source", permuted(F.col("index"), F.col("rows"), F.col("columns"), F.col("key")).alias("block"))
-    taken = slots.groupBy("_source", "block").agg(F.count(F.lit(1)).alias("times"))
+    taken = permuted(slots).withColumnRenamed("to", "block").groupBy("_source", "block").agg(F.count(F.lit(1)).alias("times"))
 
     sums = pieces.join(taken, ["_source", "block"]).groupBy("_source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = at.join(sums, ["_source", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

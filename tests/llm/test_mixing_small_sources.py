@@ -29,9 +29,8 @@ def test_permutations_are_whole_and_vary(spark):
     """Each grid's numbers go to all its places, otherwise for each key; over many keys every place is as likely."""
     grids = [(1, 1), (1, 2), (1, 3), (2, 2), (2, 4), (3, 4), (7, 7), (30, 31), (100, 103)]
     cells = spark.createDataFrame([(r, c, k, i) for r, c in grids for k in range(4) for i in range(r * c)], "rows long, columns long, key long, index long")
-    to = mixing.permuted(*(F.col(n) for n in ("index", "rows", "columns", "key")))
     got = {}
-    for r in cells.withColumn("to", to).collect():
+    for r in mixing.permuted(cells).collect():
         got.setdefault((r["rows"], r["columns"], r["key"]), {})[r["index"]] = r["to"]
     for (rows, columns, _), places in got.items():
         assert sorted(places.values()) == list(range(rows * columns))
@@ -41,7 +40,7 @@ def test_permutations_are_whole_and_vary(spark):
     # Neighbours do not stay neighbours.
     assert sum(abs(got[100, 103, 0][i] - got[100, 103, 0][i + 1]) == 1 for i in range(10299)) < 15
     keys = spark.range(12000).select((F.col("id") * 7919).alias("key"), F.lit(5).cast("long").alias("index"), F.lit(3).cast("long").alias("rows"), F.lit(4).cast("long").alias("columns"))
-    counts = {r["to"]: r["count"] for r in keys.withColumn("to", to).groupBy("to").count().collect()}
+    counts = {r["to"]: r["count"] for r in mixing.permuted(keys).groupBy("to").count().collect()}
     assert sorted(counts) == list(range(12)) and all(850 < n < 1150 for n in counts.values())
 
 
