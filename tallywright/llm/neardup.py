@@ -21,8 +21,8 @@ more similar one with less; at 0.8 the chance is 3 in 10**5. Linked are pairs wi
 union, 85 unless another number is given.
 
 Nodes are sets, not ids: rows of one id with different texts are linked each by its own text, and rows with the same
-set are one node, whatever their ids. A node is named by 64 bits of its set; of 10**8 different sets two share a name
-with a chance of 3 in 10**4. Null texts and texts without words have no shingles, are linked with nothing and stand for
+set are one node, whatever their ids. A node is named by 64 bits of its set. Sets are told apart by 128 bits and their
+size; where the names of two meet, as those of some three pairs in 10**10 sets do, all but one are named anew. Null texts and texts without words have no shingles, are linked with nothing and stand for
 themselves. Rows with a null id are kept out of the linking: component_id is null and ``kept`` false. Empty tables give
 empty results.
 """
@@ -48,6 +48,8 @@ BINS = ROWS * BANDS
 BLOCK = 512
 #: Rounds of stars in step 5.
 HUBS = 3
+#: Bits of a node's first name.
+NAME_BITS = 64
 
 _SEARCH = 4096
 
@@ -104,35 +106,62 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
 
 def sketched(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_key (names the set of shingles), node (the same in 64 bits), bands (null where only equal sets can be linked)."""
+    bits = NAME_BITS
 
     def work(part: pa.Table) -> dict[str, list]:
         sets = list(shingle_sets(_encoded(part["text"].to_pylist())))
-        sums = [(len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))) for s in sets]
+        sums = _sums(sets)
         large = [i for i, s in enumerate(sets) if len(s) >= least_size(percent)]
         found: list = [None] * len(sets)
         for a in range(0, len(large), 512):
             own = large[a : a + 512]
             for i, row in zip(own, bands([sets[i] for i in own]), strict=True):
                 found[i] = row
-        return {"doc_id": part["doc_id"].to_pylist(), "n_shingles": [len(s) for s in sets], "set_key": [f"{n}-{x:x}-{y:x}" for n, x, y in sums], "node": _nodes(sums), "bands": found}
+        return {"doc_id": part["doc_id"].to_pylist(), "n_shingles": [len(s) for s in sets], "set_key": _keys(sums), "node": _nodes(sums, bits), "bands": found}
 
     return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, n_shingles long, set_key string, node long, bands array<long>", work)
 
 
-def _nodes(sums: list[tuple[int, int, int]]) -> np.ndarray:
+def _sums(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    return [(len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))) for s in sets]
+
+
+def _keys(sums: list[tuple[int, int, int]]) -> list[str]:
+    return [f"{n}-{x:x}-{y:x}" for n, x, y in sums]
+
+
+def _nodes(sums: list[tuple[int, int, int]], bits: int) -> np.ndarray:
     n, x, y = (np.array([s[k] for s in sums], dtype=np.uint64) for k in range(3))
-    return mix(mix(mix(n + np.uint64(0x51)) ^ x) ^ y).astype(np.int64)
+    return (mix(mix(mix(n + np.uint64(0x51)) ^ x) ^ y) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """id (the set's node), shingles (sorted, distinct) of documents with a text."""
+    """set_key, node, shingles (sorted, distinct) of documents with a text."""
+    bits = NAME_BITS
 
     def work(part: pa.Table) -> dict[str, list]:
         sets = list(shingle_sets(_encoded(part["text"].to_pylist())))
-        ids = _nodes([(len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))) for s in sets])
-        return {"id": ids, "shingles": [s.astype(np.int64) for s in sets]}
+        sums = _sums(sets)
+        return {"set_key": _keys(sums), "node": _nodes(sums, bits), "shingles": [s.astype(np.int64) for s in sets]}
+
+    return map_texts(docs.select(F.col("text").cast("string")), "set_key string, node long, shingles array<long>", work)
+
+
+def _met(classes: DataFrame) -> DataFrame | None:
+    """set_key, _node: new names for the sets (set_key, node, one row each) whose name another set with a smaller key has; None without any."""
+    shared = saved(classes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node"))
+    if shared.isEmpty():
+        return None
+    met = small_join(classes.select("set_key", "node"), shared, ["node"])
+    first = met.groupBy("node").agg(F.min("set_key").alias("_first"))
+    return saved(met.join(first, "node").filter("set_key <> _first").select("set_key", F.xxhash64("set_key", "node").alias("_node")))
+
 
-    return map_texts(docs.select(F.col("text").cast("string")), "id long, shingles array<long>", work)
+def _named(rows: DataFrame, met: DataFrame | None) -> DataFrame:
+    """Rows (set_key, node, ...) under the nodes' final names."""
+    if met is None:
+        return rows
+    return small_join(rows, met, ["set_key"], "left").withColumn("node", F.coalesce("_node", "node")).drop("_node")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,8 +313,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = saved(sketched(docs, percent))
     sketches = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = saved(sketches.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node")))
+    met = _met(classes)
+    classes = _named(classes, met)
     # Bands are the set's own: any row of a node has the same.
-    heads = saved(sketches.filter("bands IS NOT NULL").select(F.col("node").alias("id"), "bands").dropDuplicates(["id"]))
+    heads = saved(_named(sketches.filter("bands IS NOT NULL"), met).select(F.col("node").alias("id"), "bands").dropDuplicates(["id"]))
 
     keyed = heads.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
@@ -293,7 +324,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     n = candidates.count()
     wanted = small_join(classes, candidates.select(F.col("id").alias("node")), ["node"], "left_semi", rows=n).select(F.col("rep").alias("doc_id")).distinct()
     texts = small_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi", rows=n)
-    sets = saved(shingled(texts).dropDuplicates(["id"]).join(candidates, "id", "left_semi"))
+    sets = _named(shingled(texts), met).select(F.col("node").alias("id"), "shingles")
+    sets = saved(sets.dropDuplicates(["id"]).join(candidates, "id", "left_semi"))
     roots = _linked(heads, sets, percent)
 
     # Classes whose nodes are linked share a component; its id is the smallest of its documents.

@@ -63,3 +63,15 @@ def test_chains_and_large_components_by_blocks(spark, monkeypatch):
         rows.append((rng.randrange(40), " ".join(words)))
     rows += [(100 + k, varied(words, 1, rng)) for k in range(20)]
     assert got(spark, rows) == sorted(rows_components(rows))
+
+
+def test_sets_whose_names_meet_are_named_anew(spark, monkeypatch):
+    """With names of 3 bits nearly all sets share theirs: no set is lost, and none is linked for its name."""
+    monkeypatch.setattr(neardup, "NAME_BITS", 3)
+    rng = random.Random(8)
+    rows = []
+    for f in range(12):
+        base = [f"f{f}w{k}" for k in range(180)]
+        rows += [(100 * f + k, varied(base, 2, rng)) for k in range(4)] + [(100 * f + 50 + k, " ".join(base)) for k in range(2)]
+    rows += [(5000 + k, f"short text {k % 9}") for k in range(20)] + [(6000 + k, f"one of some more words number {k}") for k in range(20)]
+    assert got(spark, rows) == sorted(rows_components(rows))
