@@ -280,6 +280,22 @@ def _within_groups(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return loaded.select("id", "grp", "root", "lone", "i", "j", "side", "shingles").groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _between(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a < b of different components that edges (a, b) of nodes connect, once each; nodes without a root (id, root) are their own."""
+    ends = [roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in "ab"]
+    a, b = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+    both = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(a != b)
+    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """roots (id, root) after the components (a, b) of ``pairs`` became one: only components are gone through, not their links again."""
+    further = components(pairs).select(F.col("id").alias("root"), F.col("root").alias("_to"))
+    moved = roots.join(further, "root", "left").select("id", F.coalesce("_to", "root").alias("root"))
+    alone = further.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("id"), F.col("_to").alias("root"))
+    return written(moved.unionByName(alone))
+
+
 def _linked(heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id, root of the nodes that are linked with others. heads: id, bands; sets: id, shingles of the candidates."""
     single = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
@@ -289,23 +305,26 @@ def _linked(heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own_sets = saved(sets.join(able.select("id"), "id", "left_semi"))
 
     edges = saved(_buckets(members))
-    links = saved(_confirmed(edges, own_sets, percent))
-    roots = components(links)
-    state = components(edges).select("id", F.col("root").alias("grp")).join(able, "id").join(roots, "id", "left").select("id", "grp", "n", "lone", F.coalesce("root", "id").alias("root"))
-    state, done = saved(_open(saved(state))), None
+    roots = components(saved(_confirmed(edges, own_sets, percent)))
+    # Candidate groups that hold several components are connected by what is left between those.
+    left = saved(_between(edges, roots))
+    if left.isEmpty():
+        return roots
+    groups = components(left).select(F.col("id").alias("root"), F.col("root").alias("grp"))
+    state = able.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(groups, "root")
+    state, done = saved(state.select("id", "grp", "n", "lone", "root")), None
     for _ in range(HUBS):
         if state.isEmpty():
             return roots
         more, done = _hub_links(state, own_sets, percent, done)
         if more.isEmpty():
             continue
-        links = saved(links.unionByName(more))
-        roots = components(links)
+        roots = _merged(roots, _between(more, roots))
         state = saved(_open(saved(state.drop("root").join(roots, "id", "left").select("id", "grp", "n", "lone", F.coalesce("root", "id").alias("root")))))
     if state.isEmpty():
         return roots
     more = saved(_within_groups(state, own_sets, percent))
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    return roots if more.isEmpty() else _merged(roots, _between(more, roots))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

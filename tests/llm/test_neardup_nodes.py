@@ -75,3 +75,24 @@ def test_sets_whose_names_meet_are_named_anew(spark, monkeypatch):
         rows += [(100 * f + k, varied(base, 2, rng)) for k in range(4)] + [(100 * f + 50 + k, " ".join(base)) for k in range(2)]
     rows += [(5000 + k, f"short text {k % 9}") for k in range(20)] + [(6000 + k, f"one of some more words number {k}") for k in range(20)]
     assert got(spark, rows) == sorted(rows_components(rows))
+
+
+def test_found_components_are_merged_without_their_links(spark, monkeypatch):
+    """Later rounds go through components alone, and edges grow with the group, not with its square."""
+    given, found = [], neardup.components
+
+    def counted(edges):
+        given.append(edges.count())
+        return found(edges)
+
+    monkeypatch.setattr(neardup, "components", counted)
+    totals = []
+    for n in (60, 120):
+        rng = random.Random(5)
+        base = [f"w{k}" for k in range(200)]
+        rows = [(k, varied(base, 2, rng)) for k in range(n)] + [(n, " ".join(base))]
+        given.clear()
+        assert got(spark, rows) == sorted(rows_components(rows))
+        assert len(given) > 1 and max(given[1:]) < given[0]
+        totals.append(sum(given))
+    assert totals[1] < 3 * totals[0]
