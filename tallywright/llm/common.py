@@ -136,13 +136,13 @@ def release() -> None:
         trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.Table]:
-    """Arrow batches cut so that each part has about CHUNK_CHARS bytes of text; a longer text is alone."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa.Table]:
+    """Arrow batches cut so that each part has about ``chars`` bytes of text; a longer text is alone."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist() if batch.num_rows else []
         begin = total = 0
         for i, n in enumerate(sizes):
-            if total and total + n > CHUNK_CHARS:
+            if total and total + n > chars:
                 yield pa.Table.from_batches([batch.slice(begin, i - begin)])
                 begin, total = i, 0
             total += n
@@ -150,7 +150,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield pa.Table.from_batches([batch.slice(begin)])
 
 
-def map_texts(df: DataFrame, schema: str, work: Callable[[pa.Table], dict[str, list]], text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, schema: str, work: Callable[[pa.Table], dict[str, list]], text: str = "text", chars: int = CHUNK_CHARS) -> DataFrame:
     """``work`` turns a part of the rows into columns of ``schema``; it runs where the rows are, without a shuffle."""
     small_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -159,7 +159,7 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[pa.Table], dict[str, l
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, chars):
             columns = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
         release()

@@ -13,14 +13,15 @@ Empty tables give empty results.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable
 from functools import cache
 from itertools import combinations_with_replacement
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,19 @@ CLASSES = 128
 #: Rests in one combination at most; the greedy rest may take more.
 DEPTH = 3
 #: Distinct space-led words of a generation; a worker remembers the ids of two (about 200 bytes a word).
-MEMORY = 300_000
+MEMORY = 400_000
+#: Distinct pieces without a blank (line ends, marks, words after them) that a worker remembers.
+TAILS = 200_000
+#: Characters that are encoded at once: the more, the fewer times a word is looked up.
+CHUNK = 4_000_000
 
 # White space at which the tokenizer's own splitting is not a plain "new piece before a lone blank".
 _ODD = ("  ", "\n ", " \n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _ODD_WIDE = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# The pre-tokenizer's pieces of words without blanks, of ASCII and Latin letters, that start with no apostrophe.
+_LATIN = "À-ÖØ-öø-ſ"
+_PLAIN = re.compile(f"(?!')[\\x00-\\x7f{_LATIN}]+")
+_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)|[A-Za-z{_LATIN}]+|[0-9]+|[^\\sA-Za-z0-9{_LATIN}]+|\\s+(?!\\S)|\\s+")
 
 
 def _odd(text: str) -> bool:
@@ -51,8 +60,8 @@ class Tokenizer:
     """Ids of whole texts by a byte-level BPE file whose pre-tokenizer starts a piece at every lone blank.
 
     Because of that, a text is its first word and its blank-led words one after another, and the ids of each
-    blank-led word are worked out once. Texts with other white space are encoded whole. All ids come from the
-    ``tokenizers`` library.
+    blank-led word are worked out once. A new word is put together from its pieces (letters, digits, marks), of which
+    far fewer are new. Texts with other white space are encoded whole. All ids come from the ``tokenizers`` library.
     """
 
     def __init__(self, path: str):
@@ -63,50 +72,86 @@ class Tokenizer:
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         n = self.library.get_vocab_size()
         self.leads = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
+        self.line = np.arange(n) == self.library.token_to_id("Ċ")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes many blank-led words in a few texts; each word's ids begin where a token begins with the blank."""
-        parts = [words[k : k + 2000] for k in range(0, len(words), 2000)]
-        for some, coded in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+    def coded(self, some: list[str], mark: str, marks: np.ndarray) -> dict[str, bytes]:
+        """Ids of many pieces, encoded in a few texts with ``mark`` before each; they begin at the tokens that ``marks`` tells."""
+        known: dict[str, bytes] = {}
+        parts = [some[k : k + 2000] for k in range(0, len(some), 2000)]
+        skip = 0 if mark == " " else 4  # a blank is part of the piece's first token, a line end is a token of its own
+        for part, coded in zip(parts, self.library.encode_batch_fast([mark + mark.join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype="<u4")
-            cuts = np.append(np.flatnonzero(self.leads[ids]), len(ids)) * 4
-            if len(cuts) != len(some) + 1 or cuts[0]:  # a word that does not split so: one by one
-                self.known.update((w, self.whole(" " + w)) for w in some)
+            cuts = np.append(np.flatnonzero(marks[ids]), len(ids)) * 4
+            if len(cuts) != len(part) + 1 or cuts[0]:  # a piece that does not split so: one by one
+                known.update((w, self.whole(" " + w if mark == " " else w)) for w in part)
                 continue
             raw, ends = ids.tobytes(), cuts.tolist()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:])), strict=False))
+            known.update(zip(part, map(raw.__getitem__, map(slice, (e + skip for e in ends), ends[1:])), strict=False))
+        return known
+
+    def recalled(self, words: list[str]) -> list[str]:
+        """The words that the generation before does not know; those that it knows are carried over."""
+        found = list(map(self.before.get, words))
+        self.known.update([(w, ids) for w, ids in zip(words, found, strict=True) if ids is not None])
+        return [w for w, ids in zip(words, found, strict=True) if ids is None]
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers new blank-led words: whole where they are one piece or no plain ones, else put together from pieces."""
+        words = self.recalled(words)
+        several = [w for w in words if not w.isalpha() and _PLAIN.fullmatch(w)]
+        pieces = list(map(_PIECES.findall, several))
+        heads = set(words).difference(several)
+        heads.update([p[0] for p in pieces])
+        self.known.update(self.coded(self.recalled([w for w in heads if w not in self.known]), " ", self.leads))
+        if len(self.tails) > TAILS:
+            self.tails = {}
+        tails = {t for p in pieces for t in p[1:]}.difference(self.tails)
+        spaced = [t for t in tails if t.isspace()]
+        self.tails.update(zip(spaced, map(self.whole, spaced), strict=True))
+        self.tails.update(self.coded(list(tails.difference(spaced)), "\n", self.line))
+        known, tail = self.known, self.tails.__getitem__
+        known.update([(w, b"".join((known[p[0]], *map(tail, p[1:])))) for w, p in zip(several, pieces, strict=True) if len(p) > 1])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
-        parts = [None if not t or _odd(t) else t.split(" ") for t in texts]
-        firsts = [p[0] for p in parts if p]
-        begins = iter(self.library.encode_batch_fast(firsts, add_special_tokens=False)) if firsts else iter(())
-        new: set[str] = set()
-        for p in parts:
-            if p:
-                del p[0]
-                new.update(p)
-        if len(self.known) > MEMORY:  # words that come again are carried over from the generation before
+        out = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if t and _odd(t):
+                out[i] = self.whole(t)
+            elif t:
+                plain.append(i)
+        if not plain:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], type=pa.large_string()), " ")
+        ends = split.offsets.to_numpy()
+        words = split.flatten()
+        begins = self.library.encode_batch_fast(words.take(pa.array(ends[:-1])).to_pylist(), add_special_tokens=False)
+        led = np.ones(len(words), dtype=bool)
+        led[ends[:-1]] = False
+        found = words.filter(pa.array(led)).dictionary_encode()
+        every = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > MEMORY:
             self.known, self.before = {}, self.known
-        missing = new - self.known.keys()
-        again = missing & self.before.keys()
-        if again:
-            self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
-            missing -= again
+        coded = list(map(self.known.get, every))
+        missing = [w for w, ids in zip(every, coded, strict=True) if ids is None]
         if missing:
-            self.learn(list(missing))
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(self.whole(t) if t else b"")
-                continue
-            begin = np.array(next(begins).ids, dtype="<u4").tobytes()
-            out.append(begin + b"".join(itemgetter(*p)(self.known)) if len(p) > 1 else begin + (self.known[p[0]] if p else b""))
+            self.learn(missing)
+            coded = [self.known[w] if ids is None else ids for w, ids in zip(every, coded, strict=True)]
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        ids, first = np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes
+        which = found.indices.to_numpy()
+        after = np.cumsum(sizes[which])
+        flat = ids[np.repeat(first[which] - (after - sizes[which]), sizes[which]) + np.arange(after[-1] if len(after) else 0)]
+        cuts = np.append(0, after)[ends - np.arange(len(ends))]  # a text's first word is not among the blank-led ones
+        for i, begin, a, z in zip(plain, begins, cuts, cuts[1:], strict=False):
+            out[i] = np.array(begin.ids, dtype="<u4").tobytes() + flat[a:z].tobytes()
         return out
 
 
@@ -130,7 +175,7 @@ def cut(docs: DataFrame, path: Callable[[], str]) -> DataFrame:
                     out[name].append(value)
         return out
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), PIECES, work)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), PIECES, work, chars=CHUNK)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
