@@ -33,7 +33,7 @@ END_ID = 1
 CLASSES = 128
 #: Rests in one combination at most; the greedy rest may take more.
 DEPTH = 3
-#: Distinct space-led words of a generation; a worker remembers the ids of two (about 200 bytes a word).
+#: Distinct space-led words that a worker remembers; beyond that the half of them that was used least goes.
 MEMORY = 400_000
 #: Distinct pieces without a blank (line ends, marks, words after them) that a worker remembers.
 TAILS = 200_000
@@ -56,6 +56,56 @@ def _odd(text: str) -> bool:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class Words:
+    """Remembered words and their ids, packed in arrays: some 40 bytes a word, where a dict of strings takes 200."""
+
+    def __init__(self):
+        self.names = pa.array([], type=pa.large_string())
+        self.ids = np.empty(0, dtype="<u4")
+        self.ends = np.zeros(1, dtype=np.int64)
+        #: In how many chunks each was found, older ones counting less.
+        self.uses = np.empty(0, dtype=np.int32)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the words are, -1 for those that are not remembered."""
+        return pc.index_in(words, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def recalled(self, words: list[str]) -> dict[str, bytes]:
+        """Those of the words that are remembered."""
+        places = self.places(pa.array(words, type=pa.large_string()))
+        first, last = self.ends[places].tolist(), self.ends[places + 1].tolist()
+        return {w: self.ids[a:z].tobytes() for w, p, a, z in zip(words, places.tolist(), first, last, strict=True) if p >= 0}
+
+    def add(self, words: list[str], coded: dict[str, bytes]) -> np.ndarray:
+        """Remembers all that ``coded`` has, and returns the places of ``words``, which are new."""
+        names = list(dict.fromkeys([*words, *coded]))
+        raw = list(map(coded.__getitem__, names))
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        begin = len(self.uses)
+        self.names = pa.concat_arrays([self.names, pa.array(names, type=pa.large_string())])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), dtype="<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(names), dtype=np.int32)])
+        return np.arange(begin, begin + len(words))
+
+    def taken(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` each begins, and how many it has; they count as used once more."""
+        self.uses[places] += 1
+        return self.ends[places], self.ends[places + 1] - self.ends[places]
+
+    def forget(self, most: int) -> None:
+        """Where there are more than ``most``, keeps the half of ``most`` that was used most."""
+        if len(self.uses) <= most:
+            return
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: most // 2])
+        first, sizes = self.ends[keep], self.ends[keep + 1] - self.ends[keep]
+        after = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(first - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)]
+        self.ends = np.append(0, after)
+        self.names = self.names.take(pa.array(keep))
+        self.uses = self.uses[keep] // 2
+
+
 class Tokenizer:
     """Ids of whole texts by a byte-level BPE file whose pre-tokenizer starts a piece at every lone blank.
 
@@ -70,8 +120,7 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.words = Words()
         self.tails: dict[str, bytes] = {}
         n = self.library.get_vocab_size()
         self.leads = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
@@ -85,7 +134,8 @@ class Tokenizer:
         known: dict[str, bytes] = {}
         parts = [some[k : k + 2000] for k in range(0, len(some), 2000)]
         skip = 0 if mark == " " else 4  # a blank is part of the piece's first token, a line end is a token of its own
-        for part, coded in zip(parts, self.library.encode_batch_fast([mark + mark.join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part in parts:
+            coded = self.library.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)[0]
             ids = np.array(coded.ids, dtype="<u4")
             cuts = np.append(np.flatnonzero(marks[ids]), len(ids)) * 4
             if len(cuts) != len(part) + 1 or cuts[0]:  # a piece that does not split so: one by one
@@ -95,28 +145,24 @@ class Tokenizer:
             known.update(zip(part, map(raw.__getitem__, map(slice, (e + skip for e in ends), ends[1:])), strict=False))
         return known
 
-    def recalled(self, words: list[str]) -> list[str]:
-        """The words that the generation before does not know; those that it knows are carried over."""
-        found = list(map(self.before.get, words))
-        self.known.update([(w, ids) for w, ids in zip(words, found, strict=True) if ids is not None])
-        return [w for w, ids in zip(words, found, strict=True) if ids is None]
-
-    def learn(self, words: list[str]) -> None:
-        """Remembers new blank-led words: whole where they are one piece or no plain ones, else put together from pieces."""
-        words = self.recalled(words)
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered, and of first pieces that were not either: whole where a word is one piece or no plain ones, else put together from pieces."""
         several = [w for w in words if not w.isalpha() and _PLAIN.fullmatch(w)]
         pieces = list(map(_PIECES.findall, several))
         heads = set(words).difference(several)
+        known = self.words.recalled(list({p[0] for p in pieces}.difference(heads)))
         heads.update([p[0] for p in pieces])
-        self.known.update(self.coded(self.recalled([w for w in heads if w not in self.known]), " ", self.leads))
+        learned = self.coded(list(heads.difference(known)), " ", self.leads)
+        known.update(learned)
         if len(self.tails) > TAILS:
             self.tails = {}
         tails = {t for p in pieces for t in p[1:]}.difference(self.tails)
         spaced = [t for t in tails if t.isspace()]
         self.tails.update(zip(spaced, map(self.whole, spaced), strict=True))
         self.tails.update(self.coded(list(tails.difference(spaced)), "\n", self.line))
-        known, tail = self.known, self.tails.__getitem__
-        known.update([(w, b"".join((known[p[0]], *map(tail, p[1:])))) for w, p in zip(several, pieces, strict=True) if len(p) > 1])
+        tail = self.tails.__getitem__
+        learned.update([(w, b"".join((known[p[0]], *map(tail, p[1:])))) for w, p in zip(several, pieces, strict=True) if len(p) > 1])
+        return learned
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
@@ -136,16 +182,15 @@ class Tokenizer:
         led = np.ones(len(words), dtype=bool)
         led[ends[:-1]] = False
         found = words.filter(pa.array(led)).dictionary_encode()
-        every = found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > MEMORY:
-            self.known, self.before = {}, self.known
-        coded = list(map(self.known.get, every))
-        missing = [w for w, ids in zip(every, coded, strict=True) if ids is None]
-        if missing:
-            self.learn(missing)
-            coded = [self.known[w] if ids is None else ids for w, ids in zip(every, coded, strict=True)]
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
-        ids, first = np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes
+        self.words.forget(MEMORY)
+        places = self.words.places(found.dictionary)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            some = found.dictionary.take(pa.array(missing)).to_pylist()
+            learned = self.learn(some)
+            places[missing] = self.words.add(some, learned)
+        first, sizes = self.words.taken(places)
+        ids = self.words.ids
         which = found.indices.to_numpy()
         after = np.cumsum(sizes[which])
         flat = ids[np.repeat(first[which] - (after - sizes[which]), sizes[which]) + np.arange(after[-1] if len(after) else 0)]

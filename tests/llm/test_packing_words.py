@@ -1,6 +1,10 @@
 """Words put together from pieces have the ids that the library gives the whole text, and the library sees pieces once."""
 
+import gc
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from tallywright.llm import packing
 from tallywright.llm.queries import vocabulary
@@ -49,3 +53,32 @@ def test_words_of_all_kinds(monkeypatch):
     for _ in range(2):
         assert tok.encode(texts) == want
         assert [tok.encode([t])[0] for t in texts] == want
+
+
+def test_remembered_words_take_little_memory():
+    tok = packing.Tokenizer(vocabulary())
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) + "," * (i % 2) for i in range(6000)) for _ in range(10)]
+    gc.collect()
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for t in texts:
+        tok.encode([t])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 100 * sum(len(set(t.split())) for t in texts)
+
+
+def test_words_in_use_outlast_new_ones(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 2000)
+    tok = packing.Tokenizer(vocabulary())
+    tok.library = Counted(tok.library)
+    rng = random.Random(6)
+    often = " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(500))
+    for _ in range(20):
+        text = "start " + often + " " + " ".join("".join(rng.choices("klmnopqrst", k=8)) for _ in range(800))
+        assert tok.encode([text]) == [tok.whole(text)]
+    tok.library.n = 0
+    tok.encode(["start " + often])
+    assert tok.library.n == len("start")
