@@ -33,7 +33,7 @@ END_ID = 1
 CLASSES = 128
 #: Rests in one combination at most; the greedy rest may take more.
 DEPTH = 3
-#: Distinct space-led words that a worker remembers; beyond that the half of them that was used least goes.
+#: Distinct space-led words that a worker remembers when it begins a chunk; if there are more, it keeps the half of this number that was used most.
 MEMORY = 400_000
 #: Distinct pieces without a blank (line ends, marks, words after them) that a worker remembers.
 TAILS = 200_000
@@ -57,7 +57,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Words:
-    """Remembered words and their ids, packed in arrays: some 40 bytes a word, where a dict of strings takes 200."""
+    """Remembered words and their ids, packed in arrays: some 75 bytes a word, where a dict of strings takes 220."""
 
     def __init__(self):
         self.names = pa.array([], type=pa.large_string())
