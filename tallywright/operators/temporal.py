@@ -53,11 +53,11 @@ def history(writes: DataFrame, tenant: str, id: str) -> DataFrame:
     return writes.filter((F.col("tenant_id") == tenant) & (F.col("id") == id)).orderBy("valid_from", "updated_at")
 
 
-def as_recorded(writes: DataFrame, tx_time: Column) -> DataFrame:
-    """The table as it stood at a transaction time: the last write of each key up to then."""
+def as_recorded(writes: DataFrame, tx_time: Column, ties: list[str] | None = None) -> DataFrame:
+    """The table as it stood at a transaction time: the last write of each key up to then; of those at one time the last by ``ties``."""
     rows = writes.filter(F.col("updated_at") <= tx_time)
     rest = [c for c in writes.columns if c not in ("tenant_id", "id")]
-    last = rows.groupBy("tenant_id", "id").agg(F.max_by(F.struct(*rest), "updated_at").alias("_last"))
+    last = rows.groupBy("tenant_id", "id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", *(ties or []))).alias("_last"))
     return last.select("tenant_id", "id", "_last.*").select(*writes.columns)
 
 

@@ -547,10 +547,9 @@ def b03_history(spark, d):
 
 @query(f"{cte('decisions')} SELECT tenant_id, customer AS id, arg_max(id, struct_pack(a := created_at, b := id)) AS version FROM decisions WHERE created_at <= TIMESTAMP '{AT}' GROUP BY ALL")
 def b04_as_recorded(spark, d):
-    writes = adapted(spark, d, "decisions").withColumn("version", F.col("id")).withColumn("id", F.col("customer"))
+    writes = adapted(spark, d, "decisions").withColumn("version", F.col("id")).withColumn("id", F.col("customer")).withColumn("updated_at", F.col("created_at"))
     # ties of one customer on one day: the later order counts
-    writes = writes.withColumn("updated_at", F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("version") / 1000000))
-    return temporal.as_recorded(writes, _at() + F.expr("INTERVAL '1' SECOND")).select("tenant_id", "id", "version")
+    return temporal.as_recorded(writes, _at(), ["version"]).select("tenant_id", "id", "version")
 
 
 @query(f"{cte('decisions')} SELECT id, CASE WHEN valid_to < TIMESTAMP '{AT}' THEN 'stale' ELSE status END AS status FROM decisions")
