@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -19,7 +19,8 @@ from ..operators import chain, evidence, harvest, telemetry
 from ..operators.budget import ADMISSION, _admit
 from ..operators.chain import _extend
 from ..operators.contradiction import RULES, Rule, group_of
-from .ordered import Fold, Quarantine, expiring, in_order
+from .ordered import Fold, Quarantine, in_order
+from .timers import advance, removed, with_ticks
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -145,11 +146,6 @@ def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def _removed(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def stream_telemetry(events: DataFrame, out: str, checkpoint: str, every: str = "30 seconds", delay: str = "1 minute", kind: str = "kind", **how) -> StreamingQuery:
     """Counters per tumbling window, out when the watermark has passed."""
     counts = events.withWatermark("ts", delay).groupBy(F.window("ts", every).alias("w"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -177,7 +173,7 @@ def stream_payloads(events: DataFrame, out: str, checkpoint: str, window: str =
         telemetry.uploads(flush, size).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         telemetry.totals_after(flush, past).write.mode("overwrite").parquet(f"{out}-totals/batch={batch_id}")
         if batch_id > 1:
-            _removed(spark, f"{out}-totals/batch={batch_id - 2}")
+            removed(spark, f"{out}-totals/batch={batch_id - 2}")
 
     writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
@@ -232,7 +228,7 @@ def stream_snapshots(ticks: DataFrame, chain_path: str, out: str, checkpoint: st
         before = spark.read.schema(schema).parquet(f"{out}/batch={tick - 1}") if tick else spark.createDataFrame([], schema)
         chain.snapshot_step(roots, before.withColumn("epoch_timestamp", F.col("epoch_unix")), F.expr(epoch)).write.mode("overwrite").parquet(f"{out}/batch={tick}")
         if tick > 1:
-            _removed(spark, f"{out}-roots/tick={tick - 2}")
+            removed(spark, f"{out}-roots/tick={tick - 2}")
 
     writer = ticks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     once, every = how.get("once", True), how.get("every", "30 seconds")
@@ -244,15 +240,26 @@ def clock(spark: SparkSession) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.col("timestamp").alias("at"))
 
 
-def stream_expire(decisions: DataFrame, ticks: DataFrame, out: str, checkpoint: str, expiry: str = "valid_to", keys: list[str] | None = None, order: list[str] = ["updated_at"], once: bool = True, every: str = "30 seconds") -> StreamingQuery:  # noqa: B006
+def stream_expire(decisions: DataFrame, ticks: DataFrame, out: str, checkpoint: str, expiry: str = "valid_to", keys: list[str] | None = None, order: list[str] = ["updated_at"], once: bool = True, every: str = "30 seconds", final: tuple[str, ...] = ("executed", "stale"), buckets: int = 64) -> StreamingQuery:  # noqa: B006
     """Decisions as they come, and again as stale at the first tick after their expiry, without coming again.
 
-    ``ticks`` is a stream of times ``at``, such as :func:`clock`. Each decision (``keys``) has one timer, set anew when it
-    comes with another validity. Changes go to <out>/batch=<id>; :func:`as_of_now` makes the table of them.
+    ``ticks`` is a stream of times ``at``, such as :func:`clock`; its latest is the time. Each decision (``keys``) has one
+    timer, set anew when it comes with another validity; rows with a ``final`` status, or without an expiry, have none.
+    Of one batch's rows the last by ``order`` counts. Changes go to <out>/batch=<id>, numbered by ``version``; :func:`as_of_now` makes the table of
+    them. Timers lie in hash buckets, of which a batch reads those that it touches (see :mod:`.timers`).
     """
     keys = keys or [c for c in ("tenant_id", "id") if c in decisions.columns]
-    changes = expiring(decisions, ticks, keys, order, expiry)
-    return _with_timers(changes.sparkSession, lambda: each_batch(changes, lambda b: b, out, checkpoint, once, every))
+    due = F.when(~F.coalesce(F.col("status").isin(*final), F.lit(False)), F.unix_millis(F.col(expiry).cast("timestamp")) + 1)  # stale from the next millisecond on
+    times = {f.name: f.dataType for f in decisions.schema if f.name == "updated_at"}
+
+    def fired(at: Column) -> dict[str, Column]:
+        return {"status": F.lit("stale")} | {c: at.cast(kind) for c, kind in times.items()}
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        advance(batch, batch_id, out, keys, order, fired, buckets)
+
+    writer = with_ticks(decisions, ticks, due).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def as_of_now(changes: DataFrame, keys: list[str]) -> DataFrame:

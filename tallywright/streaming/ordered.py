@@ -1,4 +1,4 @@
-"""Keyed rules in strict event-time order, and timers by key: processors for ``transformWithState``.
+"""Keyed rules in strict event-time order: processors for ``transformWithState``.
 
 Rows wait in a list by key until the watermark has passed them, are then taken in order, and leave the list. A row that
 comes after its key was advanced beyond its time is late: it is handed on as such and changes nothing. What a rule
@@ -186,69 +186,3 @@ def in_order(stream: DataFrame, keys: dict[str, Column], time: str, delay: str,
     work = InOrder(rule, [f.name for f in own], readers, order, StructType([*fields, StructField("_ms", LongType())]), len(names), schema.names)
     done = texts.groupBy(*keys).transformWithState(work, schema, "append", "EventTime")
     return done.select(*[codec[f.name][1].alias(f.name) for f in own], *names, "late")
-
-
-class Expiry(StatefulProcessor):
-    """One timer a decision, at its expiry; set anew when the decision comes again, gone when it has fired."""
-
-    def __init__(self, own: list[str], readers: dict[str, Callable], order: list[str], held: StructType, make: list[str]):
-        self.own, self.readers, self.order, self.held, self.make = own, readers, order, held, make
-        self.number = StructType([StructField("n", LongType())])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.row = handle, Row(*self.make)
-        self.last, self.version = handle.getValueState("last", self.held), handle.getValueState("version", self.number)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = self.version.get()[0] if self.version.exists() else 0
-        old = self.last.get() if self.last.exists() else None
-        came = [tuple(r[c] for c in (*self.own, "_due")) for r in rows]
-        places = [[self.own.index(c) for c in self.order]]
-        came.sort(key=lambda r: [(r[i] is not None, self.readers[c](r[i])) if r[i] is not None else (False,) for c, i in zip(self.order, places[0], strict=True)])
-        for r in came:
-            n += 1
-            yield self.row(*r[:-1], n, None)
-        self.version.update((n,))
-        if old is not None:
-            self.handle.deleteTimer(old[-1])
-        last = came[-1]
-        if last[-1] is None:
-            self.last.clear()
-        else:
-            self.handle.registerTimer(last[-1])
-            self.last.update(last)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        n = self.version.get()[0] + 1
-        self.version.update((n,))
-        last = tuple(self.last.get())
-        self.last.clear()
-        yield self.row(*last[:-1], n, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-
-def expiring(decisions: DataFrame, ticks: DataFrame, keys: list[str], order: list[str], expiry: str, final: tuple[str, ...] = ("executed", "stale")) -> DataFrame:
-    """The log of changes of each decision, numbered by ``version``: each arrival as it came, and the row again, stale, at the first tick after its expiry.
-
-    ``ticks`` is a stream with a timestamp ``at``; its latest is the time. Rows with a ``final`` status, or without an expiry, have no
-    timer. The state of a decision goes when its timer has fired, but for the number of its last version.
-    """
-    own = decisions.schema.fields
-    codec = {f.name: as_text(f.name, f.dataType) for f in own}
-    due = F.when(~F.coalesce(F.col("status").isin(*final), F.lit(False)), F.unix_millis(F.col(expiry).cast("timestamp")) + 1)  # stale from the next millisecond on
-    rows = decisions.select(*[codec[f.name][0].alias(f.name) for f in own], due.alias("_due"), F.lit(None).cast("timestamp").alias("_tick"))
-    times = ticks.select(*[F.lit(None).cast("string").alias(f.name) for f in own], F.lit(None).cast("long").alias("_due"), F.col("at").cast("timestamp").alias("_tick"))
-    both = rows.unionByName(times).withWatermark("_tick", "0 seconds").filter("_tick IS NULL")  # ticks move the watermark and go
-    asked = both.select(*[F.col(f"`{f.name}`") for f in own], "_due", *[F.col(f"`{k}`").alias(f"_key_{k}") for k in keys])
-    fields = [StructField(f.name, StringType()) for f in own]
-    schema = StructType([*fields, StructField("version", LongType()), StructField("_fired", LongType())])
-    work = Expiry([f.name for f in own], {c: codec[c][2] for c in order}, order, StructType([*fields, StructField("_due", LongType())]), schema.names)
-    done = asked.groupBy(*[f"_key_{k}" for k in keys]).transformWithState(work, schema, "append", "EventTime")
-    back = done.select(*[codec[f.name][1].alias(f.name) for f in own], "version", "_fired")
-    at = F.timestamp_millis("_fired")
-    changed = {"status": F.when(F.col("_fired").isNotNull(), "stale").otherwise(F.col("status"))}
-    if "updated_at" in back.columns:
-        changed["updated_at"] = F.when(F.col("_fired").isNotNull(), at.cast(back.schema["updated_at"].dataType)).otherwise(F.col("updated_at"))
-    return back.withColumns(changed).drop("_fired")
