@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from ..common import small_join, written
+from ..common import BROADCAST_BYTES, byte_size, small_join, written
 from ..functions.scalars import GENESIS, chain_hash, snapshot_hash
 from ..sources.tables import insert_ignore
 from .filters import latest_snapshot
@@ -76,40 +81,113 @@ def hash_tree(chained: DataFrame, leaf: str = "leaf_hash") -> DataFrame:
     hashed with different words before them, so neither passes for the other. A level is one small aggregate; there are
     as many as the longest chain's length has binary digits.
     """
-    level, levels = written(chained.select("tenant_id", F.lit(0).alias("level"), (F.col("height") - 1).alias("pos"), _leaf(F.col(leaf)).alias("hash"))), []
+    level, levels = written(chained.select("tenant_id", F.lit(0).alias("level"), (F.col("height") - 1).alias("pos"), _leaf(F.col(leaf)).alias("hash")), "zstd"), []
     while True:
         levels.append(level)
         if level.filter("pos > 0").isEmpty():
             return reduce(DataFrame.unionByName, levels)
         pair = level.groupBy("tenant_id", (F.col("level") + 1).alias("level"), F.shiftright("pos", 1).alias("pos"))
         both = pair.agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("hash"))).alias("_l"), F.max(F.when(F.col("pos") % 2 == 1, F.col("hash"))).alias("_r"))
-        level = written(both.select("tenant_id", "level", "pos", F.coalesce(_node(F.col("_l"), F.col("_r")), "_l").alias("hash")))
+        level = written(both.select("tenant_id", "level", "pos", F.coalesce(_node(F.col("_l"), F.col("_r")), "_l").alias("hash")), "zstd")
 
 
 def tree_roots(tree: DataFrame) -> DataFrame:
     """tenant_id and the hash at the top of its tree."""
-    return tree.groupBy("tenant_id").agg(F.max_by("hash", "level").alias("tree_root"))
+    return tree.filter("pos = 0").groupBy("tenant_id").agg(F.max_by("hash", "level").alias("tree_root"))
+
+
+#: Levels of a tree that are read at once for proofs: blocks of 1,024 neighbours and the nodes above them.
+BAND = 10
+_PROOF = ArrayType(StructType().add("left", "boolean").add("hash", "string"))
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by tenant_id and _block, dealt so that no block is in two tables, and the number of each row's block in its table."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        rows = rows.combine_chunks()
+        if len(rows) < 2:
+            rest = rows
+            continue
+        tenant, block = rows["tenant_id"], rows["_block"]
+        other = pc.or_(pc.not_equal(tenant[1:], tenant[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        number = np.concatenate([[0], np.cumsum(other)]).astype(np.int64)
+        end = int(np.searchsorted(number, number[-1]))
+        if end:
+            yield rows.slice(0, end), number[:end]
+        rest = rows.slice(end)
+    if rest is not None and len(rest):
+        yield rest, np.zeros(len(rest), np.int64)
+
+
+def _band_proofs(nodes: DataFrame, wanted: DataFrame, above: DataFrame | None) -> DataFrame:
+    """``wanted`` (tenant_id, _at, ...) with ``proof``: its siblings among ``nodes`` (tenant_id, _k, _at, _hash), levels 0 to BAND - 1, then what ``above`` has for its block.
+
+    Nodes and asked rows of a block meet in one task, a block at a time; a proof is made there and not shuffled.
+    """
+    own = [f for f in wanted.schema if f.name != "_block"]
+    asked = wanted.withColumns({"_block": F.shiftright("_at", BAND), "_k": F.lit(BAND)})
+    if byte_size(blocks := asked.select("tenant_id", "_block").distinct()) <= BROADCAST_BYTES:
+        nodes = nodes.join(F.broadcast(blocks), ["tenant_id", "_block"], "left_semi")
+    rows = nodes.unionByName(asked, allowMissingColumns=True)
+    rows = rows.withColumn("_above", F.lit(None).cast(_PROOF)) if above is None else rows.unionByName(above.withColumn("_k", F.lit(-1)), allowMissingColumns=True)
+    schema = StructType([*own]).add("_below", _PROOF).add("_above", _PROOF)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, number in _whole_blocks(batches):
+            k, at = table["_k"].to_numpy(), table["_at"].fill_null(0).to_numpy()
+            ask = np.flatnonzero(k == BAND)
+            if not len(ask):
+                continue
+            node, over = np.flatnonzero((k >= 0) & (k < BAND)), np.flatnonzero(k < 0)
+            place = lambda n, level, pos: ((n * BAND + level) << BAND) | (pos & ((1 << (BAND - level)) - 1))
+            have = place(number[node], k[node].astype(np.int64), at[node])  # ascending, as rows are sorted
+            up = at[ask][:, None] >> np.arange(BAND)
+            want = place(number[ask][:, None], np.arange(BAND)[None, :], up ^ 1)
+            found = np.searchsorted(have, want)
+            there = np.zeros(want.shape, bool) if not len(have) else have[np.minimum(found, len(have) - 1)] == want
+            hashes = pa.array([h and h.hex() for h in table["_hash"].take(node).to_pylist()], pa.string())
+            ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array((up & 1 == 1)[there]), hashes.take(pa.array(found[there]))], ["left", "hash"])
+            near = np.searchsorted(number[over], number[ask])
+            hit = np.isin(number[ask], number[over])
+            far = table["_above"].combine_chunks().take(pa.array(over)).take(pa.array(near, pa.int64(), mask=~hit))
+            out = table.select([f.name for f in own]).take(pa.array(ask))
+            out = out.append_column("_below", pa.ListArray.from_arrays(ends, items)).append_column("_above", far)
+            yield from out.combine_chunks().to_batches(max_chunksize=4096)
+
+    dealt = rows.repartition("tenant_id", "_block").sortWithinPartitions("tenant_id", "_block", "_k", "_at")
+    return dealt.mapInArrow(run, schema).withColumn("proof", F.concat("_below", F.coalesce("_above", F.array().cast(_PROOF)))).drop("_below", "_above")
 
 
 def tree_proofs(chained: DataFrame, tree: DataFrame, asked: DataFrame, id_col: str = "id", leaf: str = "leaf_hash") -> DataFrame:
     """(tenant_id, id, leaf_hash, height, proof) of each asked (tenant_id, id): its siblings from the leaf up, with the side they stand on.
 
-    A proof has one hash a level at most, so about log2 of the chain's length.
+    A proof has one hash a level at most, so about log2 of the chain's length. The tree is gone down by bands of levels: a
+    block's proofs from there up are known, and are carried on to all below it. So the tree and what is asked are shuffled
+    once, not a row a level of each proof.
     """
-    own = chained.join(asked.select("tenant_id", id_col).distinct(), ["tenant_id", id_col], "left_semi").select("tenant_id", id_col, F.col(leaf).alias("leaf_hash"), "height")
-    top = tree.agg(F.max("level")).first()[0] or 0
-    steps = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")).withColumn("_at", F.expr("shiftright(height - 1, level)"))
-    steps = steps.withColumn("pos", F.col("_at").bitwiseXOR(F.lit(1)))
-    found = small_join(tree.select("tenant_id", "level", "pos", "hash"), steps, ["tenant_id", "level", "pos"])
-    lists = found.groupBy("tenant_id", id_col, "height").agg(F.sort_array(F.collect_list(F.struct("level", (F.col("_at") % 2 == 1).alias("left"), "hash"))).alias("_p"))
-    proof = F.transform(F.coalesce("_p", F.array().cast(lists.schema["_p"].dataType)), lambda p: F.struct(p["left"].alias("left"), p["hash"].alias("hash")))
-    return own.join(lists, ["tenant_id", id_col, "height"], "left").select("tenant_id", id_col, "leaf_hash", "height", proof.alias("proof"))
+    if asked is chained:
+        own = chained.filter(F.col("tenant_id").isNotNull() & F.col(id_col).isNotNull())
+    else:
+        own = chained.join(asked.select("tenant_id", id_col).distinct(), ["tenant_id", id_col], "left_semi")
+    own = own.select("tenant_id", id_col, F.col(leaf).alias("leaf_hash"), "height", (F.col("height") - 1).cast("long").alias("_at"))
+    top, above = tree.agg(F.max("level")).first()[0] or 0, None
+    for base in reversed(range(0, max(top, 1), BAND)):
+        band = tree.filter((F.col("level") >= base) & (F.col("level") < base + BAND)).withColumn("_k", F.col("level") - base)
+        nodes = band.select("tenant_id", F.expr(f"shiftright(pos, {BAND} - _k)").alias("_block"), "_k", F.col("pos").alias("_at"), F.unhex("hash").alias("_hash"))
+        wanted = own if not base else own.select("tenant_id", F.shiftright("_at", base).alias("_at")).distinct()
+        proofs = _band_proofs(nodes, wanted, above)
+        above = proofs.select("tenant_id", F.col("_at").alias("_block"), F.col("proof").alias("_above"))
+    return proofs.select("tenant_id", id_col, "leaf_hash", "height", "proof")
 
 
 def verify_tree_proofs(proofs: DataFrame, roots: DataFrame) -> DataFrame:
     """proofs with ``included``: whether leaf and siblings fold to the tenant's root. Needs no other row of the tree."""
     folded = F.aggregate("proof", _leaf(F.col("leaf_hash")), lambda h, p: F.when(p["left"], _node(p["hash"], h)).otherwise(_node(h, p["hash"])))
-    return proofs.join(roots.select("tenant_id", "tree_root"), "tenant_id", "left").withColumn("included", F.coalesce(folded == F.col("tree_root"), F.lit(False)))
+    joined = small_join(proofs.withColumn("_folded", folded), roots.select("tenant_id", "tree_root"), ["tenant_id"], "left")
+    return joined.withColumn("included", F.coalesce(F.col("_folded") == F.col("tree_root"), F.lit(False))).drop("_folded")
 
 
 def inclusion_proof(chained: DataFrame, ids: list, id_col: str = "id", leaf: str = "leaf_hash") -> DataFrame:

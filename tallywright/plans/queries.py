@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import fresh_path
+from ..common import fresh_path, written
 from ..functions import scalars as X
 from ..operators import budget, chain, checkpoints, contradiction, evidence, filters, graph, harvest, quality, telemetry, temporal
 from ..sources import tables
@@ -319,7 +319,7 @@ def s07_insert_ignore(spark, d):
 
 @query(f"{cte('requests')} SELECT request_id, tenant_id, tokens_used FROM requests")
 def s01_s08_append_and_scan(spark, d):
-    from ..common import fresh_path
+    from ..common import fresh_path, written
 
     path = fresh_path(spark, "budget_ledger")
     rows = adapted(spark, d, "requests").select(F.col("request_id").cast("string").alias("id"), "tenant_id", "agent_id", F.lit("t").alias("task_id"), F.col("tokens_used").cast("int").alias("tokens_used"), F.lit(1).alias("executions_used"), "operation", F.col("ts").cast("timestamp").alias("created_at"))
@@ -409,10 +409,10 @@ def w06_tree_roots(spark, d):
 @query(_CHAIN_SQL + ", n AS (SELECT tenant_id, max(height) AS n FROM chain GROUP BY tenant_id) SELECT tenant_id, id, height, CAST(len(list_filter(range(0, 40), lambda k: xor((height - 1) >> k, 1) < ((n - 1) >> k) + 1)) AS BIGINT) AS n_hashes, true AS included FROM chain JOIN n USING (tenant_id)")
 def w06_tree_proofs(spark, d):
     """A short proof of every write against its tenant's tree, and whether it verifies."""
-    rows = _chain(spark, d)
+    rows = written(chain.chain(leafed(adapted(spark, d, "writes")).select("tenant_id", "id", "ts", "leaf_hash"), ["ts", "id"]).select("tenant_id", "id", "leaf_hash", "height"), "zstd")
     tree = chain.hash_tree(rows)
-    proofs = chain.tree_proofs(rows, tree, rows)
-    return chain.verify_tree_proofs(proofs, chain.tree_roots(tree)).select("tenant_id", "id", "height", F.size("proof").cast("long").alias("n_hashes"), "included")
+    proofs = chain.tree_proofs(rows, tree, rows).withColumn("n_hashes", F.size("proof").cast("long"))
+    return chain.verify_tree_proofs(proofs, chain.tree_roots(tree)).select("tenant_id", "id", "height", "n_hashes", "included")
 
 
 @query(f"""{cte('writes')}, e AS (SELECT id, tenant_id, event_type AS decision_id, sha256(props) AS evidence_hash, ts FROM writes)
